@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD, cut, read_table, text_of
+from loomgraph.llm.common import WORD, cut, read_table, shuffle_partitions, text_of
 
 BLOCK, SLOTS_A_SHARD, ROUNDS = 128, 1024, 12
 MODULUS = 2_147_483_647
@@ -102,7 +102,8 @@ def draw_slots(sources: DataFrame, block: int = BLOCK, slots_a_shard: int = SLOT
     s = s.withColumns({"first": upto(F.col("low")), "count": upto(F.col("low") + F.col("want")) - upto(F.col("low"))})
     earlier = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("base", F.coalesce(F.sum("count").over(earlier), F.lit(0))).where("count > 0")
-    s = s.repartition("rank", "shard").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    # Few rows become many here, so they are dealt to a set number of tasks that no adaptive step merges.
+    s = s.repartition(shuffle_partitions(s.sparkSession), "rank", "shard").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
     s = s.withColumn("n", F.col("base") + F.col("k")).where(F.col("n") < PASSES * F.col("blocks"))
     s = s.withColumn("pass", F.floor(F.col("n") / F.col("blocks")))
     return s.select("rank", "shard", (F.col("first") + F.col("k")).alias("slot"), "pass", permuted(F.col("n") % F.col("blocks"), F.col("blocks"), F.col("rank") * 1_000_003 + F.col("pass") + 1).alias("block_index"))
@@ -129,7 +130,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed, sources = layout(docs)
     placed = cut(placed)
     slots = draw_slots(sources)
-    return placed, sources, slots.join(doc_blocks(placed, sources), ["rank", "block_index"])
+    return placed, sources, slots.join(doc_blocks(placed, sources).hint("merge"), ["rank", "block_index"])
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
