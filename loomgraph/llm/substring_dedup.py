@@ -14,7 +14,7 @@ has the same words as a window that starts anywhere else.
    of that depth with two suffixes or more is a repeat; each member's starts are reported.
 4. More frequent prefixes are lengthened to the whole window, so that a common line or phrase is
    split by what stands around it; such windows are counted by a 128-bit hash with partial sums,
-   and counts of two or more are joined back.
+   once for each distinct run of windows, and counts of two or more are joined back.
 
 Defined results: null or empty texts have no words and an empty kept text; texts shorter than the
 window keep all; repeated rows are repeats of each other; an empty table gives an empty result;
@@ -88,7 +88,7 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 _SEGMENT = "prefix long, key binary, anchor int, first int, n int, words string, h1 array<long>, h2 array<long>"
 
 
-def _segments(texts: DataFrame, window: int) -> DataFrame:
+def _segments(texts: DataFrame, window: int, most: int) -> DataFrame:
     """For each listed anchor the windows it is least in: words around it, or, for a frequent prefix, window hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def _segments(texts: DataFrame, window: int) -> DataFrame:
                     h1 = h2 = None
                     for one in listed[at + k].as_py():
                         x, y = runs[one["pos"]]
-                        if one["n"] <= GROUP:
+                        if one["n"] <= most:
                             text = b" ".join(raw[w.starts[a + x] : w.ends[a + y + window - 2]].split()).decode()
                             out.append((one["hash"], key, one["pos"], x, y - x, text, None, None))
                             continue
@@ -162,25 +162,38 @@ def _trees(table: pa.Table, window: int) -> pa.Table:
     return pa.table({"key": pa.array([rows["key"][k] for k in kept], pa.binary()), "starts": pa.array(starts, pa.list_(pa.int32()))})
 
 
-def repeated_starts(scanned: DataFrame, window: int) -> DataFrame:
+def repeated_starts(scanned: DataFrame, window: int, most: int = GROUP) -> DataFrame:
     """(key, starts): the repeated windows' starts of each distinct text that occurs once."""
     spark = scanned.sparkSession
     prefixes = scanned.select(F.explode("hash").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     prefixes = cut(prefixes)
     listed = scanned.select("key", F.explode(F.arrays_zip("pos", "hash")).alias("a")).select("key", F.col("a.pos").alias("pos"), F.col("a.hash").alias("prefix"))
     met = listed.join(prefixes, "prefix").groupBy("key").agg(F.collect_list(F.struct("pos", F.col("prefix").alias("hash"), "n")).alias("listed"))
-    segments = cut(_segments(scanned.select("key", "text").join(met, "key").select("key", "text", "listed"), window))
+    segments = cut(_segments(scanned.select("key", "text").join(met, "key").select("key", "text", "listed"), window, most))
     n = segments.where("words is not null").count()
     groups = max(shuffle_partitions(spark), n // GROUP_ROWS)
     small = segments.where("words is not null").select(F.pmod(F.xxhash64("prefix"), F.lit(groups)).alias("group"), "key", "first", "n", "words")
     by_tree = small.groupBy("group").applyInArrow(lambda t: _trees(t, window), "key binary, starts array<int>")
-    big = segments.where("words is null").select("key", F.col("first").alias("x"), F.posexplode(F.arrays_zip("h1", "h2")).alias("k", "h"))
-    big = big.select("key", (F.col("x") + F.col("k")).alias("start"), F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
-    deep = cut(big.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"))
-    by_hash = big.join(deep, ["h1", "h2"]).groupBy("key").agg(F.collect_list("start").alias("starts"))
+    by_hash = _lengthened(segments.where("words is null").select("key", "first", "n", "h1", "h2", F.xxhash64("h1").alias("r1"), F.xxhash64("h2").alias("r2")))
     return by_tree.unionByName(by_hash).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
+def _lengthened(runs: DataFrame) -> DataFrame:
+    """(key, starts) for frequent prefixes, lengthened to whole windows.
+
+    A run is the windows of one anchor. Runs alike are first put together, with their number: all
+    windows of a run that occurs twice repeat. Only distinct runs are taken apart into windows.
+    """
+    distinct = cut(runs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2")))
+    windows = distinct.select("r1", "r2", "copies", F.posexplode(F.arrays_zip("h1", "h2")).alias("k", "h")).select("r1", "r2", "copies", "k", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
+    deep = cut(windows.groupBy("h1", "h2").agg(F.sum("copies").alias("total")).where("total > 1").select("h1", "h2"))
+    some = windows.where("copies = 1").join(deep, ["h1", "h2"]).groupBy("r1", "r2").agg(F.collect_list("k").alias("at"))
+    whole = distinct.where("copies > 1").select("r1", "r2", F.sequence(F.lit(0), F.col("n") - 1).alias("at"))
+    hits = cut(some.unionByName(whole))
+    met = runs.select("key", "first", "r1", "r2").join(hits, ["r1", "r2"])
+    return met.select("key", F.transform("at", lambda k: F.col("first") + k).alias("starts"))
+
+
 def _kept(texts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,14 +213,14 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "key binary, n_removed long, kept string")
 
 
-def dedup_texts(docs: DataFrame, window: int = 50, keep_text: bool = True) -> DataFrame:
+def dedup_texts(docs: DataFrame, window: int = 50, keep_text: bool = True, most: int = GROUP) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]): documents without repeated windows' words."""
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     scanned = cut_bucketed(_scan(docs, window), buckets, "key")
     single = scanned.where(F.col("copies") == 1)
     # Texts that occur more than once serve as places to repeat, yet all their own windows are repeats.
-    starts = cut(repeated_starts(scanned.where(F.col("n_words") >= window), window))
+    starts = cut(repeated_starts(scanned.where(F.col("n_words") >= window), window, most))
     changed = _kept(single.select("key", "text").join(starts, "key").select("key", "text", "starts"), window)
     if not keep_text:
         changed = changed.select("key", "n_removed", F.sha2(F.col("kept"), 256).alias("new_sha"))
