@@ -8,13 +8,15 @@
 3. Three global orders rank tokens by rising frequency and break ties by three different hashes.
    A set's prefix under an order is its first n - ceil(t * n) + 1 tokens; sets as similar as t share
    a prefix token under each order. Tokens that occur in one document only are not listed.
-4. Within the list of a token under the first order each set is paired with two pivots, the list's
-   least and greatest set. Pairs must have compatible sizes and meet in the prefixes of the second
-   and third order as well; what is left is verified on whole sets. Pairs that the verified links
-   already connect need no more work; all other pairs of a list, in the lists that still hold
-   several components, are formed next and filtered and verified in the same way. Long lists are
-   split by the second order's prefix tokens, which two similar sets also share. So no link
-   between components is missed and a group of copies costs work in proportion to its size.
+4. Within the list of a token under the first order each set is paired with a pivot, the set with
+   the greatest share of tokens that occur elsewhere, as the source of many edited copies has. A
+   pair must have sizes, and numbers of tokens that occur elsewhere, that allow the similarity, and
+   meet in the prefixes of the second and third order as well; what is left is verified on whole
+   sets. In lists that still hold several components the next pivots are taken outside the last
+   pivot's component, for ``ROUNDS`` rounds. All pairs across components that then remain in a list
+   are formed last and filtered and verified in the same way. Long lists are split by the second
+   order's prefix tokens, which two similar sets also share. So no link between components is
+   missed and a group of copies costs work in proportion to its size.
 
 Only connectivity is returned, links within a component need not all be named.
 
@@ -27,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from loomgraph.llm.common import cut, cut_bucketed, read_table, shuffle_partitio
 from loomgraph.llm.components import components
 from loomgraph.llm.tokens import list_of, mix, pieces, shingles, words
 
-BATCH_TOKENS, BUCKET_TOKENS, LONG_LIST = 1 << 17, 1 << 21, 512
+BATCH_TOKENS, BUCKET_TOKENS, LONG_LIST, ROUNDS = 1 << 17, 1 << 21, 512, 4
 _SEEDS = (np.uint64(0), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -134,25 +135,30 @@ def _prefixes(sets: DataFrame, codes: DataFrame, bits: int, percent: int) -> Dat
                     if not n or not code[a:b].any():
                         continue
                     own, rank = raw[a:b], code[a:b]
+                    shared = int((rank > 0).sum())
+                    if shared * 100 < percent * n:
+                        continue  # too few tokens occur elsewhere to be similar to any other set
                     lists = []
                     for seed in _SEEDS:
                         first = np.lexsort((mix(own ^ seed) if seed else own, rank))[: prefix_length(n, percent)]
                         lists.append(own[first[rank[first] > 0]].view(np.int64))
                     if all(map(len, lists)):
-                        out.append((key, n, own.view(np.int64), *lists))
+                        out.append((key, n, shared, own.view(np.int64), *lists))
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64())] + [list_of(np.concatenate([r[c] for r in out]), np.array([len(r[c]) for r in out]), pa.int64()) for c in (2, 3, 4, 5)],
-                        names=["key", "size", "tokens", "p1", "p2", "p3"],
+                        [pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())] + [list_of(np.concatenate([r[c] for r in out]), np.array([len(r[c]) for r in out]), pa.int64()) for c in (3, 4, 5, 6)],
+                        names=["key", "size", "shared", "tokens", "p1", "p2", "p3"],
                     )
 
     joined = sets.join(gathered, "batch").select("sets", "sizes", "tokens", "parts")
-    return joined.mapInArrow(run, "key binary, size long, tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>")
+    return joined.mapInArrow(run, "key binary, size long, shared long, tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>")
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    """Whether sizes allow the similarity."""
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and tokens that occur elsewhere allow the similarity; ``a`` and ``b`` are suffixes of columns."""
+    most = F.least(F.col(f"shared{a}"), F.col(f"shared{b}"))
+    sizes = F.col(f"size{a}"), F.col(f"size{b}")
+    return (most * 100 >= (sizes[0] + sizes[1] - most) * percent) & (F.least(*sizes) * 100 >= F.greatest(*sizes) * percent)
 
 
 def _verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -167,34 +173,48 @@ def _verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between distinct sets that connect every two sets of the similarity, directly or over others."""
-    spark = sets.sparkSession
     total = sets.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_TOKENS)))))
     found = _prefixes(sets, frequency_codes(sets, bits), bits, percent)
     # Copies have one set; the first of each is kept, so a group of copies has one row a token.
-    members = cut(found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "tokens", "p1", "p2", "p3")]))
-    rows = members.select("key", "size", F.explode("p1").alias("token"))
-    lists = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "size")).alias("low"), F.max(F.struct("key", "size")).alias("high")).where("n > 1"))
-    listed = cut(rows.join(lists.select("token", "n"), "token"))
-    pivots = lists.select("token", F.explode(F.array("low", "high")).alias("pivot")).select(F.col("token"), F.col("pivot.key").alias("pivot"), F.col("pivot.size").alias("pivot_size"))
-    stars = listed.join(pivots, "token").where((F.col("key") != F.col("pivot")) & _fits(F.col("size"), F.col("pivot_size"), percent))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = cut(stars.select(*pair("key", "pivot")).distinct())
-    first = cut(_verify(tried, members, percent))
-    roots = components(first)
-    labelled = cut(listed.join(roots, listed["key"] == roots["node"], "left").select("token", "n", "key", "size", F.coalesce("root", "key").alias("root")))
-    mixed = cut(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"))
-    open_rows = labelled.join(mixed, "token", "left_semi")
+    members = cut(found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "shared", "tokens", "p1", "p2", "p3")]))
+    rows = members.select("key", "size", "shared", F.explode("p1").alias("token"))
+    lists = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    open_rows = cut(rows.join(lists, "token").withColumn("root", F.col("key")))
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    best = F.max(F.struct((F.col("shared") / F.col("size")).alias("share"), F.col("key").alias("key"), "size", "shared", "root")).alias("pivot")
+    found_links: DataFrame | None = None
+    tried: DataFrame | None = None
+    outside = open_rows
+    for _ in range(ROUNDS):
+        pivots = cut(outside.groupBy("token").agg(best).select("token", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("key", "size", "shared", "root")]))
+        pairs = open_rows.join(pivots, "token").where((F.col("root") != F.col("root2")) & _fits("", "2", percent)).select(*ordered("key", "key2")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        fresh = cut(_verify(pairs, members, percent))
+        found_links = fresh if found_links is None else found_links.unionByName(fresh)
+        roots = components(found_links)
+        labelled = open_rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+        labelled = cut(labelled)
+        mixed = cut(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"))
+        open_rows = cut(labelled.join(mixed, "token", "left_semi"))
+        if not open_rows.limit(1).count():
+            return found_links
+        # The next pivot comes from outside the component that the last one is in by now.
+        seats = cut(pivots.select(F.col("token").alias("t2"), F.col("key2").alias("k2")).join(open_rows, (F.col("t2") == F.col("token")) & (F.col("k2") == F.col("key"))).select("token", F.col("root").alias("seat")))
+        outside = open_rows.join(seats, "token").where(F.col("root") != F.col("seat"))
+    arrays = members.select("key", "p2", "p3")
     short = open_rows.where(F.col("n") <= LONG_LIST).withColumn("second", F.lit(0).cast("long"))
     long = open_rows.where(F.col("n") > LONG_LIST).join(members.select("key", "p2"), "key").withColumn("second", F.explode("p2"))
     spread = cut(short.unionByName(long.drop("p2")))
     # Again only lists of several components go on; pairs are formed across components.
     still = cut(spread.groupBy("token", "second").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "second"))
-    left = cut(spread.join(still, ["token", "second"], "left_semi"))
-    right = left.select("token", "second", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "root")])
-    across = left.join(right, ["token", "second"]).where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & _fits(F.col("size"), F.col("size2"), percent))
-    fresh = across.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return reduce(DataFrame.unionByName, [first, _verify(fresh, members, percent)])
+    left = cut(spread.join(still, ["token", "second"], "left_semi").join(arrays, "key"))
+    right = left.select("token", "second", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "shared", "root", "p2", "p3")])
+    orders = F.arrays_overlap(left["p2"], right["p22"]) & F.arrays_overlap(left["p3"], right["p32"])
+    across = left.join(right, ["token", "second"]).where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & _fits("", "2", percent) & orders)
+    last = across.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return found_links.unionByName(_verify(last, members, percent))
 
 
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
