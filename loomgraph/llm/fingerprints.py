@@ -105,7 +105,7 @@ def similarity(left: pa.Array | list[bytes], right: pa.Array | list[bytes], bins
     return np.array([likeness(a, b, bits) for a, b in pairs])
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, place int, text string, text_hash long"
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, place int, text string, text_hash long"
 
 
 def _edited(text: str, following: str) -> str:
@@ -119,12 +119,12 @@ def _judge(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
     chain, changed = (signatures_of(pa.array(x, type=pa.string())) for x in ([*texts, following[-1]], edits))
     own, after = chain[:-1], chain[1:]
     near_edited, near_next = likeness(own, changed), likeness(own, after)
-    return [(i, len(t), hashlib.sha256(e.encode()).hexdigest(), packed(a).hex(), packed(c).hex(), float(x), float(y)) for i, t, e, a, c, x, y in zip(ids, texts, edits, own, changed, near_edited, near_next)]
+    return [(i, len(t), hashlib.sha256(e.encode()).digest(), packed(a), packed(c), float(x), float(y)) for i, t, e, a, c, x, y in zip(ids, texts, edits, own, changed, near_edited, near_next)]
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
     names = [x.split()[0] for x in _RESULT.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in _RESULT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=names)
 
@@ -180,7 +180,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
                 yield _emit([(*r, -1, None, None) for r in _judge([i], [t], [f])])
 
     rest = open_rows.mapInArrow(finish, _RESULT)
-    return done.where("place < 0").unionByName(rest).drop("place", "text", "text_hash")
+    text = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return done.where("place < 0").unionByName(rest).drop("place", "text", "text_hash").withColumns(text)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
