@@ -2,7 +2,7 @@
 
 1. Documents are reduced to distinct shingle sets, each named by a 128-bit digest of its tokens;
    documents with the same set are linked without comparison.
-2. The document frequency of every token is counted exactly but for the folding of hashes to 32
+2. The document frequency of every token is counted exactly but for the folding of hashes to 24
    bits within a bucket. Tokens travel as packed arrays, one per batch of documents and bucket,
    and come back as one byte a token, so the corpus's tokens are shuffled once.
 3. Three global orders rank tokens by rising frequency and break ties by three different hashes.
@@ -39,7 +39,7 @@ from loomgraph.llm.common import cut, cut_bucketed, read_table, shuffle_partitio
 from loomgraph.llm.components import components
 from loomgraph.llm.tokens import list_of, mix, pieces, shingles, words
 
-BATCH_TOKENS, BUCKET_TOKENS, LONG_LIST, ROUNDS = 1 << 17, 1 << 21, 512, 4
+BATCH_TOKENS, BUCKET_TOKENS, LONG_LIST, ROUNDS = 1 << 17, 1 << 19, 4096, 4
 _SEEDS = (np.uint64(0), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -94,7 +94,7 @@ def frequency_codes(sets: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for uid, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, t, bounds = _by_bucket(tokens.as_buffer(), bits)
-                low = ((t << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+                low = ((t << np.uint64(bits)) >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
                 full = np.flatnonzero(np.diff(bounds))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uid] * len(full), pa.binary()), pa.array(full.astype(np.int32)), pa.array([low[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary())],
@@ -102,8 +102,8 @@ def frequency_codes(sets: DataFrame, bits: int) -> DataFrame:
                 )
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("tokens")]
-        flat = np.concatenate(parts)
+        parts = [np.frombuffer(x.as_buffer(), dtype=np.uint8).reshape(-1, 3) for x in table.column("tokens")]
+        flat = np.pad(np.concatenate(parts), ((0, 0), (0, 1))).view("<u4").ravel()
         order = np.argsort(flat, kind="stable")
         edges = np.flatnonzero(np.diff(flat[order], prepend=flat[order[0]] + np.uint32(1)))
         edges[0] = 0
@@ -203,16 +203,15 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         # The next pivot comes from outside the component that the last one is in by now.
         seats = cut(pivots.select(F.col("token").alias("t2"), F.col("key2").alias("k2")).join(open_rows, (F.col("t2") == F.col("token")) & (F.col("k2") == F.col("key"))).select("token", F.col("root").alias("seat")))
         outside = open_rows.join(seats, "token").where(F.col("root") != F.col("seat"))
-    arrays = members.select("key", "p2", "p3")
     short = open_rows.where(F.col("n") <= LONG_LIST).withColumn("second", F.lit(0).cast("long"))
     long = open_rows.where(F.col("n") > LONG_LIST).join(members.select("key", "p2"), "key").withColumn("second", F.explode("p2"))
     spread = cut(short.unionByName(long.drop("p2")))
-    # Again only lists of several components go on; pairs are formed across components.
+    # Again only lists of several components go on; pairs are formed across components, each in its first common list.
     still = cut(spread.groupBy("token", "second").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "second"))
-    left = cut(spread.join(still, ["token", "second"], "left_semi").join(arrays, "key"))
-    right = left.select("token", "second", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "shared", "root", "p2", "p3")])
-    orders = F.arrays_overlap(left["p2"], right["p22"]) & F.arrays_overlap(left["p3"], right["p32"])
-    across = left.join(right, ["token", "second"]).where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & _fits("", "2", percent) & orders)
+    left = cut(spread.join(still, ["token", "second"], "left_semi").join(members.select("key", "p1"), "key"))
+    right = left.select("token", "second", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "shared", "root", "p1")])
+    here = F.try_element_at(F.array_intersect("p1", "p12"), F.lit(1)) == F.col("token")
+    across = left.join(right, ["token", "second"]).where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & _fits("", "2", percent) & here)
     last = across.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return found_links.unionByName(_verify(last, members, percent))
 
