@@ -1,0 +1,56 @@
+"""Ranked search lanes: lexical BM25, exact dense top-k with abstention, reciprocal-rank fusion."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+K1, B, RRF_K = 1.2, 0.75, 60
+
+
+def terms_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def bm25(docs: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """(doc_id, score): one scan; document lengths and frequencies are aggregates, nothing is collected but the totals."""
+    words = docs.select("doc_id", terms_of(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    counts = words.select("doc_id", "len", *[_count("w", term).alias(f"n{k}") for k, term in enumerate(terms)])
+    total = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"d{k}") for k in range(len(terms))]).first()
+    n, mean = total["n"] or 0, total["avg"] or 1.0
+    score = F.lit(0.0)
+    for k in range(len(terms)):
+        d = total[f"d{k}"] or 0
+        idf = F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5))
+        tf = F.col(f"n{k}").cast("double")
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean))
+    any_term = sum((F.col(f"n{k}") for k in range(len(terms))), F.lit(0)) > 0
+    return counts.where(any_term).select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+
+
+def _count(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == term))
+
+
+def dense_top_k(vectors: DataFrame, query_id: int, k: int, floor: float = 0.30, margin: float = 0.10) -> DataFrame:
+    """(vec_id, score) by inner product, the query left out; only scores over the floor and near the best stay."""
+    q = vectors.where(F.col("vec_id") == query_id).select("embedding").first()
+    query = F.array(*[F.lit(float(x)) for x in (q[0] if q else [])])
+    dot = F.aggregate(F.zip_with("embedding", query, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    top = vectors.where(F.col("vec_id") != query_id).select("vec_id", F.round(dot, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    best = F.max("score").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return top.withColumn("best", best).where((F.col("score") >= floor) & (F.col("score") >= F.round(F.col("best") - margin, 6))).drop("best")
+
+
+def lane_ranks(lane: DataFrame, name: str, key: str) -> DataFrame:
+    """The bounded list's positions from 1, by score and key."""
+    return lane.select(F.col(key).alias("key"), F.lit(name).alias("lane"), F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))
+
+
+def fuse(lanes: list[DataFrame], limit: int) -> DataFrame:
+    """Reciprocal-rank fusion of ranked lanes (key, lane, rank); scores depend on ranks alone."""
+    rows = lanes[0]
+    for lane in lanes[1:]:
+        rows = rows.unionByName(lane)
+    fused = rows.groupBy("key").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 6).alias("score"), F.count(F.lit(1)).alias("lanes"))
+    return fused.orderBy(F.desc("score"), "key").limit(limit)
