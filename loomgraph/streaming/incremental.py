@@ -28,7 +28,7 @@ def upsert(current: DataFrame, batch: DataFrame, key: str, order: str) -> DataFr
 
 def event_rollup(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and sums per window and event type; works on a stream (with a watermark) and on a table."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return e.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 

@@ -99,7 +99,7 @@ def test_the_stream_gives_the_tables_rollup(spark):
     q = stream.writeStream.format("memory").queryName("rollup").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
-    table = event_rollup(spark.read.parquet(f"{SF}/events.parquet"))
+    table = event_rollup(spark.read.parquet(f"{SF}/events.parquet"))  # naive and UTC times print alike
     assert rows(spark.table("rollup").collect()) == rows(table.collect())
 
 
