@@ -208,10 +208,15 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     spread = cut(short.unionByName(long.drop("p2")))
     # Again only lists of several components go on; pairs are formed across components, each in its first common list.
     still = cut(spread.groupBy("token", "second").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "second"))
-    left = cut(spread.join(still, ["token", "second"], "left_semi").join(members.select("key", "p1"), "key"))
-    right = left.select("token", "second", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "shared", "root", "p1")])
+    left = spread.join(still, ["token", "second"], "left_semi").join(members.select("key", "p1", "p2", "p3"), "key")
+    # In a pair's first common list no earlier token of either side is common, so that many fewer can be.
+    left = cut(left.withColumn("after", F.col("shared") - F.array_position("p1", F.col("token")) + 1))
+    right = left.select("token", "second", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "after", "root", "p1", "p2", "p3")])
     here = F.try_element_at(F.array_intersect("p1", "p12"), F.lit(1)) == F.col("token")
-    across = left.join(right, ["token", "second"]).where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & _fits("", "2", percent) & here)
+    most = F.least("after", "after2")
+    possible = most * 100 >= (F.col("size") + F.col("size2") - most) * percent
+    orders = F.arrays_overlap("p2", "p22") & F.arrays_overlap("p3", "p32")
+    across = left.join(right, ["token", "second"]).where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & possible & here & orders)
     last = across.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return found_links.unionByName(_verify(last, members, percent))
 
