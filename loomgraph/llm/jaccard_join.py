@@ -10,7 +10,7 @@
    a prefix token under each order. Tokens that occur in one document only are not listed.
 4. Within the list of a token under the first order each set is paired with a pivot, the set with
    the greatest share of tokens that occur elsewhere, as the source of many edited copies has. A
-   pair must have sizes, and numbers of tokens that occur elsewhere, that allow the similarity, and
+   pair must have sizes, and numbers of later tokens that occur elsewhere, that allow the similarity, and
    meet in the prefixes of the second and third order as well; what is left is verified on whole
    sets. In lists that still hold several components the next pivots are taken outside the last
    pivot's component, for ``ROUNDS`` rounds. All pairs across components that then remain in a list
@@ -155,8 +155,8 @@ def _prefixes(sets: DataFrame, codes: DataFrame, bits: int, percent: int) -> Dat
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and tokens that occur elsewhere allow the similarity; ``a`` and ``b`` are suffixes of columns."""
-    most = F.least(F.col(f"shared{a}"), F.col(f"shared{b}"))
+    """Whether sizes and the tokens that can be common allow the similarity; ``a`` and ``b`` are suffixes of columns."""
+    most = F.least(F.col(f"after{a}"), F.col(f"after{b}"))
     sizes = F.col(f"size{a}"), F.col(f"size{b}")
     return (most * 100 >= (sizes[0] + sizes[1] - most) * percent) & (F.least(*sizes) * 100 >= F.greatest(*sizes) * percent)
 
@@ -178,16 +178,19 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     found = _prefixes(sets, frequency_codes(sets, bits), bits, percent)
     # Copies have one set; the first of each is kept, so a group of copies has one row a token.
     members = cut(found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "shared", "tokens", "p1", "p2", "p3")]))
-    rows = members.select("key", "size", "shared", F.explode("p1").alias("token"))
+    # ``after``: tokens of the set from this one on that occur elsewhere. It bounds the overlap of a pair in its first common
+    # list, where no earlier token is common; a pair may fail the bound in later lists, which lose nothing.
+    rows = members.select("key", "size", (F.col("shared") / F.col("size")).alias("share"), "shared", F.posexplode("p1").alias("place", "token"))
+    rows = rows.select("key", "size", "share", (F.col("shared") - F.col("place")).alias("after"), "token")
     lists = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     open_rows = cut(rows.join(lists, "token").withColumn("root", F.col("key")))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    best = F.max(F.struct((F.col("shared") / F.col("size")).alias("share"), F.col("key").alias("key"), "size", "shared", "root")).alias("pivot")
+    best = F.max(F.struct("share", "key", "size", "after", "root")).alias("pivot")
     found_links: DataFrame | None = None
     tried: DataFrame | None = None
     outside = open_rows
     for _ in range(ROUNDS):
-        pivots = cut(outside.groupBy("token").agg(best).select("token", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("key", "size", "shared", "root")]))
+        pivots = cut(outside.groupBy("token").agg(best).select("token", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("key", "size", "after", "root")]))
         pairs = open_rows.join(pivots, "token").where((F.col("root") != F.col("root2")) & _fits("", "2", percent)).select(*ordered("key", "key2")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -206,17 +209,11 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     short = open_rows.where(F.col("n") <= LONG_LIST).withColumn("second", F.lit(0).cast("long"))
     long = open_rows.where(F.col("n") > LONG_LIST).join(members.select("key", "p2"), "key").withColumn("second", F.explode("p2"))
     spread = cut(short.unionByName(long.drop("p2")))
-    # Again only lists of several components go on; pairs are formed across components, each in its first common list.
+    # Again only lists of several components go on; pairs are formed across components.
     still = cut(spread.groupBy("token", "second").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "second"))
-    left = spread.join(still, ["token", "second"], "left_semi").join(members.select("key", "p1", "p2", "p3"), "key")
-    # In a pair's first common list no earlier token of either side is common, so that many fewer can be.
-    left = cut(left.withColumn("after", F.col("shared") - F.array_position("p1", F.col("token")) + 1))
-    right = left.select("token", "second", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "after", "root", "p1", "p2", "p3")])
-    here = F.try_element_at(F.array_intersect("p1", "p12"), F.lit(1)) == F.col("token")
-    most = F.least("after", "after2")
-    possible = most * 100 >= (F.col("size") + F.col("size2") - most) * percent
-    orders = F.arrays_overlap("p2", "p22") & F.arrays_overlap("p3", "p32")
-    across = left.join(right, ["token", "second"]).where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & possible & here & orders)
+    left = cut(spread.join(still, ["token", "second"], "left_semi").select("token", "second", "key", "size", "after", "root"))
+    right = left.select("token", "second", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "after", "root")])
+    across = left.join(right, ["token", "second"]).where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & _fits("", "2", percent))
     last = across.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return found_links.unionByName(_verify(last, members, percent))
 
