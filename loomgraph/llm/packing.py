@@ -72,14 +72,14 @@ def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], b
     return encode
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (binary, little-endian 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = word_encoder(path), np.uint32(end_id).tobytes()
+        encode, end = word_encoder(path, cache_words), np.uint32(end_id).tobytes()
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -233,9 +233,9 @@ def pack(pieces: DataFrame, capacity: int, rows_a_bucket: int = 100_000) -> Data
     return placed.join(F.broadcast(ranges), inside).select(*kept, (F.col("sequence_lo") + F.col("number") - F.col("lo")).alias("sequence_id"), F.col("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Documents' pieces with their places; the pieces are written once and packed from there."""
-    return pack(cut(piece_digests(token_pieces(docs, path, capacity))), capacity)
+    return pack(cut(piece_digests(token_pieces(docs, path, capacity, cache_words=cache_words))), capacity)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
