@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +42,33 @@ def cut_bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
     return spark.table(name)
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_Batches = Iterator[pa.RecordBatch]
+
+
+def map_batches(df: DataFrame, run: Callable[[_Batches], _Batches], shape: str | T.StructType) -> DataFrame:
+    """``df`` mapped by ``run`` in bounded memory, whatever the length of its texts.
+
+    Batches have at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes (smaller settings of the
+    session, and sizes given with a unit, stay), and a worker gives freed memory back when a task ends: it outlives the stage.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}").lower().rstrip("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+    def lean(batches: _Batches) -> _Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:
+            pass  # not in this C library; what is freed then stays with the worker
+
+    return df.mapInArrow(lean, shape)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, cut_bucketed, read_table, shuffle_partitions
+from loomgraph.llm.common import cut, cut_bucketed, map_batches, read_table, shuffle_partitions
 from loomgraph.llm.components import components
 from loomgraph.llm.tokens import list_of, mix, pieces, shingles, words
 
@@ -66,9 +66,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             if rows:
                 yield _batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "batch binary, doc_ids array<long>, sets array<binary>, sizes array<long>, tokens binary"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(texts, run, "batch binary, doc_ids array<long>, sets array<binary>, sizes array<long>, tokens binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -113,7 +112,7 @@ def frequency_codes(sets: DataFrame, bits: int) -> DataFrame:
         ends = np.cumsum([0, *map(len, parts)])
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "codes": pa.array([codes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
 
-    dealt = sets.select("batch", "tokens").mapInArrow(deal, "batch binary, bucket int, tokens binary")
+    dealt = map_batches(sets.select("batch", "tokens"), deal, "batch binary, bucket int, tokens binary")
     return dealt.groupBy("bucket").applyInArrow(count, "batch binary, bucket int, codes binary")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, read_table, schema
+from loomgraph.llm.common import cut, map_batches, read_table, schema
 
 CACHE_WORDS = 1_000_000
 #: A stop or comma between a letter and a blank is a token of its own whatever stands around; apart from its word it is met again more often.
@@ -95,7 +95,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1, cac
             if rows:
                 yield _piece_batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(texts, run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
