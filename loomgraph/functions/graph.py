@@ -14,6 +14,17 @@ DATA = ("FIELD", "VARIABLE", "GLOBAL_VARIABLE", "CONSTANT", "ENUM_CONSTANT")
 NOT_INDEXED = ("FILE", "UNKNOWN", "BUILTIN_TYPE")
 STRUCTURAL = ("MEMBER", "INHERITANCE", "OVERRIDE", "TYPE_ARGUMENT", "TEMPLATE", "INCLUDE", "IMPORT")
 
+#: How much an edge of each kind carries in graph ranking.
+EDGE_WEIGHTS = {"CALL": 1.0, "OVERRIDE": 0.95, "INHERITANCE": 0.9, "TYPE_USAGE": 0.8, "USAGE": 0.75, "TYPE_ARGUMENT": 0.7, "TEMPLATE": 0.7, "MACRO_USAGE": 0.65, "IMPORT": 0.6, "INCLUDE": 0.6, "ANNOTATION": 0.85}
+
+
+def edge_weight(kind: str = "kind") -> Column:
+    """The weight of the edge's kind, 0 for membership and kinds not named."""
+    weight = F.lit(0.0)
+    for k, w in EDGE_WEIGHTS.items():
+        weight = F.when(F.col(kind) == k, w).otherwise(weight)
+    return weight
+
 
 def effective(end: str) -> Column:
     """The resolved endpoint (``source`` or ``target``), else the raw one."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.graph import display_name, effective, entry_like, file_role, indexable, node_rank
+from loomgraph.functions.graph import display_name, edge_weight, effective, entry_like, file_role, indexable, node_rank
 from loomgraph.sources.star_schema import Graph
 
 
@@ -83,6 +83,38 @@ def edge_digest(g: Graph) -> DataFrame:
     return e.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def edge_digest_strings(g: Graph, most: int = 3) -> DataFrame:
+    """(id, digest): each node's ``most`` commonest edge kinds as ``KIND=n``, count descending, then kind."""
+    by = Window.partitionBy("id").orderBy(F.desc("n"), "kind")
+    top = edge_digest(g).withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
+    parts = F.array_sort(F.collect_list(F.struct("place", F.concat_ws("=", "kind", F.col("n").cast("string")).alias("text"))))
+    return top.groupBy("id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), ", ").alias("digest"))
+
+
+def nodes_by_kinds(g: Graph, kinds: list[str], after: int, limit: int) -> DataFrame:
+    """A page of nodes of some kinds: the ``limit`` least ids above ``after``."""
+    page = g.node.where(F.col("kind").isin(kinds) & (F.col("id") > after))
+    return page.select("id", "kind", "serialized_name").orderBy("id").limit(limit)
+
+
+def edge_worklist(g: Graph, kind: str = "CALL") -> DataFrame:
+    """Edges of a kind still to resolve; a call also needs neither confidence nor certainty."""
+    e = g.edge.where((F.col("kind") == kind) & F.col("resolved_target").isNull())
+    return (e.where("confidence is null and certainty is null") if kind == "CALL" else e).select("id", "source", "target")
+
+
+def symbol_references(g: Graph, most: int = 32) -> DataFrame:
+    """(dst, id, src): at most ``most`` incoming references a symbol, membership apart, by edge id."""
+    e = neutralised(g.edge).where("kind not in ('MEMBER', 'UNKNOWN')").select("dst", "id", "src")
+    return e.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("id"))).where(F.col("place") <= most).drop("place")
+
+
+def incoming_weight(g: Graph) -> DataFrame:
+    """(id, weight): the summed kind weights of the edges that lead to each node."""
+    e = neutralised(g.edge).select(F.col("dst").alias("id"), edge_weight().alias("w")).where("w > 0")
+    return e.groupBy("id").agg(F.round(F.sum(F.col("w").cast("decimal(10,2)")).cast("double"), 2).alias("weight"))
+
+
 def call_degrees(g: Graph) -> DataFrame:
     """(id, callers, callees): distinct partners by certain calls; callers in test files do not count."""
     tests = g.file.where(file_role().isin("test", "benchmark")).select(F.col("id").alias("file_id"))

@@ -111,6 +111,11 @@ _ALL = {
     "neighborhood": (_g(lambda g: r.neighborhood(g, 6 * BASE + 10)), f"WITH GRAPH, {_EFFECTIVE} SELECT id, kind, src, dst FROM eff WHERE src = 60000000010 OR dst = 60000000010"),
     "direct_references": (_g(lambda g: r.direct_references(g, 6 * BASE + 7, ["USAGE"])), f"WITH GRAPH, {_EFFECTIVE} SELECT id, kind, src FROM eff WHERE dst = 60000000007 AND src <> dst AND kind = 'USAGE'"),
     "edge_digest": (_g(r.edge_digest), f"WITH GRAPH, {_EFFECTIVE} SELECT id, kind, count(*) AS n FROM (SELECT src AS id, kind FROM eff UNION ALL SELECT dst, kind FROM eff WHERE src <> dst) GROUP BY id, kind"),
+    "edge_digest_strings": (_g(r.edge_digest_strings), f"WITH GRAPH, {_EFFECTIVE}, dig AS (SELECT id, kind, count(*) AS n FROM (SELECT src AS id, kind FROM eff UNION ALL SELECT dst, kind FROM eff WHERE src <> dst) GROUP BY id, kind), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, kind) AS place FROM dig) SELECT id, string_agg(kind || '=' || n, ', ' ORDER BY place) AS digest FROM ranked WHERE place <= 3 GROUP BY id"),
+    "nodes_by_kinds_page": (_g(lambda g: r.nodes_by_kinds(g, ["CLASS", "STRUCT"], 3 * BASE + 40, 100)), "WITH GRAPH SELECT id, kind, serialized_name FROM node WHERE kind IN ('CLASS', 'STRUCT') AND id > 30000000040 ORDER BY id LIMIT 100"),
+    "edge_worklist": (_g(r.edge_worklist), "WITH GRAPH SELECT id, source, target FROM edge WHERE kind = 'CALL' AND resolved_target IS NULL AND confidence IS NULL"),
+    "symbol_references": (_g(r.symbol_references), f"WITH GRAPH, {_EFFECTIVE} SELECT dst, id, src FROM eff WHERE kind <> 'MEMBER' QUALIFY row_number() OVER (PARTITION BY dst ORDER BY id) <= 32"),
+    "incoming_edge_weight": (_g(r.incoming_weight), f"WITH GRAPH, {_EFFECTIVE} SELECT dst AS id, round(CAST(sum(CAST(CASE kind WHEN 'CALL' THEN 1.0 WHEN 'TYPE_USAGE' THEN 0.8 ELSE 0.75 END AS DECIMAL(10,2))) AS DOUBLE), 2) AS weight FROM eff WHERE kind <> 'MEMBER' GROUP BY dst"),
     "call_degrees": (_g(r.call_degrees), f"WITH GRAPH, {_EFFECTIVE}, calls AS (SELECT DISTINCT src, dst FROM eff WHERE kind = 'CALL' AND confidence >= 0.85 AND src <> dst), hidden AS (SELECT n.id FROM node n JOIN file f ON f.id = n.file_id WHERE starts_with(f.path, 'tests/')) SELECT id, CAST(sum(c) AS BIGINT) AS callers, CAST(sum(e) AS BIGINT) AS callees FROM (SELECT src AS id, 0 AS c, 1 AS e FROM calls UNION ALL SELECT dst, CASE WHEN src IN (SELECT id FROM hidden) THEN 0 ELSE 1 END, 0 FROM calls) GROUP BY id"),
     "file_snapshot": (_g(r.file_snapshot), f"WITH GRAPH, {_SNAPSHOT} SELECT file_id, path, role, symbol_count, best_rank FROM snap"),
     "ranked_file_summaries": (_g(r.ranked_files), f"WITH GRAPH, {_SNAPSHOT} SELECT file_id, path, role, symbol_count, best_rank FROM snap ORDER BY best_rank, symbol_count DESC, path LIMIT 20"),
