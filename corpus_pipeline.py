@@ -50,8 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Workers outlive the stage, so the encoder keeps fewer words than where packing stands alone.
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, cache_words=200_000)
+    # Workers outlive the stage, so the encoder keeps fewer words than where packing stands alone, and goes with its task.
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, cache_words=200_000, keep_encoder=False)
 
 
 STAGES = [("toxicity", drop_toxic), ("n-gram Jaccard join", drop_near_copies), ("PII", redact_pii), ("source mixing", mix_sources), ("best-fit packing", pack)]

@@ -72,28 +72,35 @@ def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], b
     return encode
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids (binary, little-endian 32-bit)."""
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1, cache_words: int = CACHE_WORDS, keep_encoder: bool = True) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids (binary, little-endian 32-bit).
+
+    Workers keep the tokenizer and its cache from one task to the next unless ``keep_encoder`` is false.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end = word_encoder(path, cache_words), np.uint32(end_id).tobytes()
-        for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, part))
-                held += len(ids)
-                if held > 1 << 23:
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                held = 0
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = encode(text.as_py() or "") + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, part))
+                    held += len(ids)
+                    if held > 1 << 23:
+                        yield _piece_batch(rows)
+                        rows, held = [], 0
+                if rows:
                     yield _piece_batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _piece_batch(rows)
+        finally:
+            if not keep_encoder:
+                _encoders.pop(path, None)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(texts, run, "doc_id long, piece int, start long, length long, ids binary")
@@ -234,9 +241,9 @@ def pack(pieces: DataFrame, capacity: int, rows_a_bucket: int = 100_000) -> Data
     return placed.join(F.broadcast(ranges), inside).select(*kept, (F.col("sequence_lo") + F.col("number") - F.col("lo")).alias("sequence_id"), F.col("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, cache_words: int = CACHE_WORDS, keep_encoder: bool = True) -> DataFrame:
     """Documents' pieces with their places; the pieces are written once and packed from there."""
-    return pack(cut(piece_digests(token_pieces(docs, path, capacity, cache_words=cache_words))), capacity)
+    return pack(cut(piece_digests(token_pieces(docs, path, capacity, cache_words=cache_words, keep_encoder=keep_encoder))), capacity)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
