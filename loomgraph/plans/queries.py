@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.graph import certainty_of, file_role
+from loomgraph.operators import grounding as o
 from loomgraph.operators import relational as r
+from loomgraph.operators import resolution as x
 from loomgraph.operators import retrieval as t
 from loomgraph.operators import traverse as w
 from loomgraph.plans.query_language import execute
@@ -82,6 +84,38 @@ def _rounded_text(g) -> DataFrame:  # noqa: ANN001
     return g.edge.groupBy("kind", certainty_of().alias("certainty")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _changed(g) -> DataFrame:  # noqa: ANN001
+    return g.node.where(F.col("id") == 4 * BASE + 5).select("id")
+
+
+def _requests(g) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """Unresolved usages by the name of their target, asked from their source's file; the first word of a name is its module."""
+    module = F.substring_index("name", " ", 1).alias("module")
+    fields = g.node.where("kind = 'FIELD'").select(F.col("id").alias("node_id"), F.col("serialized_name").alias("name"), "file_id")
+    source = g.node.select(F.col("id").alias("source"), "file_id")
+    e = g.edge.where("kind = 'USAGE' and resolved_target is null").join(fields.select(F.col("node_id").alias("target"), "name"), "target").join(source, "source")
+    return e.select(F.col("id").alias("edge_id"), "name", "file_id", module), fields.select("node_id", "name", "file_id", module)
+
+
+def _best(g) -> DataFrame:  # noqa: ANN001
+    c = g.edge.where("kind = 'TYPE_USAGE'").select(F.col("source").alias("edge_id"), F.col("target").alias("node_id"), ((F.col("target") % 3) / 4.0).alias("confidence"))
+    return x.unambiguous_best(c)
+
+
+def _deleted(g) -> DataFrame:  # noqa: ANN001
+    left = x.delete_files(g, g.file.where("id % 4 = 1").select(F.col("id").alias("file_id")))
+    return left.edge.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("resolved_target").alias("resolved"))
+
+
+def _capped(g) -> DataFrame:  # noqa: ANN001
+    f = g.file.select(F.col("id").alias("file_id"), "path")
+    hits = g.node.where("kind = 'FIELD'").join(f, "file_id").select("id", "path", (F.col("id") % 7).alias("score"), (F.col("id") % 11 == 0).alias("exact"))
+    return x.hits_per_file(hits)
+
+
+_AFFECTED = f"{_EFFECTIVE}, {_bfs('40000000005', _IN, 3)}, aff AS (SELECT n.id, coalesce(n.qualified_name, n.serialized_name) AS name, f.path, s.depth AS distance, {_ROLE} = 'test' AS test FROM s3 s JOIN node n USING (id) LEFT JOIN file f ON f.id = n.file_id)"
+_CERTAINTY = "CASE WHEN confidence >= 0.85 THEN 'certain' WHEN confidence >= 0.55 THEN 'probable' WHEN confidence IS NOT NULL THEN 'uncertain' WHEN kind = 'MEMBER' THEN 'certain' END"
+_TIER = "CASE WHEN coalesce({0}, 0) = 0 THEN 0 WHEN {0} <= 2 THEN 1 WHEN {0} <= 8 THEN 2 ELSE 3 END"
 _TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
 _BM25 = f"""
 w AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
@@ -132,6 +166,24 @@ _ALL = {
     "reverse_impact": (_g(lambda g: w.trail(g.edge.where("kind <> 'MEMBER'"), 4 * BASE + 5, 3, "incoming")), f"WITH GRAPH, {_EFFECTIVE}, {_bfs('40000000005', _IN, 3)} SELECT id, depth FROM s3"),
     "shortest_path_subgraph": (_g(lambda g: w.path_subgraph(g.edge, 1 * BASE + 1, 4 * BASE + 7, 5)), None),
     "graph_query": (_g(lambda g: execute(g, "trail(symbol: 'NATION_3', depth: 2) | filter(kind: method) | limit(40)")), None),
+    "store_counts": (_g(o.store_counts), "WITH GRAPH SELECT 'node' AS what, count(*) AS n FROM node UNION ALL SELECT 'edge', count(*) FROM edge UNION ALL SELECT 'file', count(*) FROM file"),
+    "effective_file_count": (_g(o.effective_file_count), "WITH GRAPH SELECT count(*) AS n FROM (SELECT id FROM file UNION SELECT id FROM node WHERE kind = 'FILE')"),
+    "edges_for_nodes": (_g(lambda g: o.edges_for_nodes(g, g.node.where("kind = 'STRUCT'"))), "WITH GRAPH, s AS (SELECT id FROM node WHERE kind = 'STRUCT') SELECT id, kind, source, target FROM edge WHERE source IN (FROM s) OR target IN (FROM s) OR resolved_target IN (FROM s)"),
+    "incoming_edges": (_g(lambda g: o.incoming_edges(g, 4 * BASE + 5)), f"WITH GRAPH, {_EFFECTIVE} SELECT id, kind, src FROM eff WHERE dst = 40000000005"),
+    "first_occurrence": (_g(o.first_occurrence), "WITH GRAPH SELECT element_id, file_id, min(line) AS line FROM occurrence JOIN (SELECT element_id, min(file_id) AS file_id FROM occurrence GROUP BY 1) USING (element_id, file_id) GROUP BY ALL"),
+    "top_root_symbols": (_g(lambda g: o.top_root_symbols(g, 40)), f"WITH GRAPH, t AS (SELECT file_id, id, row_number() OVER (PARTITION BY file_id ORDER BY {_RANK}, start_line, coalesce(qualified_name, serialized_name), id) AS row_num FROM node) SELECT * FROM t WHERE row_num <= 40 AND id NOT IN (SELECT target FROM edge WHERE kind = 'MEMBER')"),
+    "entry_evidence": (_g(o.entry_evidence), f"WITH GRAPH, {_DEGREES} SELECT n.id, CASE WHEN {_ROLE} = 'source' AND n.serialized_name = 'main' THEN 'main' WHEN {_ROLE} = 'source' AND coalesce(incoming, 0) = 0 AND outgoing >= 2 THEN 'topological_root' ELSE 'none' END AS evidence, {_TIER.format('incoming')} AS in_tier, {_TIER.format('outgoing')} AS out_tier FROM node n LEFT JOIN deg d USING (id) LEFT JOIN file f ON f.id = n.file_id WHERE n.kind = 'METHOD'"),
+    "balanced_neighbours": (_g(o.balanced_neighbours), f"WITH GRAPH, {_EFFECTIVE}, b AS (SELECT src AS id, dst AS other, kind, 'out' AS direction, id AS edge_id, {_CERTAINTY} = 'certain' AS sure FROM eff UNION ALL SELECT dst, src, kind, 'in', id, {_CERTAINTY} = 'certain' FROM eff), d AS (SELECT id, other, kind, direction, min(edge_id) AS edge_id, arg_min(kind = 'CALL' AND coalesce(sure, false), edge_id) AS c FROM b GROUP BY ALL), m AS (SELECT *, c AND row_number() OVER (PARTITION BY id, direction, c ORDER BY edge_id, other, kind) = 1 AS reserved FROM d) SELECT id, other, kind, direction, edge_id FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY CAST(reserved AS INT) DESC, edge_id, direction, other, kind) <= 8"),
+    "affected_listing": (_g(lambda g: o.affected_listing(o.affected(g, _changed(g), 3), "order")), f"WITH GRAPH, {_AFFECTED} SELECT id, name, path, distance FROM aff WHERE contains(lower(name), 'order') OR contains(lower(path), 'order') ORDER BY distance, path NULLS FIRST, name, CAST(id AS VARCHAR) LIMIT 200"),
+    "affected_tests": (_g(lambda g: o.affected_tests(o.affected(g, _changed(g), 3))), f"WITH GRAPH, {_AFFECTED} SELECT path, count(*) AS symbols, min(distance) AS distance FROM aff WHERE test GROUP BY path"),
+    "affected_totals": (_g(lambda g: o.affected_totals(o.affected(g, _changed(g), 3))), f"WITH GRAPH, {_AFFECTED} SELECT count(*) FILTER (distance = 0) AS direct, count(*) FILTER (distance > 0) AS propagated FROM aff"),
+    "canonical_fold": (_g(o.canonical_fold), f"WITH GRAPH, {_EFFECTIVE} SELECT src, dst, kind, count(*) AS n, CASE min(CASE c WHEN 'certain' THEN 3 WHEN 'probable' THEN 2 WHEN 'uncertain' THEN 1 ELSE 0 END) WHEN 3 THEN 'certain' WHEN 2 THEN 'probable' WHEN 1 THEN 'uncertain' END AS certainty, min(id) AS first_id FROM (SELECT *, {_CERTAINTY} AS c FROM eff) GROUP BY src, dst, kind"),
+    "signed_depth_layout": (_g(lambda g: o.signed_depth(g, w.trail(g.edge, 6 * BASE + 10, 2, "both"), 6 * BASE + 10)), f"WITH GRAPH, {_EFFECTIVE}, {_bfs('60000000010', _OUT + ' UNION ALL SELECT dst, src FROM eff', 2)}, bias AS (SELECT id, sum(b) AS bias FROM (SELECT dst AS id, 1 AS b FROM eff WHERE src = 60000000010 AND kind <> 'MEMBER' UNION ALL SELECT src, -1 FROM eff WHERE dst = 60000000010 AND kind <> 'MEMBER') GROUP BY id) SELECT id, CASE WHEN id = 60000000010 THEN 0 WHEN bias < 0 THEN -greatest(1, depth) ELSE greatest(1, depth) END AS depth FROM s2 LEFT JOIN bias USING (id)"),
+    "stale_cleanup": (_g(lambda g: x.stale_cleanup(g.edge).select("id", "resolved_target", "confidence")), "WITH GRAPH SELECT id, CASE WHEN keep THEN resolved_target END AS resolved_target, CASE WHEN keep THEN confidence END AS confidence FROM (SELECT *, kind <> 'CALL' OR resolved_target IS NULL OR coalesce(confidence, 0) >= 0.55 AS keep FROM edge)"),
+    "resolution_cascade": (_g(lambda g: x.cascade(*_requests(g))), "WITH GRAPH, c AS (SELECT id AS node_id, serialized_name AS name, file_id, split_part(serialized_name, ' ', 1) AS module FROM node WHERE kind = 'FIELD'), q AS (SELECT e.id AS edge_id, c.name, s.file_id, c.module FROM edge e JOIN c ON c.node_id = e.target JOIN node s ON s.id = e.source WHERE e.kind = 'USAGE' AND e.resolved_target IS NULL), f AS (SELECT file_id, name, min(node_id) AS n1 FROM c GROUP BY ALL), m AS (SELECT module, name, min(node_id) AS n2 FROM c GROUP BY ALL) SELECT edge_id, coalesce(n1, n2) AS node_id, CASE WHEN n1 IS NOT NULL THEN 0.95 ELSE 0.80 END AS confidence, CASE WHEN n1 IS NOT NULL THEN 'same_file' ELSE 'same_module' END AS strategy FROM q LEFT JOIN f USING (file_id, name) LEFT JOIN m USING (module, name)"),
+    "unambiguous_best": (_g(_best), "WITH GRAPH, b AS (SELECT source AS edge_id, target AS node_id, (target % 3) / 4.0 AS confidence FROM edge WHERE kind = 'TYPE_USAGE'), k AS (SELECT *, max(confidence) OVER (PARTITION BY edge_id) AS top FROM b) SELECT edge_id, min(node_id) AS node_id, confidence FROM k WHERE confidence = top GROUP BY edge_id, confidence HAVING count(*) = 1"),
+    "file_deletion": (_g(_deleted), "WITH GRAPH, dead AS (SELECT id FROM node WHERE file_id % 4 = 1 AND file_id IN (SELECT id FROM file)) SELECT kind, count(*) AS n, count(resolved_target) AS resolved FROM edge WHERE source NOT IN (FROM dead) AND target NOT IN (FROM dead) GROUP BY kind"),
+    "hits_per_file": (_g(_capped), "WITH GRAPH SELECT n.id, path, n.id % 7 AS score, n.id % 11 = 0 AS exact FROM node n JOIN file f ON f.id = n.file_id WHERE n.kind = 'FIELD' QUALIFY n.id % 11 = 0 OR row_number() OVER (PARTITION BY path, n.id % 11 = 0 ORDER BY n.id % 7 DESC, n.id) <= 2"),
     "lexical_search": (_lexical, f"WITH {_BM25} SELECT * FROM lexical"),
     "dense_search": (_dense, f"WITH {_DENSE} SELECT * FROM dense"),
     "hybrid_search": (_hybrid, f"WITH {_BM25}, {_DENSE}, ranks AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM lexical UNION ALL SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) FROM dense) SELECT key, round(sum(1.0 / (60 + rank)), 6) AS score, count(*) AS lanes FROM ranks GROUP BY key ORDER BY score DESC, key LIMIT 30"),

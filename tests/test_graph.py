@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomgraph.functions.graph import certainty_of, node_rank
-from loomgraph.operators import relational, traverse
+from loomgraph.operators import relational, resolution, traverse
 from loomgraph.operators.retrieval import fuse, lane_ranks
 from loomgraph.plans.queries import ORACLE_SQL, QUERIES
 from loomgraph.plans.query_language import QueryError, parse
@@ -107,3 +107,23 @@ def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_cascade_asks_in_order_and_ambiguity_gives_nothing(spark):
+    shape = "node_id long, name string, file_id long, module string"
+    c = spark.createDataFrame([(1, "f", 1, "m"), (2, "f", 2, "m"), (3, "g", 3, "n"), (4, "h", 4, "p"), (5, "h", 5, "q")], shape)
+    q = spark.createDataFrame([(10, "f", 2, "z"), (11, "f", 9, "m"), (12, "g", 9, None), (13, "h", 9, "z"), (14, None, 1, "m")], "edge_id long, name string, file_id long, module string")
+    found = {r.edge_id: (r.node_id, r.strategy) for r in resolution.cascade(q, c).collect()}
+    assert found == {10: (2, "same_file"), 11: (1, "same_module"), 12: (3, "global_unique")}
+
+
+def test_overrides_follow_inheritance_and_end_on_cycles(spark):
+    e = edges(spark, ("MEMBER", 1, 11, None, None), ("MEMBER", 2, 12, None, None), ("MEMBER", 3, 13, None, None), ("INHERITANCE", 1, 2, None, None), ("INHERITANCE", 2, 3, None, None), ("INHERITANCE", 3, 1, None, None))
+    n = spark.createDataFrame([(11, "METHOD", "A::run"), (12, "METHOD", "B::stop"), (13, "METHOD", "C::run")], "id long, kind string, serialized_name string")
+    assert {(r.method, r.overridden) for r in resolution.overrides(Graph(n, e, None, None)).collect()} == {(11, 13), (13, 11)}
+
+
+def test_updates_touch_only_their_edges(spark):
+    e = edges(spark, ("CALL", 1, 2, None, None), ("CALL", 1, 3, 4, 0.9))
+    u = spark.createDataFrame([(0, 7, 0.8)], "edge_id long, node_id long, confidence double")
+    assert {(r.id, r.resolved_target, r.confidence) for r in resolution.apply_updates(e, u).collect()} == {(0, 7, 0.8), (1, 4, 0.9)}
