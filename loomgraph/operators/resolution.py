@@ -67,8 +67,9 @@ def ancestors(inheritance: DataFrame, most: int = 64) -> DataFrame:
     steps = inheritance.select(F.col("child").alias("type"), F.col("parent").alias("ancestor")).where("type <> ancestor").distinct()
     seen = frontier = durable(steps)
     for _ in range(most):
-        further = frontier.alias("f").join(steps.alias("s"), F.col("f.ancestor") == F.col("s.type")).select("f.type", "s.ancestor").where("type <> ancestor").distinct()
-        frontier = durable(further.join(seen, ["type", "ancestor"], "left_anti"))
+        further = frontier.alias("f").join(steps.alias("s"), F.col("f.ancestor") == F.col("s.type")).select(F.col("f.type").alias("a"), F.col("s.ancestor").alias("b")).where("a <> b").distinct()
+        known = (F.col("a") == F.col("type")) & (F.col("b") == F.col("ancestor"))
+        frontier = durable(further.join(seen, known, "left_anti").toDF("type", "ancestor"))
         if frontier.isEmpty():
             break
         seen = durable(seen.unionByName(frontier))
