@@ -5,13 +5,17 @@
 2. Generators with much looser patterns propose further, overlapping spans of the same kinds:
    spelt-out addresses, other separators, numbers without a plus or of other lengths.
 3. Each candidate is described by its format (digit count, separators, checksum, part sizes) and
-   its context (a telling word before it, the characters next to it), all in a few values. Counts of
-   these descriptions, split by whether a base span of the kind confirms the candidate, cover all
-   documents and are few whatever the input; on them the driver fits boosted trees of depth two for
-   logistic loss, written here.
-4. The trees become column expressions. A threshold per kind is calibrated on the counts, the
-   least score from which on at least ``PRECISION`` of the candidates are confirmed; candidates
-   beyond it are added where they meet no base span and no better candidate.
+   the characters next to it, all in a few values. What the trees learn is held back from them: a
+   telling word before the candidate. Base spans show how often such a word precedes true spans of
+   a kind, candidates of the other kinds how often it precedes anything, so the share of telling
+   words of a description gives the number of true spans in it, whether or not a base pattern
+   matches them. Counts of descriptions cover all documents and are few whatever the input; on them
+   the driver fits boosted trees of depth two for logistic loss, written here.
+4. The trees become column expressions. A threshold per kind is calibrated on the candidates that
+   could be added, the least score from which on at least ``PRECISION`` of them are true by the
+   same evidence; candidates beyond it are added where they meet no base span and no better one.
+   A kind whose base spans are fewer than ``EVIDENCE``, or whose telling words are no more frequent
+   before them than elsewhere by ``CONTRAST``, gives no evidence and adds none.
 
 Defined results: null and empty texts have no spans (digest of an empty string); positions are
 code points, ends exclusive; repeated rows are documents of their own; an empty table gives an
@@ -23,13 +27,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, read_table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION, ROUNDS, RATE, PRIOR = 0.9, 16, 0.4, 2.0
+EVIDENCE, CONTRAST = 20, 0.2
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The base patterns, written so that no start within a run is tried twice.
 BASE = {
@@ -46,7 +51,9 @@ LOOSE = {
 }
 #: Words before a candidate that tell its kind.
 CUES = {"email": r"mail|contact|write|schreib", "ip": r"\bip\b|host|server|addr", "card": r"card|visa|master|carte|karte|tarjeta|credit", "phone": r"phone|tel|call|fax|mobil|whatsapp"}
-FEATURES = ("kind", "digits", "separated", "checksum", "parts", "plus", "cue", "left", "right")
+FEATURES = ("kind", "digits", "separated", "checksum", "parts", "plus", "left", "right")
+#: What some loose pattern needs to match.
+TRIGGER = r"[0-9@]|\[at\]|\(at\)"
 
 
 def sums_before(values: Column, chunk: int = 256) -> Column:
@@ -99,7 +106,7 @@ def base_valid(kind: str, found: Column) -> Column:
 
 
 def _described(text: Column, kind: str, x: Column) -> Column:
-    """Kind, place and features of a candidate; every feature has few values."""
+    """Kind, place, features and telling words (a bit for each kind's) of a candidate; every feature has few values."""
     found, start, end = x["found"], x["start"], x["end"]
     digits = _digits(found)
     n = F.length(digits)
@@ -108,17 +115,17 @@ def _described(text: Column, kind: str, x: Column) -> Column:
     side = lambda c: F.when(c == "", 0).when(c.rlike(r"^[\s,;:()\[\]]"), 1).when(c.rlike("^[A-Za-z0-9]"), 2).otherwise(3)
     last = F.when(start > 0, F.substring(text, start.cast("int"), F.lit(1))).otherwise(F.lit(""))
     after = F.substring(text, end.cast("int") + 1, F.lit(1))
-    separated = {"email": F.when(found.rlike(r"@.*\."), 0).when(found.rlike("@"), 1).otherwise(2), "ip": F.when(found.rlike(r"^[0-9]+(\.[0-9]+){3}$"), 0).otherwise(1)}.get(kind, F.when(found.rlike("^[+0-9]*$"), 0).when(found.rlike(r"[./]"), 2).otherwise(1))
+    separated = {"email": F.when(found.rlike(r"^[^\x20\[(]+@[^\x20\[(]+\.[^\x20\[(]+$"), 0).when(found.rlike(r"@.*(\.|dot)"), 1).when(found.rlike("@"), 2).otherwise(3), "ip": F.when(found.rlike(r"^[0-9]+(\.[0-9]+){3}$"), 0).otherwise(1)}.get(kind, F.when(found.rlike("^[+0-9]*$"), 0).when(found.rlike(r"[./]"), 2).otherwise(1))
     return F.struct(
         F.lit(kind).alias("kind_name"), start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), bucket.alias("digits"), separated.alias("separated"),
         F.when(n.between(12, 23), _luhn(digits)).otherwise(F.lit(False)).cast("int").alias("checksum"), F.when(F.lit(kind == "ip"), _parts_fit(found)).otherwise(F.lit(False)).cast("int").alias("parts"),
-        F.startswith(found, F.lit("+")).cast("int").alias("plus"), before.rlike(CUES[kind]).cast("int").alias("cue"), side(last).alias("left"), side(after).alias("right"),
+        F.startswith(found, F.lit("+")).cast("int").alias("plus"), reduce(Column.__add__, [before.rlike(CUES[k]).cast("int") * (1 << b) for b, k in enumerate(KINDS)]).alias("cues"), side(last).alias("left"), side(after).alias("right"),
     )
 
 
 def _with_spans(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with ``base`` (kind_name, start, end) and ``candidates``; texts without a digit or at sign are passed by."""
-    d = docs.withColumn("scanned", F.when(text.rlike("[0-9@]"), text))
+    """``docs`` with ``base`` (kind_name, start, end) and ``candidates``; texts that no pattern can match are passed by."""
+    d = docs.withColumn("scanned", F.when(text.rlike(TRIGGER), text))
     seen, t = F.col("scanned").isNotNull(), F.col("scanned")
     for kind in KINDS:
         d = d.withColumn(f"all_{kind}", F.when(seen, spans_of(t, BASE[kind]))).withColumn(f"loose_{kind}", F.when(seen, spans_of(t, LOOSE[kind])))
@@ -190,10 +197,10 @@ def score_column(x: Column, model: tuple[float, list[Tree]]) -> Column:
 
 
 def calibrate(rows: list[tuple[dict[str, int], float, float]], model: tuple[float, list[Tree]], precision: float = PRECISION) -> dict[int, float]:
-    """Per kind the least score from which on the candidates are confirmed at that rate; infinite if there is none.
+    """Per kind the least score from which on the candidates are true at that rate; infinite if there is none.
 
-    Both all candidates from the score on and, going down, those of each score by themselves must
-    reach the rate (one failure is assumed beside those seen).
+    Both all candidates from the score on (one failure is assumed beside those seen) and, going
+    down, those of each score by themselves must reach the rate.
     """
     out = {}
     for kind in range(len(KINDS)):
@@ -206,9 +213,40 @@ def calibrate(rows: list[tuple[dict[str, int], float, float]], model: tuple[floa
         for score in sorted(counts, reverse=True):
             y, n = counts[score]
             yes, no = yes + y, no + n
-            if yes < precision * (yes + no) or y < precision * (y + n):
+            if y < precision * (y + n):
                 break
-            out[kind] = score
+            if yes >= precision * (yes + no):
+                out[kind] = score
+    return out
+
+
+def cue_rates(found: list[Row]) -> dict[int, tuple[float, float]]:
+    """Per kind with evidence, how often its telling words precede its base spans and candidates of other kinds."""
+    out = {}
+    for kind in range(len(KINDS)):
+        share = lambda rows: (sum(r["n"] for r in rows if r["cues"] >> kind & 1), sum(r["n"] for r in rows))  # noqa: B023, E731
+        true, n_true = share([r for r in found if r["kind"] == kind and r["confirmed"]])
+        other, n_other = share([r for r in found if r["kind"] != kind])
+        # One word beside those seen is assumed elsewhere.
+        rates = true / max(n_true, 1), (other + 1) / (n_other + 1)
+        if n_true >= EVIDENCE and rates[0] - rates[1] >= CONTRAST:
+            out[kind] = rates
+    return out
+
+
+def expected(found: list[Row], rates: dict[int, tuple[float, float]]) -> list[tuple[dict[str, int], float, float]]:
+    """(features, true ones, others) of each description, by its share of telling words; none are true where there is no evidence but base spans."""
+    groups: dict[tuple[int, ...], list[float]] = {}
+    for r in found:
+        own = groups.setdefault(tuple(int(r[f]) for f in FEATURES), [0.0, 0.0, 0.0])
+        own[0] += r["n"]
+        own[1] += r["n"] if r["cues"] >> r["kind"] & 1 else 0
+        own[2] += r["n"] if r["confirmed"] else 0
+    out = []
+    for values, (n, cued, confirmed) in sorted(groups.items()):
+        high, low = rates.get(values[0], (None, None))
+        yes = confirmed if high is None else min(n, max(0.0, (cued - low * n) / (high - low)))
+        out.append((dict(zip(FEATURES, values)), yes, n - yes))
     return out
 
 
@@ -216,11 +254,12 @@ def train(spanned: DataFrame) -> tuple[tuple[float, list[Tree]], dict[int, float
     """Trees and thresholds from the counts of all candidates' descriptions; the number of descriptions is bounded."""
     c = spanned.where(F.size("candidates") > 0).select("base", F.explode("candidates").alias("c"))
     confirmed = F.exists("base", lambda b: (b["kind_name"] == F.col("c.kind_name")) & (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")))
-    counted = c.withColumn("yes", confirmed.cast("long")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.sum("yes").alias("yes"), F.count(F.lit(1)).alias("n"))
-    found = sorted(counted.collect())
-    rows = [({f: int(r[f]) for f in FEATURES}, float(r["yes"]), float(r["n"] - r["yes"])) for r in found]
-    model = fit_trees(rows)
-    return model, calibrate(rows, model)
+    described = [F.col(f"c.{f}").alias(f) for f in (*FEATURES, "cues")]
+    found = c.groupBy(*described, confirmed.alias("confirmed"), F.exists("base", lambda b: _meets(b, F.col("c"))).alias("met")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rates = cue_rates(found)
+    model = fit_trees(expected(found, rates))
+    thresholds = calibrate(expected([r for r in found if not r["met"]], rates), model)
+    return model, {kind: t if kind in rates else math.inf for kind, t in thresholds.items()}
 
 
 def _all_spans(model: tuple[float, list[Tree]], thresholds: dict[int, float]) -> Column:
