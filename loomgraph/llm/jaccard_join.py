@@ -28,6 +28,7 @@ non-null doc_id); an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +73,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     tokens = np.concatenate([r[3] for r in rows])
-    uid = hashlib.blake2b(repr([r[:2] for r in rows]).encode(), digest_size=16).digest()
+    uid = uuid.uuid4().bytes  # equal batches stay apart; the table is written before it is used, so ids last
     columns = [pa.array([uid], pa.binary()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.binary())), pa.array([[r[2] for r in rows]], pa.list_(pa.int64())), pa.array([tokens.tobytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["batch", "doc_ids", "sets", "sizes", "tokens"])
 
