@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,30 +16,67 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is a temporary one set.
+    Where the session names none, a folder of the warehouse, which they share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="loomgraph-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomgraph-cuts"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Shuffle files go when the execution that made them ends; what it wrote is in the shared folder by then.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _lean(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _lean(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomgraph_cut = (path, None)  # type: ignore[attr-defined]
+    return out
 
 
 def cut_bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
     """As ``cut``, kept in hash buckets of ``keys``: later joins on them leave these rows where they are."""
     spark = df.sparkSession
     name = f"loomgraph_{uuid.uuid4().hex}"
-    (df.write.bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/loomgraph/{name}").saveAsTable(name))
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/loomgraph/{name}"
+    with _lean(spark):
+        df.write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._loomgraph_cut = (path, name)  # type: ignore[attr-defined]
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of cut tables that nothing will read again; other frames are left alone."""
+    for table in tables:
+        path, name = getattr(table, "_loomgraph_cut", (None, None)) if table is not None else (None, None)
+        if path is None:
+            continue
+        spark = table.sparkSession
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -69,6 +106,16 @@ def map_batches(df: DataFrame, run: Callable[[_Batches], _Batches], shape: str |
     return df.mapInArrow(lean, shape)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that an operator's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unfolded(df: DataFrame, row: str, columns: list[str], changed: dict[str, Column]) -> DataFrame:
+    """The struct ``row`` as columns again, those in ``changed`` replaced."""
+    return df.select(*[(changed[c] if c in changed else F.col(row).getField(c)).alias(c) for c in columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

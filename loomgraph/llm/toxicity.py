@@ -12,8 +12,9 @@ which few telling words in a long text still count; likewise under the lower ord
 bigrams are sparse. Logistic regression on these six numbers turns them into a score; it is fitted
 on rows apart from those whose counts made the models, at most ``CALIBRATION_ROWS`` of them.
 
-Counts are kept by hashes of words (64 bits) and bigrams (40 bits within a range, ranges grow in number with the input) in distributed tables that grow with the
-vocabulary; the driver holds five totals. Texts are written once as batches of word numbers.
+Counts are kept in distributed tables that grow with the vocabulary, by hashes of words (48 bits) and bigrams; a key travels as
+the 32 bits that follow those of its range, and ranges grow in number with the input, so that about one key in 10,000 shares its
+counts with another at any size. The driver holds five totals. Texts are written once as batches of word numbers.
 Each batch sends its distinct bigrams, packed by ranges of hashes, and gets each one's counts over
 all batches back; then likewise its distinct words. Of the batches that hold a key one is told that
 it is the key's owner, which is how distinct bigrams are counted by their words.
@@ -27,26 +28,27 @@ are documents of their own; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, cut_bucketed, map_batches, read_table, shuffle_partitions, text_of
+from loomgraph.llm.common import cut, cut_bucketed, map_batches, read_table, release, shuffle_partitions, text_of
 from loomgraph.llm.tokens import mix, pieces, words
 
-BATCH_WORDS, BUCKET_KEYS = 1 << 19, 1 << 19
-#: Bytes of a bigram's hash that follow the bits of its bucket, and of a word's whole hash.
-PAIR_BYTES, WORD_BYTES = 5, 8
+BATCH_WORDS, BUCKET_KEYS = 1 << 20, 1 << 20
+#: Bits of a word's hash; bits of a key's hash that follow those of its bucket.
+WORD_BITS, KEY_BITS = np.uint64(48), np.uint64(32)
 DISCOUNTS = (0.0, 1.0, 1.5, 2.0)
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 START = np.uint64(0x9E3779B97F4A7C15)
 _WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _BLANK = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 COMPARISONS = ("mean", "power1", "power2", "low_mean", "low_power1", "low_power2")
 _PART = "batch binary, bucket int, width int, counts binary"
@@ -66,13 +68,18 @@ def _batches(docs: DataFrame, batch_words: int) -> DataFrame:
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         ids, digests, sizes, hashes = zip(*held)
-        vocabulary, places = np.unique(np.concatenate([np.array([START]), *hashes]), return_inverse=True)
+        vocabulary, places, often = np.unique(np.concatenate([np.array([START]), *hashes]) & _WORD_MASK, return_inverse=True, return_counts=True)
+        # The commonest words have the least numbers, so numbers compress well; the start of a text is number 0.
+        often[places[0]] = np.iinfo(np.int64).max
+        order = np.lexsort((vocabulary, -often))
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.arange(len(order))
         # The id is random: equal batches stay apart. The table is written before it is used, so ids last.
         columns = [
             pa.array([uuid.uuid4().bytes], pa.binary()), pa.array([[x for part in ids for x in part]], pa.list_(pa.int64())), pa.array([[x for part in digests for x in part]], pa.list_(pa.binary())),
-            pa.array([np.concatenate(sizes).tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()), *_packed(places[1:]),
+            pa.array([np.concatenate(sizes).tolist()], pa.list_(pa.int64())), pa.array([len(vocabulary)], pa.int64()), pa.array([_rising(vocabulary[order] >> (np.uint64(64) - WORD_BITS))], pa.binary()), *_packed(number[places[1:]]),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["batch", "doc_ids", "digests", "sizes", "vocabulary", "width", "places"])
+        return pa.RecordBatch.from_arrays(columns, names=["batch", "doc_ids", "digests", "sizes", "distinct", "vocabulary", "width", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -89,18 +96,42 @@ def _batches(docs: DataFrame, batch_words: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    shape = "batch binary, doc_ids array<long>, digests array<binary>, sizes array<long>, vocabulary binary, width int, places binary"
+    shape = "batch binary, doc_ids array<long>, digests array<binary>, sizes array<long>, distinct long, vocabulary binary, width int, places binary"
     return map_batches(docs, run, shape)
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Values in ``width`` bytes, first bytes first: like bytes stand together and compress."""
+    return _COMPRESS.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def _unplanes(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(_DECOMPRESS.decompress(data), dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()
+
+
 def _packed(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """The bytes that each count takes, and the counts in that width, compressed."""
     width = next(w for w, kind in _WIDTHS.items() if counts.max(initial=0) <= np.iinfo(kind).max)
-    return pa.array([width], pa.int32()), pa.array([zlib.compress(counts.astype(_WIDTHS[width]).tobytes(), 1)], pa.binary())
+    return pa.array([width], pa.int32()), pa.array([_planes(counts.ravel(), width)], pa.binary())
 
 
 def _read(counts: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(counts), dtype=_WIDTHS[width]).astype(np.int64)
+    return _unplanes(counts, width).astype(np.int64)
+
+
+_WORD_MASK = ~((np.uint64(1) << (np.uint64(64) - WORD_BITS)) - np.uint64(1))
+
+
+def _rising(values: np.ndarray, bits: int = int(WORD_BITS)) -> bytes:
+    """Values below 2**bits that mostly rise, as their differences."""
+    return _planes(np.diff(values, prepend=np.uint64(0)), bits // 8)
+
+
+def _unrising(data: bytes, bits: int = int(WORD_BITS)) -> np.ndarray:
+    return np.cumsum(_unplanes(data, bits // 8), dtype=np.uint64) & ((np.uint64(1) << np.uint64(bits)) - np.uint64(1))
 
 
 def _bigrams(vocabulary: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +139,7 @@ def _bigrams(vocabulary: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> t
     before = np.empty_like(places)
     before[1:] = places[:-1]
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[first] = np.searchsorted(vocabulary, START)
+    before[first] = 0
     pairs, which = np.unique(before * len(vocabulary) + places, return_inverse=True)
     u, w = pairs // len(vocabulary), pairs % len(vocabulary)
     return mix(mix(vocabulary[u]) + vocabulary[w]), u, w, which
@@ -121,21 +152,25 @@ def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket, np.arange((1 << bits) + 1))
 
 
-def _deal(batch: bytes, keys: np.ndarray, counts: np.ndarray, bits: int, key_bytes: int) -> Iterator[pa.RecordBatch]:
-    """A batch's keys and a row of counts for each column, by bucket; of a key its first bytes after the bucket's bits go."""
+def _deal(batch: bytes, keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """A batch's keys and a row of counts for each column, by bucket; of a key the bits after the bucket's go, in rising order."""
     order, bounds = _by_bucket(keys, bits)
-    short = (keys if key_bytes == 8 else keys << np.uint64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :key_bytes]
+    short = (keys << np.uint64(bits)) >> (np.uint64(64) - KEY_BITS)
+    rows = []
     for b in np.flatnonzero(np.diff(bounds)).tolist():
         own = order[bounds[b] : bounds[b + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array([batch], pa.binary()), pa.array([b], pa.int32()), *_packed(counts[:, own]), pa.array([short[own].tobytes()], pa.binary())], names=["batch", "bucket", "width", "counts", "keys"])
+        rows.append((batch, b, *_packed(counts[:, own]), _rising(short[own], int(KEY_BITS))))
+    if rows:
+        batches, buckets, widths, packed, short_keys = zip(*rows)
+        columns = [pa.array(batches, pa.binary()), pa.array(buckets, pa.int32()), pa.concat_arrays(widths), pa.concat_arrays(packed), pa.array(short_keys, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["batch", "bucket", "width", "counts", "keys"])
 
 
-def _answers(dealt: DataFrame, columns: int, key_bytes: int) -> DataFrame:
+def _answers(dealt: DataFrame, columns: int) -> DataFrame:
     """(batch, parts): for each dealt key, by bucket, the sums of its counts over all batches, and whether the batch is its owner."""
 
     def add(table: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(x.as_buffer(), dtype=np.uint8).reshape(-1, key_bytes) for x in table.column("keys")]
-        parts = [np.pad(x, ((0, 0), (0, 8 - key_bytes))).view(">u8").ravel().astype(np.uint64) for x in raw]
+        parts = [_unrising(x.as_buffer(), int(KEY_BITS)) for x in table.column("keys")]
         counts = [_read(c.as_buffer(), w).reshape(columns, -1) for c, w in zip(table.column("counts"), table.column("width").to_pylist())]
         found, first, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
         owner = np.zeros(len(back), dtype=np.int64)
@@ -167,7 +202,7 @@ def _contents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
     """Row, vocabulary, word places and sizes of each batch of texts."""
     named = {name: batch.column(name) for name in ("vocabulary", "places", "width", "sizes")}
     for i in range(batch.num_rows):
-        vocabulary = np.frombuffer(named["vocabulary"][i].as_buffer(), dtype=np.uint64)
+        vocabulary = _unrising(named["vocabulary"][i].as_buffer()) << (np.uint64(64) - WORD_BITS)
         yield i, vocabulary, _read(named["places"][i].as_buffer(), named["width"][i].as_py()), np.array(named["sizes"][i].as_py(), dtype=np.int64)
 
 
@@ -194,17 +229,22 @@ def log_ratios(bigram: np.ndarray, before: np.ndarray, word: np.ndarray, totals:
         n, mass = max(totals[c], 1), max(totals[3 + c], 1.0)
         lower = np.maximum(word[c] - _taken(word[c]), 0) / n + mass / n * backoff
         context = np.maximum(before[c], 1)
-        logs.append(np.log(np.where(before[c] > 0, np.maximum(bigram[c] - _taken(bigram[c]), 0) / context + before[2 + c] / context * lower, lower)))
+        # A context with bigrams has a mass of 1 at least; bigrams that share a hash must not leave it less.
+        spare = np.maximum(before[2 + c], 1.0)
+        logs.append(np.log(np.where(before[c] > 0, np.maximum(bigram[c] - _taken(bigram[c]), 0) / context + spare / context * lower, lower)))
         lows.append(np.log(lower))
     return logs[0] - logs[1], lows[0] - lows[1]
 
 
 def _compared(ratios: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each text the three length-normalised comparisons of its words' ratios."""
-    r = np.minimum(ratios, 8.0)
+    """For each text the three length-normalised comparisons of its words' ratios; the greatest is taken out before powers."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
+    top = np.full(len(sizes), -np.inf)
+    np.maximum.at(top, doc, ratios)
+    top = np.where(sizes > 0, top, 0.0)
     mean = lambda x, empty: np.where(sizes > 0, np.bincount(doc, weights=x, minlength=len(sizes)) / np.maximum(sizes, 1), empty)
-    return np.column_stack([mean(r, 0.0), np.log(mean(np.exp(r), 1.0)), np.log(mean(np.exp(2 * r), 1.0)) / 2])
+    below = ratios - top[doc]
+    return np.column_stack([mean(ratios, 0.0), top + np.log(mean(np.exp(below), 1.0)), top + np.log(mean(np.exp(2 * below), 1.0)) / 2])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -234,7 +274,7 @@ def compare(docs: DataFrame, known: DataFrame, batch_words: int = BATCH_WORDS, b
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(text_of()).alias("digest"), text_of().alias("text"))
     batches = cut_bucketed(_batches(texts, batch_words), buckets, "batch")
     size = F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))
-    total = batches.agg(size.alias("words"), F.sum(F.length("vocabulary") / 8).alias("own")).first()
+    total = batches.agg(size.alias("words"), F.sum("distinct").alias("own")).first()
     of_pairs, of_words = _bits(total.words or 0, bucket_keys), _bits(total.own or 0, bucket_keys)
     # Labels meet the rows' places in batches, so no text moves. The join is by sorting at any size of the labels.
     rows = batches.select("batch", F.posexplode("doc_ids").alias("place", "doc_id"))
@@ -246,7 +286,7 @@ def compare(docs: DataFrame, known: DataFrame, batch_words: int = BATCH_WORDS, b
             for i, vocabulary, places, sizes in _contents(batch):
                 keys, _, _, which = _bigrams(vocabulary, places, sizes)
                 counts = np.stack([np.bincount(own, minlength=len(keys)) for own in _class_bigrams(batch.column("marks")[i], sizes, which)])
-                yield from _deal(batch.column("batch")[i].as_py(), keys, counts, of_pairs, PAIR_BYTES)
+                yield from _deal(batch.column("batch")[i].as_py(), keys, counts, of_pairs)
 
     def deal_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -260,7 +300,7 @@ def compare(docs: DataFrame, known: DataFrame, batch_words: int = BATCH_WORDS, b
                 of = lambda at, x: np.bincount(at, weights=x * owner, minlength=n).astype(np.int64)  # noqa: B023, E731
                 # Masses are halves at most, so they travel doubled.
                 counts = [*own, of(u, 2 * _taken(toxic)), of(u, 2 * _taken(ordinary)), of(w, toxic > 0), of(w, ordinary > 0), of(w, 1)]
-                yield from _deal(batch.column("batch")[i].as_py(), vocabulary, np.stack(counts), of_words, WORD_BYTES)
+                yield from _deal(batch.column("batch")[i].as_py(), vocabulary, np.stack(counts), of_words)
 
     def sum_up(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(5)
@@ -275,9 +315,9 @@ def compare(docs: DataFrame, known: DataFrame, batch_words: int = BATCH_WORDS, b
     dealt = "batch binary, bucket int, width int, counts binary, keys binary"
     content = ("batch", "sizes", "vocabulary", "width", "places")
     for_pairs = map_batches(batches.join(marked, "batch", "left").select(*content, "marks"), deal_pairs, dealt)
-    pairs = cut_bucketed(_answers(for_pairs, 2, PAIR_BYTES), buckets, "batch")
+    pairs = cut_bucketed(_answers(for_pairs, 2), buckets, "batch")
     for_words = map_batches(batches.join(pairs, "batch").join(marked, "batch", "left").select(*content, "marks", "parts"), deal_words, dealt)
-    vocabulary_counts = cut_bucketed(_answers(for_words, 7, WORD_BYTES), buckets, "batch")
+    vocabulary_counts = cut_bucketed(_answers(for_words, 7), buckets, "batch")
     sums = map_batches(vocabulary_counts.select("parts"), sum_up, "a double, b double, c double, d double, e double")
     totals = np.array([x or 0.0 for x in sums.agg(*[F.sum(c) for c in "abcde"]).first()])
 
@@ -294,7 +334,9 @@ def compare(docs: DataFrame, known: DataFrame, batch_words: int = BATCH_WORDS, b
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, batch.column("digests")[i].values, *[pa.array(c) for c in x.T]], names=["doc_id", "digest", *COMPARISONS])
 
     whole = batches.join(pairs, "batch", "left").join(vocabulary_counts.withColumnRenamed("parts", "words"), "batch", "left")
-    return cut(map_batches(whole, rate, "doc_id long, digest binary, " + ", ".join(f"{c} double" for c in COMPARISONS)))
+    rated = cut(map_batches(whole, rate, "doc_id long, digest binary, " + ", ".join(f"{c} double" for c in COMPARISONS)))
+    release(batches, marked, pairs, vocabulary_counts)
+    return rated
 
 
 @dataclass

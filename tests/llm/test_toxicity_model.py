@@ -41,7 +41,7 @@ def brute(texts, labels):
     for t in texts:
         own = []
         for p in ([math.log(high(0, u, w) / high(1, u, w)) for u, w in pairs(t)], [math.log(low(0, w) / low(1, w)) for _, w in pairs(t)]):
-            p = np.minimum(p, 8.0)
+            p = np.array(p)
             own += [p.mean(), math.log(np.exp(p).mean()), math.log(np.exp(2 * p).mean()) / 2] if len(p) else [0.0] * 3
         out.append(own)
     return np.array(out)
