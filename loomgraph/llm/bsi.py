@@ -8,17 +8,19 @@ from the most significant slice downward, and rows that tie at the boundary by s
 and query chunks are dealt out in a grid; each block gives at most k rows a query, which are
 merged.
 
-Values are quantised as floor(scale * x) and held within +-2**24. Defined results: vectors that
-are null or hold a null, NaN or infinite component are neither queries nor candidates; a shorter
-vector counts as padded with zeros; rows with a query's own id are not its candidates; repeated
-query rows are answered once for each distinct vector with the same rank order, the first by
-content; repeated candidate rows are candidates of their own; an empty table gives an empty
-result; other columns are ignored.
+Values are quantised as floor(scale * x); a block has as many slices as its own values need. Scores
+are 64-bit where all products surely fit and 38-digit decimals elsewhere, so they are exact up to
+components of 2**60 after quantising, at which greater ones are held (no product of such fits a
+decimal). Defined results: vectors that are null or hold a null, NaN or infinite component are
+neither queries nor candidates; a shorter vector counts as padded with zeros; rows with a query's
+own id are not its candidates; query rows of one id and several vectors are answered each, those
+alike in both once; repeated candidate rows are candidates of their own; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, read_table
 
-BLOCK_ROWS, CHUNK_QUERIES, LIMIT = 1 << 14, 128, 1 << 24
+BLOCK_ROWS, CHUNK_QUERIES, LIMIT = 1 << 14, 1024, 1 << 60
 
 
 def quantised(vector: str, scale: int) -> Column:
     """The integer components, null where the vector takes no part."""
     x = lambda v: v.cast("double")
     fine = F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(x(v)) & (F.abs(x(v)) < float("inf")))
-    whole = F.transform(vector, lambda v: F.least(F.greatest(F.floor(F.least(F.greatest(x(v) * scale, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))), F.lit(-LIMIT)), F.lit(LIMIT)).cast("int"))
+    # A whole double at the limit is exact, so holding there needs no integers.
+    whole = F.transform(vector, lambda v: F.least(F.greatest(F.floor(F.least(F.greatest(x(v) * scale, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))), F.lit(-LIMIT)), F.lit(LIMIT)).cast("long"))
     return F.when(fine, whole)
 
 
@@ -63,7 +66,8 @@ def weighted_sum(slices: np.ndarray, low: int, weights: np.ndarray) -> tuple[lis
         own = np.flatnonzero(weights * sign > 0)
         size = np.abs(weights[own])
         # value = low + s with s from the slices; for a negative weight -s = s' - (2**bits - 1) with the complement s'.
-        shift += int((weights[own] * low).sum()) - (int(size.sum()) * ((1 << bits) - 1) if sign < 0 else 0)
+        total = sum(size.tolist())
+        shift += sign * total * low - (total * ((1 << bits) - 1) if sign < 0 else 0)
         for j in range(int(size.max(initial=0)).bit_length()):
             dims = own[(size >> j) & 1 == 1]
             if len(dims):
@@ -118,10 +122,12 @@ def top_rows(slices: list[np.ndarray], present: np.ndarray, k: int) -> np.ndarra
     return np.sort(chosen)
 
 
-def sums_of(slices: list[np.ndarray], shift: int, rows: np.ndarray) -> np.ndarray:
-    total = np.full(len(rows), shift, dtype=np.int64)
+def sums_of(slices: list[np.ndarray], shift: int, rows: np.ndarray, wide: bool) -> np.ndarray:
+    """The sums of some rows, as Python integers where 64 bits may not do."""
+    total = np.full(len(rows), shift, dtype=object if wide else np.int64)
     for w, plane in enumerate(slices):
-        total += ((plane[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
+        bit = (plane[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
+        total += bit.astype(object) * (1 << w) if wide else bit.astype(np.int64) << w
     return total
 
 
@@ -147,14 +153,22 @@ def build_index(vectors: DataFrame, dims: int, blocks: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(build, "block int, ids binary, low long, bits int, slices binary")
 
 
+def _extent(vectors: DataFrame) -> tuple[int, int, int]:
+    """Rows, greatest number of components, greatest magnitude."""
+    peak = F.array_max(F.transform("values", lambda v: F.abs(v)))
+    r = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("values")).alias("d"), F.max(peak).alias("m")).first()
+    return r.n, r.d or 0, r.m or 0
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: both inputs have vec_id and ``values`` (array<int>)."""
-    shape = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("values")).alias("d")).first()
-    asked = queries.agg(F.max(F.size("values")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    dims, blocks, chunks = max(shape.d or 1, asked.d or 1), max(1, -(-shape.n // block_rows)), max(1, -(-asked.n // CHUNK_QUERIES))
+    """query_id, rank, vec_id, score: both inputs have vec_id and ``values`` (array<long>)."""
+    (n, width, peak), (asked, asked_width, asked_peak) = _extent(vectors), _extent(queries)
+    dims, blocks, chunks = max(width, asked_width, 1), max(1, -(-n // block_rows)), max(1, -(-asked // CHUNK_QUERIES))
+    wide = dims * peak * asked_peak >= 1 << 62
+    kind = pa.decimal128(38, 0) if wide else pa.int64()
     index = cut(build_index(vectors, dims, blocks))
-    one_each = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("values").alias("values"))
-    grid = one_each.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    one_each = queries.select(F.col("vec_id").alias("query_id"), "values").distinct().withColumn("vector", F.xxhash64("values"))
+    grid = one_each.withColumn("chunk", F.pmod(F.xxhash64("query_id", "vector"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     tiles = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -164,7 +178,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
             bits, low = right.column("bits")[0].as_py(), right.column("low")[0].as_py()
             slices = np.frombuffer(right.column("slices")[0].as_buffer(), dtype=np.uint64).reshape(dims, bits, -1)
             everyone = np.packbits(np.arange(slices.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
-            for query, weights in zip(left.column("query_id").to_pylist(), _matrix(left.column("values"), dims)):
+            for query, vector, weights in zip(left.column("query_id").to_pylist(), left.column("vector").to_pylist(), _matrix(left.column("values"), dims)):
                 present = everyone
                 own = np.arange(*np.searchsorted(ids, [query, query + 1]))
                 if len(own):
@@ -172,18 +186,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
                     np.bitwise_and.at(present, own >> 6, ~(np.uint64(1) << (own & 63).astype(np.uint64)))
                 sums, shift = weighted_sum(slices, low, weights)
                 rows = top_rows(sums, present, k)
-                found.append((np.full(len(rows), query), ids[rows], sums_of(sums, shift, rows)))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in columns))))
-
-    hits = grid.groupBy("block", "chunk").cogroup(tiles.groupBy("block", "chunk")).applyInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+                found.append((np.full(len(rows), query), np.full(len(rows), vector), ids[rows], sums_of(sums, shift, rows, wide)))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+        score = pa.array([Decimal(x) for x in columns[3].tolist()], kind) if wide else pa.array(columns[3], kind)
+        return pa.table(dict(zip(("query_id", "vector", "vec_id", "score"), (*(pa.array(c, pa.int64()) for c in columns[:3]), score))))
+
+    shape = f"query_id long, vector long, vec_id long, score {'decimal(38,0)' if wide else 'long'}"
+    hits = grid.groupBy("block", "chunk").cogroup(tiles.groupBy("block", "chunk")).applyInArrow(search, shape)
+    best = Window.partitionBy("query_id", "vector").orderBy(F.col("score").desc(), F.col("vec_id"))
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """The contract's score is a long: one beyond its range is given as the nearest long, its rank is exact."""
     vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding", 64).alias("values")).where("values is not null and vec_id is not null")
-    return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    found = top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    held = F.least(F.greatest("score", F.lit(-(1 << 63) + 1)), F.lit((1 << 63) - 1)).cast("long")
+    return found.withColumn("score", held) if found.schema["score"].dataType.typeName() == "decimal" else found
 
 
 ORACLE = """
