@@ -15,7 +15,10 @@ NOT_INDEXED = ("FILE", "UNKNOWN", "BUILTIN_TYPE")
 STRUCTURAL = ("MEMBER", "INHERITANCE", "OVERRIDE", "TYPE_ARGUMENT", "TEMPLATE", "INCLUDE", "IMPORT")
 
 #: How much an edge of each kind carries in graph ranking.
-EDGE_WEIGHTS = {"CALL": 1.0, "OVERRIDE": 0.95, "INHERITANCE": 0.9, "TYPE_USAGE": 0.8, "USAGE": 0.75, "TYPE_ARGUMENT": 0.7, "TEMPLATE": 0.7, "MACRO_USAGE": 0.65, "IMPORT": 0.6, "INCLUDE": 0.6, "ANNOTATION": 0.85}
+EDGE_WEIGHTS = {"CALL": 1.0, "OVERRIDE": 0.95, "INHERITANCE": 0.9, "ANNOTATION": 0.85, "TYPE_USAGE": 0.8, "USAGE": 0.75, "TYPE_ARGUMENT": 0.7, "TEMPLATE": 0.7, "MACRO_USAGE": 0.65, "IMPORT": 0.6, "INCLUDE": 0.6}
+#: Unqualified call names too common to trust, and helper names that are always trusted.
+COMMON_CALLS = ("add", "all", "any", "append", "clear", "collect", "contains", "dedup", "extend", "filter", "insert", "into_iter", "iter", "iter_mut", "len", "map", "pop", "push", "remove", "retain", "sort", "sort_by", "sort_by_key", "truncate")
+HELPER_CALLS = ("seed_symbol_table", "flush_projection_batch", "flush_errors")
 
 
 def edge_weight(kind: str = "kind") -> Column:
@@ -58,13 +61,23 @@ def node_rank() -> Column:
     return F.when(import_like(name), 5).when(k.isin(*TYPES), 0).when(k.isin(*CALLABLES), 1).when(k.isin(*MODULES), 2).when(k.isin(*DATA), 3).otherwise(4)
 
 
-def file_role(path: str = "path") -> Column:
-    """vendor, then generated, test, docs, benchmark, entrypoint, else source, by the path's markers."""
-    p = F.concat(F.lit("/"), F.lower(F.col(path)))
-    return (
-        F.when(p.rlike("/(vendor|third_party|node_modules)/"), "vendor").when(p.rlike("/(generated|gen)/|\\.generated\\."), "generated").when(p.rlike("/tests?/|_test\\.|\\.test\\."), "test")
-        .when(p.rlike("/docs?/|\\.md$"), "docs").when(p.rlike("/bench(es|marks?)?/"), "benchmark").when(p.rlike("/(main|index)\\.[a-z]+$"), "entrypoint").otherwise("source")
-    )
+def common_call(name: Column) -> Column:
+    """Whether an unqualified call name says little about its target."""
+    return ~name.contains("::") & ~name.contains(".") & name.isin(*COMMON_CALLS)
+
+
+def ignored_resolution() -> Column:
+    """Whether a resolved call (target_name, certainty, confidence) is too unsure to follow.
+
+    A call without any certainty is followed; a helper's always is.
+    """
+    name = F.coalesce("target_name", F.lit(""))
+    helper = F.lit(False)
+    for h in HELPER_CALLS:
+        helper = helper | name.contains(h)
+    c = F.coalesce("certainty", certainty_of())
+    unsure = F.coalesce((c == "uncertain") | (common_call(name) & (c != "certain")), F.lit(False))
+    return (F.col("kind") == "CALL") & F.col("resolved_target").isNotNull() & ~helper & unsure
 
 
 def entry_like(name: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.graph import CALLABLES, display_certainty, display_name, file_role, indexable, node_rank
+from loomgraph.functions.graph import CALLABLES, display_certainty, display_name, import_like, indexable, node_rank
+from loomgraph.functions.paths import file_role
 from loomgraph.operators.relational import degree_map, neutralised
 from loomgraph.operators.traverse import impact
 from loomgraph.sources.star_schema import Graph
@@ -14,9 +17,12 @@ _LAST_LINE = 2147483647
 
 
 def store_counts(g: Graph) -> DataFrame:
-    """(what, n) for nodes, edges and files; nothing but three numbers leaves the scans."""
+    """(what, n) for nodes, edges, files, errors and fatal errors; nothing but five numbers leaves the scans."""
     count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
-    return count(g.node, "node").unionByName(count(g.edge, "edge")).unionByName(count(g.file, "file"))
+    parts = [count(g.node, "node"), count(g.edge, "edge"), count(g.file, "file")]
+    if g.error is not None:
+        parts += [count(g.error, "error"), count(g.error.where("fatal"), "fatal_error")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def effective_file_count(g: Graph) -> DataFrame:
@@ -38,8 +44,8 @@ def incoming_edges(g: Graph, node: int, kinds: list[str] | None = None) -> DataF
 
 
 def first_occurrence(g: Graph) -> DataFrame:
-    """(element_id, file_id, line) of each element's first occurrence, by file and line."""
-    return g.occurrence.groupBy("element_id").agg(F.min(F.struct("file_id", "line")).alias("o")).select("element_id", "o.file_id", "o.line")
+    """(element_id, file_id, line) of each element's first occurrence in the order of insertion."""
+    return g.occurrence.groupBy("element_id").agg(F.min(F.struct("seq", "file_id", "line")).alias("o")).select("element_id", "o.file_id", "o.line")
 
 
 def top_root_symbols(g: Graph, n: int) -> DataFrame:
@@ -57,8 +63,8 @@ def degree_tier(n: Column) -> Column:
 
 
 def entry_evidence(g: Graph) -> DataFrame:
-    """(id, evidence, in_tier, out_tier) of callables: ``main``, ``topological_root`` in sources, else ``none``."""
-    d = g.node.where(F.col("kind").isin(*CALLABLES)).join(degree_map(g.edge), "id", "left").na.fill(0, ["incoming", "outgoing"])
+    """(id, evidence, in_tier, out_tier) of callables: ``main``, ``topological_root`` in sources, else ``none``; what is named like an import has none."""
+    d = g.node.where(F.col("kind").isin(*CALLABLES) & ~import_like(F.col("serialized_name"))).join(degree_map(g.edge), "id", "left").na.fill(0, ["incoming", "outgoing"])
     f = g.file.select(F.col("id").alias("file_id"), file_role().isin("source", "entrypoint").alias("production"))
     own = F.coalesce("production", F.lit(False))
     evidence = F.when(own & (F.col("serialized_name") == "main"), "main").when(own & (F.col("incoming") == 0) & (F.col("outgoing") >= 2), "topological_root").otherwise("none")

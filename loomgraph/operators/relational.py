@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.graph import display_name, edge_weight, effective, entry_like, file_role, indexable, node_rank
+from loomgraph.functions.graph import CALLABLES, display_name, edge_weight, effective, entry_like, ignored_resolution, indexable, node_rank
+from loomgraph.functions.paths import file_role
 from loomgraph.sources.star_schema import Graph
 
 
 def neutralised(edges: DataFrame) -> DataFrame:
-    """Edges with ``src`` and ``dst``; a resolved call of low confidence loses its resolution first."""
-    unsure = (F.col("kind") == "CALL") & F.col("resolved_target").isNotNull() & (F.coalesce("confidence", F.lit(0.0)) < 0.55)
-    e = edges.withColumn("resolved_target", F.when(~unsure, F.col("resolved_target")))
+    """Edges with ``src`` and ``dst``; a call resolved too unsurely loses its resolution first."""
+    e = edges if "target_name" in edges.columns else edges.withColumn("target_name", F.lit(None).cast("string"))
+    e = e.withColumn("_ignored", ignored_resolution())
+    e = e.withColumns({c: F.when(~F.col("_ignored"), F.col(c)) for c in ("resolved_target", "confidence", "certainty")}).drop("_ignored")
     return e.withColumns({"src": effective("source"), "dst": effective("target")})
 
 
@@ -32,8 +34,12 @@ def hotspots(g: Graph, limit: int = 50) -> DataFrame:
 
 
 def entry_points(g: Graph, limit: int = 50) -> DataFrame:
-    d = _with_degrees(g).where((F.col("outgoing") > 0) & ((F.col("incoming") == 0) | entry_like(F.col("name"))))
-    return d.orderBy(F.desc("outgoing"), "incoming", "name", "id").limit(limit)
+    """Nodes that lead out and are led to by nothing, or are named like an entry; callable hotspots where there is none."""
+    d = _with_degrees(g)
+    found = d.where((F.col("outgoing") > 0) & ((F.col("incoming") == 0) | entry_like(F.col("name")))).orderBy(F.desc("outgoing"), "incoming", "name", "id").limit(limit)
+    if not found.isEmpty():
+        return found
+    return d.where(F.col("kind").isin(*CALLABLES)).orderBy(F.desc("total"), F.desc("outgoing"), "name", "id").limit(limit)
 
 
 def bridges(g: Graph, limit: int = 50) -> DataFrame:
@@ -109,6 +115,16 @@ def symbol_references(g: Graph, most: int = 32) -> DataFrame:
     return e.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("id"))).where(F.col("place") <= most).drop("place")
 
 
+def typed_adjacency(g: Graph, most: int = 32) -> DataFrame:
+    """(node_id, neighbour, direction, kind, ordinal): at most ``most`` references a symbol, told at both ends, in edge order."""
+    known = g.node.select("id")
+    e = neutralised(g.edge).where("kind not in ('MEMBER', 'UNKNOWN')").select("dst", "id", "src", "kind")
+    e = e.join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+    refs = e.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("id"))).where(F.col("place") <= most)
+    both = refs.select(F.col("dst").alias("node_id"), F.col("src").alias("neighbour"), F.lit("incoming").alias("direction"), "kind", "id").unionByName(refs.select(F.col("src").alias("node_id"), F.col("dst").alias("neighbour"), F.lit("outgoing").alias("direction"), "kind", "id"))
+    return both.withColumn("ordinal", F.row_number().over(Window.partitionBy("node_id").orderBy("id", "direction"))).drop("id")
+
+
 def incoming_weight(g: Graph) -> DataFrame:
     """(id, weight): the summed kind weights of the edges that lead to each node."""
     e = neutralised(g.edge).select(F.col("dst").alias("id"), edge_weight().alias("w")).where("w > 0")
@@ -129,10 +145,12 @@ def _small(df: DataFrame, most: int = 100_000) -> bool:
 
 
 def file_snapshot(g: Graph) -> DataFrame:
-    """(file_id, path, role, symbol_count, best_rank) for every file, 255 where it has no symbol."""
+    """(file_id, path, role, symbol_count, best_rank) for every file and every FILE node without one, 255 where it has no symbol."""
     own = g.node.where(indexable()).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.min(node_rank()).alias("r"))
-    f = g.file.select(F.col("id").alias("file_id"), "path", file_role().alias("role"))
-    return f.join(own, "file_id", "left").select("file_id", "path", "role", F.coalesce("n", F.lit(0)).alias("symbol_count"), F.coalesce("r", F.lit(255)).alias("best_rank"))
+    f = g.file.select(F.col("id").alias("file_id"), "path")
+    lost = g.node.where("kind = 'FILE'").select(F.col("id").alias("file_id"), F.col("serialized_name").alias("path")).join(f, "file_id", "left_anti")
+    both = f.unionByName(lost).withColumn("role", file_role())
+    return both.join(own, "file_id", "left").select("file_id", "path", "role", F.coalesce("n", F.lit(0)).alias("symbol_count"), F.coalesce("r", F.lit(255)).alias("best_rank"))
 
 
 def ranked_files(g: Graph, limit: int = 20) -> DataFrame:
@@ -166,10 +184,7 @@ def global_unique(names: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def nodes_at_line(g: Graph, path: str, line: int) -> DataFrame:
+    """Nodes with an occurrence in the file whose lines hold ``line``; one row for each occurrence."""
     f = g.file.where(F.col("path") == path).select(F.col("id").alias("file_id"))
-    o = g.occurrence.where(F.col("line") == line).join(f, "file_id", "left_semi").select(F.col("element_id").alias("id"))
+    o = g.occurrence.where(F.lit(line).between(F.col("line"), F.col("end_line"))).join(f, "file_id", "left_semi").select(F.col("element_id").alias("id"))
     return g.node.join(o, "id").select("id", "kind", "serialized_name")
-
-
-def rounded(c: Column) -> Column:
-    return F.round(c, 6)

@@ -1,21 +1,20 @@
-"""Bounded traversals. Each hop joins the frontier with the edges and drops nodes seen before."""
+"""Walks over the edges, level by level; what each level finds is written, so a lost executor costs one level."""
 
 from __future__ import annotations
 
-import tempfile
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.graph import STRUCTURAL, certainty_of, common_call
+from loomgraph.functions.paths import in_production
 from loomgraph.operators.relational import neutralised
+from loomgraph.sources.star_schema import Graph
+from loomgraph.sources.store import written
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; set one only where there is none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+durable = written
 
 
 def links(edges: DataFrame, direction: str) -> DataFrame:
@@ -25,37 +24,223 @@ def links(edges: DataFrame, direction: str) -> DataFrame:
     return {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
 
 
-def distances(starts: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """(id, depth): least number of steps from any of ``starts`` (id); depth 0 means unlimited."""
-    seen = durable(starts.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier, hop = seen, 0
+def distances(starts: DataFrame, steps: DataFrame, depth: int, within: DataFrame | None = None) -> DataFrame:
+    """(id, depth): least number of steps from any of ``starts`` (id); depth 0 means unlimited.
+
+    ``within`` (id, room) confines the walk to its nodes, each at ``room`` steps at most. Only new
+    nodes are written at each level; what was seen is the union of the levels' files.
+    """
+    seen = frontier = durable(starts.select("id").distinct().withColumn("depth", F.lit(0)))
+    hop = 0
     while depth == 0 or hop < depth:
         hop += 1
         found = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        frontier = durable(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(hop)))
-        if not frontier.limit(1).count():
+        if within is not None:
+            found = found.join(within.where(F.col("room") >= hop).select("id"), "id", "left_semi")
+        frontier = durable(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(hop)))
+        if frontier.isEmpty():
             break
-        seen = durable(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen
 
 
+def _start(edges: DataFrame, root: int) -> DataFrame:
+    return edges.sparkSession.createDataFrame([(root,)], "id long")
+
+
 def trail(edges: DataFrame, root: int, depth: int, direction: str = "outgoing") -> DataFrame:
-    start = edges.sparkSession.createDataFrame([(root,)], "id long")
-    return distances(start, links(edges, direction), depth)
+    return distances(_start(edges, root), links(edges, direction), depth)
 
 
 def path_subgraph(edges: DataFrame, source: int, target: int, depth: int) -> DataFrame:
-    """Nodes on shortest paths between two nodes of at most ``depth`` steps, with their distance; endpoints alone if there is none."""
-    spark = edges.sparkSession
-    ahead = trail(edges, source, depth, "outgoing")
-    behind = trail(edges, target, depth, "incoming").withColumnRenamed("depth", "back")
-    met = ahead.join(behind, "id")
-    shortest = met.agg(F.min(F.col("depth") + F.col("back"))).first()[0]
-    if shortest is None or shortest > depth:
-        return spark.createDataFrame([(source, 0), (target, -1)], "id long, depth int")
-    return met.where(F.col("depth") + F.col("back") == shortest).select("id", "depth")
+    """(id, depth) of the nodes on paths of at most ``depth`` steps from source to target (0: any length).
+
+    The walk back from the target stays among nodes that the source reaches, and at each within the
+    steps that are left. Where no path leads, the two endpoints alone come back, the target without a depth.
+    """
+    steps_out, steps_in = links(edges, "outgoing"), links(edges, "incoming")
+    ahead = distances(_start(edges, source), steps_out, depth)
+    if ahead.where(F.col("id") == target).isEmpty():
+        return edges.sparkSession.createDataFrame([(source, 0), (target, None)], "id long, depth int").distinct()
+    room = F.lit(2**31 - 1) if depth == 0 else F.lit(depth) - F.col("depth")
+    behind = distances(_start(edges, target), steps_in, depth, ahead.select("id", room.alias("room"))).withColumnRenamed("depth", "back")
+    return ahead.join(behind.select("id"), "id", "left_semi")
+
+
+@dataclass
+class Trail:
+    """Nodes (id, depth, ord) in the order of the walk, edges between them, whether a budget cut it, and how many edges were left out."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    truncated: bool
+    omitted: int
+    root: int = 0
+    kinds: list[str] = field(default_factory=list)
+
+
+_KEPT = "id long, kind string, src long, dst long, certainty string, confidence double"
+
+
+def walkable(g: Graph, direction: str, kinds: list[str] | None = None, tests: bool = True, utility: bool = True) -> DataFrame:
+    """(at, next, edge): each edge at the end(s) that the direction starts from, after all filters, in their fixed order."""
+    e = neutralised(g.edge)
+    if not utility:
+        e = e.where((F.col("kind") != "CALL") | ~common_call(F.coalesce("target_name", F.lit(""))))
+    if not tests:
+        e = e.where(in_production(F.col("caller_path")))
+    if kinds:
+        e = e.where(F.col("kind").isin(kinds))
+    kept = F.struct(*[F.col(c.split()[0]) for c in _KEPT.split(", ")]).alias("edge")
+    out, back = e.select(F.col("src").alias("at"), F.col("dst").alias("next"), kept), e.select(F.col("dst").alias("at"), F.col("src").alias("next"), kept)
+    # A self edge is met once in a walk both ways.
+    return {"outgoing": out, "incoming": back, "both": out.unionByName(back.where(F.col("at") != F.col("next")))}[direction]
+
+
+def budgeted_trail(g: Graph, root: int, depth: int = 1, direction: str = "outgoing", max_nodes: int = 500, kinds: list[str] | None = None, node_kinds: list[str] | None = None, tests: bool = True, utility: bool = True) -> Trail:
+    """A breadth-first walk in a fixed order under budgets: ``max_nodes`` nodes, three edges a node (128 at least).
+
+    Each level is one join of the frontier with the edges; of its edges, in the order of the frontier
+    and then of edge ids, at most what is left of the budget comes to the driver, which needs the
+    order to see where the walk stops. What the driver holds is bounded by ``max_nodes``.
+    """
+    spark = g.node.sparkSession
+    steps = walkable(g, direction, kinds, tests, utility)
+    budget = max(3 * max_nodes, 128)
+    depth_of, order, edges = {root: 0}, [root], []
+    popped: list[int] = []
+    truncated, frontier, level = False, [root], 0
+    while frontier and not truncated:
+        ends = level >= depth > 0
+        found: dict[int, list] = {}
+        left = budget - len(edges)
+        if not ends and left:
+            at = spark.createDataFrame(list(enumerate(frontier)), "ord long, at long")
+            rows = at.join(steps, "at").orderBy("ord", "edge.id", "next").limit(left + 1).select("at", "next", "edge").collect()
+            for r in rows:
+                found.setdefault(r["at"], []).append(r)
+        nexts: list[int] = []
+        for node in frontier:
+            if len(popped) >= max_nodes:
+                truncated = True
+                break
+            popped.append(node)
+            if ends:
+                continue
+            room = budget - len(edges)
+            own = found.get(node, [])
+            if room == 0 or len(own) > room:
+                truncated = True
+            for r in own[:room]:
+                edges.append(tuple(r["edge"]))
+                if r["next"] not in depth_of:
+                    depth_of[r["next"]] = level + 1
+                    nexts.append(r["next"])
+            if truncated:
+                break
+        frontier, level = nexts, level + 1
+        order += nexts
+    nodes = spark.createDataFrame([(n, depth_of[n], i) for i, n in enumerate(popped)], "id long, depth int, ord int")
+    nodes = nodes.join(g.node.select("id", "kind"), "id", "left_semi" if not node_kinds else "inner")
+    if node_kinds:
+        nodes = nodes.where(F.col("kind").isin(node_kinds) | (F.col("id") == root)).drop("kind")
+    kept = durable(spark.createDataFrame(edges, _KEPT).withColumn("ord", F.monotonically_increasing_id()))
+    chosen = _between(kept, nodes)
+    n = chosen.count()
+    return Trail(nodes, chosen, truncated, len(edges) - n, root)
+
+
+def _between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends in ``nodes`` (id)."""
+    ends = [nodes.select(F.col("id").alias(c)) for c in ("src", "dst")]
+    return edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi")
+
+
+def without_noise(t: Trail) -> Trail:
+    """The trail without self edges and with one edge for each (src, dst, kind), the first."""
+    kept = t.edges.where("src <> dst").groupBy("src", "dst", "kind").agg(F.min(F.struct("ord", "id", "certainty", "confidence")).alias("e")).select("src", "dst", "kind", "e.*")
+    kept = durable(kept)
+    return Trail(t.nodes, kept, t.truncated, t.omitted + t.edges.count() - kept.count(), t.root)
+
+
+def speculative() -> Column:
+    """Whether an edge is no more than a guess: uncertain or probable."""
+    return F.coalesce(F.coalesce("certainty", certainty_of()).isin("uncertain", "probable"), F.lit(False))
+
+
+def without_speculation(t: Trail) -> Trail:
+    """The trail without speculative edges, and of that only what is still connected to its root."""
+    sure = durable(t.edges.where(~speculative()))
+    both = sure.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(sure.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    reach = distances(_start(t.edges, t.root), both, 0)
+    nodes = t.nodes.join(reach.select("id"), "id", "left_semi")
+    kept = durable(_between(sure, nodes))
+    return Trail(nodes, kept, t.truncated, t.omitted + t.edges.count() - kept.count(), t.root)
+
+
+#: The group of a trail's step by its edge kind; all others tell of types.
+STORY = {"CALL": "runtime", "MACRO_USAGE": "runtime", "USAGE": "data", "INCLUDE": "data", "IMPORT": "data", "ANNOTATION": "data"}
+
+
+def story(edges: DataFrame, most: int = 16) -> DataFrame:
+    """(group, src, kind, dst, certainty, place): a trail's distinct steps by group, at most ``most`` each, by their first edge."""
+    from pyspark.sql import Window
+
+    group = reduce(lambda w, k: w.when(F.col("kind") == k, STORY[k]), STORY, F).otherwise("type")  # type: ignore[arg-type]
+    certainty = F.coalesce("certainty", certainty_of(), F.when(F.col("kind").isin(*STRUCTURAL), "certain"), F.lit(""))
+    steps = edges.groupBy("src", "kind", "dst", certainty.alias("certainty")).agg(F.min("id").alias("first")).withColumn("group", group)
+    place = F.row_number().over(Window.partitionBy("group").orderBy("first"))
+    return steps.withColumn("place", place).where(F.col("place") <= most).select("group", "src", "kind", "dst", "certainty", "place")
 
 
 def impact(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
-    """What may be affected by ``changed`` (id): reverse walk over all but membership."""
-    return distances(changed, links(edges.where("kind <> 'MEMBER'"), "incoming"), depth)
+    """What may be affected by ``changed`` (id): a walk against all edges, whatever their kind."""
+    return distances(changed, links(edges, "incoming"), depth)
+
+
+#: How much each label of evidence holds; ties go by label.
+STRENGTH = {"direct": 7, "schema": 6, "certain": 6, "probable": 5, "graph": 4, "heuristic": 3, "uncertain": 2, "bounded": 1}
+
+
+def strength(label: Column) -> Column:
+    return reduce(lambda w, k: w.when(label == k, STRENGTH[k]), STRENGTH, F).otherwise(0)  # type: ignore[arg-type]
+
+
+def weakest(a: Column, b: Column) -> Column:
+    """The label of less strength, of equals the first by name."""
+    return F.least(F.struct(strength(a).alias("s"), a.alias("label")), F.struct(strength(b).alias("s"), b.alias("label")))["label"]
+
+
+def impact_evidence(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
+    """(id, distance, confidence, via, edge_id): what a change of ``changed`` (id) reaches against the edges.
+
+    Of the ways that reach a node at its least distance the one with the strongest weakest link
+    is told, then that of the first label, then of the least edge.
+    """
+    e = neutralised(edges)
+    label = F.coalesce("certainty", certainty_of(), F.when(F.col("kind").isin(*STRUCTURAL), "certain"), F.lit("graph"))
+    steps = durable(e.select(F.col("dst").alias("at"), F.col("src").alias("next"), F.col("id").alias("edge_id"), "kind", label.alias("label")))
+    seen = frontier = durable(changed.select("id").distinct().select("id", F.lit(0).alias("distance"), F.lit("direct").alias("confidence"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("long").alias("edge_id")))
+    for hop in range(1, depth + 1):
+        met = frontier.select(F.col("id").alias("at"), "confidence").join(steps, "at").select(F.col("next").alias("id"), weakest(F.col("confidence"), F.col("label")).alias("confidence"), F.col("kind").alias("via"), "edge_id")
+        best = F.min(F.struct((-strength(F.col("confidence"))).alias("s"), "confidence", "edge_id", "via")).alias("b")
+        fresh = met.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(best)
+        frontier = durable(fresh.select("id", F.lit(hop).alias("distance"), "b.confidence", "b.via", "b.edge_id"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root): the least node that each end of ``edges`` (a, b) is connected with, either way, by labels that spread and jump."""
+    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
+        step = durable(labels.join(near, F.col("id") == F.col("a")).select("id", "root", F.least("root", "near").alias("low")))
+        up = step.select(F.col("id").alias("root0"), F.col("low").alias("up"))
+        fresh = durable(step.join(up, F.col("low") == F.col("root0"), "left").select("id", F.least("low", F.coalesce("up", "low")).alias("root"), F.col("root").alias("old")))
+        if fresh.where("root <> old").isEmpty():
+            return fresh.select("id", "root")
+        labels = fresh.select("id", "root")

@@ -12,17 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.graph import display_name
-from loomgraph.operators.traverse import trail
+from loomgraph.operators.traverse import budgeted_trail
 from loomgraph.sources.star_schema import Graph
 
 ARGUMENTS = {"trail": {"symbol", "depth", "direction"}, "symbol": {"query"}, "search": {"query"}, "filter": {"kind", "file", "depth"}, "limit": {"n", "count"}}
+#: Nodes that a trail in a query visits at most, and the argument that may stand without a name.
+MOST_NODES = 120
+FIRST = {"trail": "symbol", "symbol": "query", "search": "query", "limit": "n"}
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_][\w-]*)|(\d+)|([(),:|]))")
 
 
 class QueryError(ValueError):
     def __init__(self, message: str, offset: int) -> None:
         super().__init__(f"{message} at {offset}")
-        self.offset = offset
+        self.message, self.offset = message, offset
+
+    def shown(self, text: str) -> str:
+        """The query, a caret below the place, and what is wrong there."""
+        return f"{text}\n{' ' * self.offset}^ {self.message}"
 
 
 @dataclass
@@ -70,8 +77,9 @@ def parse(text: str) -> list[Operation]:
             if not first:
                 need(",", "Expected `,`")
             first = False
-            if name == "limit" and k < len(tokens) and tokens[k][0] == "value":
-                op.arguments["n"] = tokens[k][1]
+            plain = k < len(tokens) and name in FIRST and not op.arguments and tokens[k][0] in ("value", "name") and (k + 1 == len(tokens) or tokens[k + 1][0] != ":")
+            if plain:
+                op.arguments[FIRST[str(name)]] = tokens[k][1]
                 k += 1
                 continue
             _, key, where = need("name", "Expected an argument name")
@@ -91,7 +99,7 @@ def parse(text: str) -> list[Operation]:
 
 
 def execute(g: Graph, text: str) -> DataFrame:
-    """(id, kind, name, depth) of a query; rows are ordered by depth, then id, before a limit."""
+    """(id, kind, name, depth) of a query; rows are ordered by depth, then id, before a limit. A trail stays in production code."""
     files = g.file.select(F.col("id").alias("file_id"), "path")
     nodes = g.node.select("id", "kind", "serialized_name", display_name().alias("name"), "file_id")
     rows: DataFrame | None = None
@@ -103,8 +111,8 @@ def execute(g: Graph, text: str) -> DataFrame:
             rows = nodes.where(hit).withColumn("depth", F.lit(0))
         elif op.name == "trail":
             start = nodes.where(F.col("serialized_name") == str(a.get("symbol", ""))).agg(F.min("id")).first()[0]
-            reach = trail(g.edge, -1 if start is None else start, int(a.get("depth", 1)), str(a.get("direction", "outgoing")).lower())
-            rows = nodes.join(reach, "id")
+            reach = budgeted_trail(g, -1 if start is None else start, int(a.get("depth", 2)), str(a.get("direction", "both")).lower(), MOST_NODES, tests=False)
+            rows = nodes.join(reach.nodes.select("id", "depth"), "id")
         elif rows is None:
             raise QueryError(f"`{op.name}` needs rows before it", 0)
         elif op.name == "filter":

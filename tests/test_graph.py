@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from loomgraph.functions.graph import certainty_of, node_rank
 from loomgraph.operators import relational, resolution, traverse
-from loomgraph.operators.retrieval import fuse, lane_ranks
 from loomgraph.plans.queries import ORACLE_SQL, QUERIES
 from loomgraph.plans.query_language import QueryError, parse
 from loomgraph.sources.star_schema import Graph
@@ -43,7 +42,7 @@ def test_trail_depths(spark):
     assert {r.id for r in traverse.trail(e, 1, 2).collect()} == {1, 2, 3}
     assert {r.id: r.depth for r in traverse.trail(e, 1, 0).collect()} == {1: 0, 2: 1, 3: 2}
     assert {r.id for r in traverse.path_subgraph(e, 1, 3, 2).collect()} == {1, 2, 3}
-    assert {r.id for r in traverse.path_subgraph(e, 3, 1, 2).collect()} == {1, 3}
+    assert {(r.id, r.depth) for r in traverse.path_subgraph(e, 3, 1, 2).collect()} == {(3, 0), (1, None)}
 
 
 def test_trail_through_a_cycle_ends(spark):
@@ -70,18 +69,14 @@ def test_empty_graph(spark):
 
 
 def test_parse():
-    ops = parse("trail(symbol: 'ResolutionPass', depth: 3, direction: outgoing) | filter(kind: function) | limit(5)")
-    assert [o.name for o in ops] == ["trail", "filter", "limit"] and ops[0].arguments["depth"] == 3
+    ops = parse("trail('Harbour', depth: 2, direction: incoming) | filter(kind: struct) | limit(9)")
+    assert [o.name for o in ops] == ["trail", "filter", "limit"] and ops[0].arguments == {"symbol": "Harbour", "depth": 2, "direction": "incoming"} and ops[2].arguments == {"n": 9}
+    text = "search(query: 'quay'"
     with pytest.raises(QueryError, match="Unclosed") as e:
-        parse("trail(symbol: 'Foo'")
-    assert e.value.offset == len("trail(symbol: 'Foo'")
-    with pytest.raises(QueryError, match="Unknown `deth` argument"):
-        parse("trail(symbol: 'Foo', deth: 2)")
-
-
-def test_fusion_depends_on_ranks_alone(spark):
-    lane = lambda *s: lane_ranks(spark.createDataFrame(list(enumerate(s)), "id long, score double"), "x", "id")
-    assert fuse([lane(0.9, 0.8)], 9).collect() == fuse([lane(90.0, 80.0)], 9).collect()
+        parse(text)
+    assert e.value.offset == len(text) and e.value.shown(text).splitlines()[1].index("^") == len(text)
+    with pytest.raises(QueryError, match="Unknown `knid` argument"):
+        parse("filter(knid: struct)")
 
 
 def test_refresh_plan_and_upsert(spark):
