@@ -49,9 +49,28 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}"
     with _lean(spark):
         df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomgraph_cut = (path, None)  # type: ignore[attr-defined]
-    return out
+    return _noted(spark.read.schema(df.schema).parquet(path), path, None)
+
+
+_recorders: list[list[DataFrame]] = []
+
+
+def _noted(table: DataFrame, path: str, name: str | None) -> DataFrame:
+    table._loomgraph_cut = (path, name)  # type: ignore[attr-defined]
+    for tables in _recorders:
+        tables.append(table)
+    return table
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables cut meanwhile, for a caller who knows when they are no longer read."""
+    tables: list[DataFrame] = []
+    _recorders.append(tables)
+    try:
+        yield tables
+    finally:
+        _recorders.remove(tables)
 
 
 def cut_bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
@@ -61,9 +80,7 @@ def cut_bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
     path = f"{shared_dir(spark)}/loomgraph/{name}"
     with _lean(spark):
         df.write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
-    out = spark.table(name)
-    out._loomgraph_cut = (path, name)  # type: ignore[attr-defined]
-    return out
+    return _noted(spark.table(name), path, name)
 
 
 def release(*tables: DataFrame | None) -> None:
