@@ -2,8 +2,8 @@
 
 Only the histogram of piece lengths (at most ``capacity`` counts) reaches the driver. There, from
 the longest length down, combinations of one, then two, then three available lengths that fill
-the gap exactly are looked up, by indexing the counts with the complement of each sum, and
-consumed as often as the counts allow; what none completes is packed best-fit, longest first.
+the gap exactly are looked up, by the complement of the length in an index of lengths, of sums of
+two and of sums of three, and consumed as often as the counts allow; what none completes is packed best-fit, longest first.
 The result is a plan of sequence patterns with multiplicities. Pieces are numbered within their length in parallel and
 find their place in the plan by that number.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, map_batches, read_table, schema
+from loomgraph.llm.common import cut, map_batches, read_table
 
 CACHE_WORDS = 1_000_000
 #: A stop or comma between a letter and a blank is a token of its own whatever stands around; apart from its word it is met again more often.
@@ -142,19 +142,23 @@ def _plan(counts: dict[int, int], capacity: int, keep: float, most_parts: int) -
         if total < 2:
             return None
         a = np.arange(total - 1, (total - 1) // 2, -1)
-        for x in a[(free[a] > 0) & (free[total - a] > 0)][:4].tolist():
+        for x in a[(free[a] > 0) & (free[total - a] > 0)].tolist():
             if times([*own, x, total - x], free) > 0:
                 return [x, total - x]
         return None
 
-    def exact(gap: int, own: list[int], parts: int, free: np.ndarray) -> list[int] | None:
+    def exact(gap: int, own: list[int], parts: int, free: np.ndarray, index: list[np.ndarray]) -> list[int] | None:
         if parts == 1:
             return [gap] if free[gap] > 0 and times([*own, gap], free) > 0 else None
         if parts == 2:
-            return pair(gap, own, free)
-        for x in (np.flatnonzero(free[1:gap] > 0)[::-1][:64] + 1).tolist():
+            return pair(gap, own, free) if index[0][gap] else None
+        if not index[1][gap]:
+            return None
+        x = np.arange(gap - 1, 0, -1)
+        for x in x[(free[x] > 0) & index[0][gap - x]].tolist():
             if times([*own, x], free) > 0 and (two := pair(gap - x, [*own, x], free)):
                 return [x, *two]
+        index[1][gap] = False  # what is used up does not come back
         return None
 
     full = int(have[capacity])
@@ -163,8 +167,9 @@ def _plan(counts: dict[int, int], capacity: int, keep: float, most_parts: int) -
         have[capacity] = 0
     for parts in range(1, most_parts + 1):
         free = np.maximum(have - held, 0) if parts > 1 else have.copy()
+        index = _sums(free, parts)
         for length in range(capacity - 1, 0, -1):
-            while free[length] and (found := exact(capacity - length, [length], parts, free)):
+            while free[length] and (found := exact(capacity - length, [length], parts, free, index)):
                 n = times([length, *found], free)
                 plan.append((n, [length, *found]))
                 for x in (length, *found):
@@ -173,6 +178,21 @@ def _plan(counts: dict[int, int], capacity: int, keep: float, most_parts: int) -
     return plan + _best_fit(have, capacity)
 
 
+def _sums(free: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Which totals are sums of two, and of three, free lengths. Lengths only run out, so the index may say too much, never too little."""
+    if parts < 2:
+        return []
+    bits = sum(1 << x for x in np.flatnonzero(free).tolist())
+    out, sums = [], bits
+    for _ in range(parts - 1):
+        more = 0
+        for x in np.flatnonzero(free).tolist():
+            more |= sums << x
+        sums = more & ((1 << len(free)) - 1)
+        out.append(np.array([sums >> t & 1 for t in range(len(free))], dtype=bool))
+    return out
+
+
 def _best_fit(have: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
     """Longest first, each length to the open sequences with the smallest gap that holds it; alike sequences are kept as one."""
     open_at: dict[int, list[tuple[int, list[int]]]] = {}
@@ -251,5 +271,3 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
 
-
-__all__ = ["op4", "pack", "pack_documents", "piece_digests", "plan_patterns", "plan_ranges", "schema", "token_pieces", "word_encoder"]
