@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut
+from loomgraph.llm.common import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,8 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         raised = cut(hooked.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("root_low")))
         step = cut(hooked.join(raised, hooked["root"] == raised["r"]).select("node", F.col("root").alias("old"), F.least("low", "root_low").alias("root")))
         up = step.select(F.col("node").alias("n2"), F.col("root").alias("up"))
-        labels = cut(step.join(up, step["root"] == up["n2"], "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"), "old"))
+        before, labels = labels, cut(step.join(up, step["root"] == up["n2"], "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"), "old"))
+        release(before, raised, step)
         changed = labels.where("root <> old").limit(1).count()
-        labels = labels.drop("old")
         if not changed:
-            return labels
+            release(both)
+            return labels.drop("old")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, cut_bucketed, map_batches, read_table, shuffle_partitions
+from loomgraph.llm.common import cut, cut_bucketed, map_batches, read_table, release, shuffle_partitions
 from loomgraph.llm.components import components
 from loomgraph.llm.tokens import list_of, mix, pieces, shingles, words
 
@@ -151,7 +151,7 @@ def _prefixes(sets: DataFrame, codes: DataFrame, bits: int, percent: int) -> Dat
                     )
 
     joined = sets.join(gathered, "batch").select("sets", "sizes", "tokens", "parts")
-    return joined.mapInArrow(run, "key binary, size long, shared long, tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>")
+    return map_batches(joined, run, "key binary, size long, shared long, tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>")
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -184,6 +184,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("key", "size", "share", (F.col("shared") - F.col("place")).alias("after"), "token")
     lists = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     open_rows = cut(rows.join(lists, "token").withColumn("root", F.col("key")))
+    release(lists)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     best = F.max(F.struct("share", "key", "size", "after", "root")).alias("pivot")
     found_links: DataFrame | None = None
@@ -199,19 +200,24 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         roots = components(found_links)
         labelled = open_rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
         labelled = cut(labelled)
+        before = open_rows
         mixed = cut(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"))
         open_rows = cut(labelled.join(mixed, "token", "left_semi"))
+        release(before, labelled, mixed)
         if not open_rows.limit(1).count():
             return found_links
         # The next pivot comes from outside the component that the last one is in by now.
         seats = cut(pivots.select(F.col("token").alias("t2"), F.col("key2").alias("k2")).join(open_rows, (F.col("t2") == F.col("token")) & (F.col("k2") == F.col("key"))).select("token", F.col("root").alias("seat")))
+        release(pivots)
         outside = open_rows.join(seats, "token").where(F.col("root") != F.col("seat"))
     short = open_rows.where(F.col("n") <= LONG_LIST).withColumn("second", F.lit(0).cast("long"))
     long = open_rows.where(F.col("n") > LONG_LIST).join(members.select("key", "p2"), "key").withColumn("second", F.explode("p2"))
     spread = cut(short.unionByName(long.drop("p2")))
+    release(open_rows)
     # Again only lists of several components go on; pairs are formed across components.
     still = cut(spread.groupBy("token", "second").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "second"))
     left = cut(spread.join(still, ["token", "second"], "left_semi").select("token", "second", "key", "size", "after", "root"))
+    release(spread, still)
     right = left.select("token", "second", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "after", "root")])
     across = left.join(right, ["token", "second"]).where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & _fits("", "2", percent))
     last = across.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
@@ -222,12 +228,15 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     """(doc_id, n_shingles, component_id): documents linked when 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     sets = cut_bucketed(_sets(docs, k), shuffle_partitions(spark), "batch")
-    roots = components(cut(links(sets, percent)))
+    found = cut(links(sets, percent))
+    roots = components(found)
+    release(found)
     per_doc = sets.select(F.explode(F.arrays_zip("doc_ids", "sets", "sizes")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.sets").alias("key"), F.col("d.sizes").alias("n_shingles"))
     least = per_doc.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     classes = cut(least.join(roots, least["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root")))
     ids = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut(classes.join(ids, "root").select(F.col("key").alias("key2"), "component_id"))
+    release(classes, ids)
     out = per_doc.join(named, (per_doc["key"] == named["key2"]) & (per_doc["n_shingles"] > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
