@@ -44,6 +44,7 @@ r0 AS (SELECT n.*, fr.path, fr.role, coalesce(fr.place, 3) AS place, coalesce(fr
   FROM node n LEFT JOIN fr USING (file_id) LEFT JOIN cd USING (id) LEFT JOIN mc USING (id) WHERE {INDEXABLE.replace('kind', 'n.kind')} AND n.id NOT IN (SELECT target FROM edge WHERE kind = 'MEMBER')),
 r1 AS (SELECT *, {_EVIDENCE} AS entry, {_ROLE_RANK} AS role_rank, {RANK} AS rank, len(list_intersect(regexp_split_to_array(lower(concat_ws(' ', qualified_name, path)), '[^a-z0-9]+'), ['helper','helpers','mock','mocks','fake','fixture','fixtures'])) > 0 AS helper, {TIER.format('callers')} AS in_tier, {TIER.format('callees')} AS out_tier FROM r0),
 roots AS (SELECT id, kind, qualified_name AS name, path, role, subsystem, CASE WHEN {IMPORT_LIKE} THEN 5 WHEN role = 'entrypoint' AND entry > 0 THEN 0 WHEN role IN ('source','entrypoint') THEN CASE WHEN len(list_intersect(string_split(lower(coalesce(path, '')), '/'), ['scripts','tools','tooling','ci','.github','xtask'])) > 0 THEN 3 WHEN place <= 1 THEN 1 WHEN place = 2 THEN 2 ELSE 3 END ELSE 4 END AS band, entry, role_rank, helper, in_tier, out_tier, members, place, rank, start_line AS line FROM r1)"""
+ROOTS_SQL = _ROOTS
 _ROOT_ORDER = "band, entry DESC, role_rank, helper, in_tier DESC, out_tier DESC, members DESC, place, rank, line, path NULLS FIRST, name, id"
 _UNIQUE = f"uniq AS (SELECT * FROM roots QUALIFY row_number() OVER (PARTITION BY kind, name, path ORDER BY {_ROOT_ORDER}) = 1)"
 
