@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, read_table, text_of
+from loomgraph.llm.common import cut, read_table, text_of, unfolded, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION, ROUNDS, RATE, PRIOR = 0.9, 16, 0.4, 2.0
@@ -289,13 +289,16 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets, as [EMAIL]; overlapping spans become one of the first's kind."""
-    source = docs.select(text_of().alias("text"))
-    model, thresholds = train(cut(_with_spans(source, F.col("text")).drop("text")))
-    d = _with_spans(docs, text_of()).withColumn("spans", _all_spans(model, thresholds))
+    """``docs`` with each span replaced by its kind in brackets, as [EMAIL]; overlapping spans become one of the first's kind.
+
+    The rows are written once beside their spans, so the patterns run once.
+    """
+    text = F.col("row").getField("text").cast("string")
+    spanned = cut(_with_spans(docs.select(whole_row(docs).alias("row")), F.coalesce(text, F.lit(""))))
+    model, thresholds = train(spanned)
+    d = spanned.withColumn("spans", _all_spans(model, thresholds))
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("text")
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -305,8 +308,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
     walked = F.aggregate("marks", begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
     d = d.withColumn("marks", by_place).withColumn("clean", F.when(F.size("marks") > 0, walked).otherwise(text))
-    columns = {"text": F.col("clean")} | ({"n_chars": F.when(F.size("marks") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return d.withColumns(columns).select(*docs.columns)
+    changed = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("marks") > 0, F.length("clean").cast("long")).otherwise(F.col("row").getField("n_chars"))
+    return unfolded(d, "row", docs.columns, changed)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
