@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, cut_bucketed, read_table, shuffle_partitions, text_of
+from loomgraph.llm.common import cut, cut_bucketed, map_batches, read_table, release, shuffle_partitions, text_of
 from loomgraph.llm.tokens import grams, list_of, pieces, words
 
 PREFIX, GROUP, GROUP_ROWS = 8, 1000, 4000
@@ -82,7 +82,7 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 
     keyed = docs.select(F.unhex(F.md5(text_of().cast("binary"))).alias("key"), text_of().alias("text"))
     distinct = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    return distinct.select("key", "text", "copies").mapInArrow(run, "key binary, text string, copies long, n_words long, sha string, pos array<int>, hash array<long>")
+    return map_batches(distinct.select("key", "text", "copies"), run, "key binary, text string, copies long, n_words long, sha string, pos array<int>, hash array<long>")
 
 
 _SEGMENT = "prefix long, key binary, anchor int, first int, n int, words string, h1 array<long>, h2 array<long>"
@@ -118,7 +118,7 @@ def _segments(texts: DataFrame, window: int, most: int) -> DataFrame:
                     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], type=t) for c, t in enumerate(kinds)], names=[x.split()[0] for x in _SEGMENT.split(", ")])
 
-    return texts.mapInArrow(run, _SEGMENT)
+    return map_batches(texts, run, _SEGMENT)
 
 
 def subtree_repeats(segments: list[str], counts: list[int], window: int) -> list[list[int]]:
@@ -210,7 +210,7 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join([p for p, g in zip(parts, gone.tolist()) if not g]).decode())
             yield pa.RecordBatch.from_arrays([keys, pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_removed", "kept"])
 
-    return texts.mapInArrow(run, "key binary, n_removed long, kept string")
+    return map_batches(texts, run, "key binary, n_removed long, kept string")
 
 
 def dedup_texts(docs: DataFrame, window: int = 50, keep_text: bool = True, most: int = GROUP) -> DataFrame:
@@ -225,6 +225,7 @@ def dedup_texts(docs: DataFrame, window: int = 50, keep_text: bool = True, most:
     if not keep_text:
         changed = changed.select("key", "n_removed", F.sha2(F.col("kept"), 256).alias("new_sha"))
     changed = cut(changed)
+    release(starts)
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
     merged = scanned.select("key", "copies", "n_words", "sha", *(["text"] if keep_text else [])).join(changed, "key", "left")
     none = F.sha2(F.lit(""), 256)
@@ -238,7 +239,8 @@ def dedup_texts(docs: DataFrame, window: int = 50, keep_text: bool = True, most:
         columns += [F.when(all_gone, none).otherwise(F.coalesce("new_sha", "sha")).alias("kept_sha256")]
     by_text = merged.select(*columns)
     if not keep_text:
-        by_text = cut(by_text)
+        written, by_text = changed, cut(by_text)
+        release(written, scanned)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_of().cast("binary"))).alias("key"))
     return ids.join(by_text, ids["key"] == by_text["key2"]).drop("key", "key2")
 
