@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, read_table, shuffle_partitions, text_of
+from loomgraph.llm.common import cut, map_batches, read_table, shuffle_partitions, text_of
 from loomgraph.llm.tokens import mix, pieces, shingles, words
 
 BINS, BITS, SHINGLE = 256, 8, 5
@@ -96,7 +96,7 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = SH
             rows = signatures_of(batch.column(1), bins, bits, k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(r, bits) for r in rows], type=pa.binary())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), run, "doc_id long, fingerprint binary")
 
 
 def similarity(left: pa.Array | list[bytes], right: pa.Array | list[bytes], bins: int = BINS, bits: int = BITS) -> np.ndarray:
@@ -166,7 +166,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text_hash").desc()]
     dealt = d.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    done = cut(dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text", "text_hash").mapInArrow(run, _RESULT))
+    done = cut(map_batches(dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text", "text_hash"), run, _RESULT))
     # Heads (even places) and tails (odd), in order: a tail's next is the head after it, the last tail's the very first head.
     ends = done.where("place >= 0").select("place", "doc_id", "text")
     ring = Window.orderBy("place")
@@ -179,7 +179,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
             for i, t, f in zip(ids, texts, following):
                 yield _emit([(*r, -1, None, None) for r in _judge([i], [t], [f])])
 
-    rest = open_rows.mapInArrow(finish, _RESULT)
+    rest = map_batches(open_rows, finish, _RESULT)
     text = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
     return done.where("place < 0").unionByName(rest).drop("place", "text", "text_hash").withColumns(text)
 
