@@ -17,4 +17,4 @@ QUERIES = {
     "op10_source_mixing": mixing.op10,
 }
 
-ORACLE_SQL = {"op1_bit_sliced_top_k": bsi.ORACLE}
+ORACLE_SQL = {"op1_bit_sliced_top_k": bsi.ORACLE, "op2_permutation_sharding": sharding.oracle()}

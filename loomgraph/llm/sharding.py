@@ -6,7 +6,8 @@ shard of weight w having w turns a round. A row's key is hashed to a slot; the b
 gives its shard in constant time. Removing a shard moves few rows beside its own.
 
 The table depends on the parameters alone, never on the data, so its size bounds the broadcast.
-Defined results: rows with a null key go by the hash of a null and share a slot; repeated rows go
+The slot is the first 60 bits of an MD5 of the key's text, modulo the table's size, so that any engine can place a row.
+Defined results: rows with a null key go by the hash of an empty text and share a slot; repeated rows go
 to the same shard; an empty table stays empty; input columns named slot or shard are replaced.
 """
 
@@ -58,8 +59,10 @@ def place(rows: DataFrame, keys: list[str], shards: dict[str, int], slots: int =
     """``rows`` with ``slot`` and ``shard``."""
     table = rows.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots))), "slot long, shard string")
     clean = rows.drop("slot", "shard")
-    placed = clean.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("long"))
-    return placed.join(F.broadcast(table), "slot").select(*[F.col(c) for c in clean.columns], "slot", "shard")
+    # Each key is marked with a sign that a null has not, so null and empty differ.
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(f"`{k}`").cast("string")), F.lit("")) for k in keys])
+    placed = clean.withColumn("slot", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % slots)
+    return placed.join(F.broadcast(table), "slot").select(*[F.col(f"`{c}`") for c in clean.columns], "slot", "shard")
 
 
 def shard_names(n: int = SHARDS) -> dict[str, int]:
@@ -70,3 +73,14 @@ def op2(spark, sf_dir: str) -> DataFrame:
     """Shard of each document by its id, with the bytes it brings to that shard."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return place(docs, ["doc_id"], shard_names())
+
+
+def oracle() -> str:
+    """The SQL of ``op2``, the table written out as shard numbers."""
+    numbers = ",".join(str(int(name.rpartition("-")[2])) for name in lookup_table(shard_names()))
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST('0x' || substr(md5(coalesce('=' || doc_id, '')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents),
+t AS (SELECT [{numbers}] AS numbers)
+SELECT doc_id, n_bytes, slot, 'shard-' || lpad(CAST(numbers[slot + 1] AS VARCHAR), 5, '0') AS shard FROM d, t
+"""
