@@ -176,7 +176,7 @@ def test_the_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
     for n in (1, 2, 7, 100):
-        image = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("x")).collect()
+        image = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), mixing.round_keys(F.lit(n).cast("long"), F.lit(5).cast("long"))).alias("x")).collect()
         assert sorted(r.x for r in image) == list(range(n))
 
 
