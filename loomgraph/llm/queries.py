@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bsi, fingerprints, jaccard_join, mixing, packing, pii, sharding, substring_dedup, toxicity, url_filter
+from loomgraph.llm import bsi, fingerprints, jaccard_join, mixing, oracles, packing, pii, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_bit_sliced_top_k": bsi.op1,
@@ -17,4 +17,10 @@ QUERIES = {
     "op10_source_mixing": mixing.op10,
 }
 
-ORACLE_SQL = {"op1_bit_sliced_top_k": bsi.ORACLE, "op2_permutation_sharding": sharding.oracle()}
+ORACLE_SQL = {
+    "op1_bit_sliced_top_k": bsi.ORACLE,
+    "op2_permutation_sharding": sharding.oracle(),
+    "op5_ngram_jaccard_join": oracles.jaccard_join(),
+    "op8_substring_dedup": oracles.substring_dedup(),
+    "op10_source_mixing": oracles.source_mixing(),
+}
