@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.graph import COMMON_CALLS, certainty_of, common_call
 from loomgraph.operators.traverse import durable
 from loomgraph.sources.star_schema import Graph
+from loomgraph.sources.store import written_rows
 
 #: The confidence of each strategy, in the order in which they are asked.
 SAME_FILE, SAME_MODULE, GLOBAL_UNIQUE = 0.95, 0.80, 0.62
@@ -81,10 +82,11 @@ def ancestors(inheritance: DataFrame) -> DataFrame:
     """
     steps = durable(inheritance.select(F.col("child").alias("type"), F.col("parent").alias("ancestor")).where("type <> ancestor").distinct())
     seen = frontier = steps
-    while not frontier.isEmpty():
+    fresh = 1
+    while fresh:
         further = frontier.alias("f").join(steps.alias("s"), F.col("f.ancestor") == F.col("s.type")).select(F.col("f.type").alias("a"), F.col("s.ancestor").alias("b")).where("a <> b").distinct()
         known = (F.col("a") == F.col("type")) & (F.col("b") == F.col("ancestor"))
-        frontier = durable(further.join(seen, known, "left_anti").toDF("type", "ancestor"))
+        frontier, fresh = written_rows(further.join(seen, known, "left_anti").toDF("type", "ancestor"))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -12,7 +12,7 @@ from loomgraph.functions.graph import STRUCTURAL, certainty_of, common_call
 from loomgraph.functions.paths import in_production
 from loomgraph.operators.relational import neutralised
 from loomgraph.sources.star_schema import Graph
-from loomgraph.sources.store import written
+from loomgraph.sources.store import written, written_rows
 
 durable = written
 
@@ -37,8 +37,8 @@ def distances(starts: DataFrame, steps: DataFrame, depth: int, within: DataFrame
         found = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
         if within is not None:
             found = found.join(within.where(F.col("room") >= hop).select("id"), "id", "left_semi")
-        frontier = durable(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(hop)))
-        if frontier.isEmpty():
+        frontier, fresh = written_rows(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(hop)))
+        if not fresh:
             break
         seen = seen.unionByName(frontier)
     return seen
@@ -225,8 +225,8 @@ def impact_evidence(edges: DataFrame, changed: DataFrame, depth: int) -> DataFra
         met = frontier.select(F.col("id").alias("at"), "confidence").join(steps, "at").select(F.col("next").alias("id"), weakest(F.col("confidence"), F.col("label")).alias("confidence"), F.col("kind").alias("via"), "edge_id")
         best = F.min(F.struct((-strength(F.col("confidence"))).alias("s"), "confidence", "edge_id", "via")).alias("b")
         fresh = met.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(best)
-        frontier = durable(fresh.select("id", F.lit(hop).alias("distance"), "b.confidence", "b.via", "b.edge_id"))
-        if frontier.isEmpty():
+        frontier, n = written_rows(fresh.select("id", F.lit(hop).alias("distance"), "b.confidence", "b.via", "b.edge_id"))
+        if not n:
             break
         seen = seen.unionByName(frontier)
     return seen

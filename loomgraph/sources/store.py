@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
@@ -17,22 +18,45 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomgraph-store").rstrip("/")
 
 
+_building: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: a cut of the lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/loomgraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _building:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """As ``written``, and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def stored(df: DataFrame, *sort: str) -> DataFrame:
     """``df`` written and read back, sorted in each file by ``sort``, so that row groups can be skipped by their bounds."""
     return written(df.sortWithinPartitions(*sort) if sort else df)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def kept(spark: SparkSession, key: str, build: Callable[[], T]) -> T:
-    """What ``build`` makes, made once in this application for each key and shared folder: an index is built once and asked often."""
+    """What ``build`` makes of written tables, made once in this application for each key and shared folder, and again where its files are gone: an index is built once and asked often."""
     held = spark.sparkContext.__dict__.setdefault("_loomgraph_kept", {})
     at = (key, shared_dir(spark))
-    if at not in held:
-        held[at] = build()
-    return held[at]
+    if at in held and all(_there(spark, path) for path in held[at][1]):
+        return held[at][0]
+    paths: list[str] = []
+    _building.append(paths)
+    try:
+        held[at] = (build(), paths)
+    finally:
+        _building.remove(paths)
+    return held[at][0]
