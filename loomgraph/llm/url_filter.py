@@ -115,13 +115,17 @@ def templates(counted: DataFrame) -> DataFrame:
     return nodes.withColumn("template", F.when(F.size("parts") > DEPTH, F.concat_ws("/", "template", F.element_at("parts", -1))).otherwise(F.col("template")))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """page_id, url, host, path, rule, verdict, template and purity of each page."""
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, learn: Column | None = None) -> DataFrame:
+    """page_id, url, host, path, rule, verdict, the method's own verdict, template and purity of each page.
+
+    ``learn``, over page_id and url, may keep the labels of some pages from the tree, to be judged against them.
+    """
     host, path = split_url(F.col("url"))
     p = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
     p = p.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("parts", generalised(F.col("path"))).withColumn("shape", F.array_join("parts", "/"))
-    labelled = F.sum(F.col("hit").isNotNull().cast("long"))
-    counted = cut(p.groupBy("host", "shape", "parts").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("hit.verdict") == "block").cast("long")), F.lit(0)).alias("blocked"), labelled.alias("labelled")))
+    told = F.when(F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)), F.col("hit.verdict"))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    counted = cut(p.groupBy("host", "shape", "parts").agg(F.count(F.lit(1)).alias("n"), count(told == "block").alias("blocked"), count(told.isNotNull()).alias("labelled")))
     base = counted.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     prior = min(0.5, (base.b or 0) / base.l) if base.l else 0.0
     shaped = cut(templates(counted))
@@ -130,7 +134,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     release(counted, shaped, purity)
     out = p.join(verdicts, (p["host"] == F.col("h2")) & (p["shape"] == F.col("s2")))
     method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
-    return out.select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), method).alias("verdict"), "template", "purity")
+    return out.select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), method).alias("verdict"), method.alias("method"), "template", "purity")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -264,3 +264,12 @@ def test_redaction_runs_the_patterns_once_and_keeps_counts(spark):
     rows = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert (rows[1].text, rows[1].n_chars, rows[1].base) == ("ask [EMAIL] now", 15, "x") and rows[2].n_chars == 12
     assert pii.redact(docs.select("doc_id", "text")).where(F.col("text").contains("@")).count() == 0
+
+
+def test_templates_judge_labels_held_back(spark):
+    """Half of the ruled pages keep their labels from the tree, which must find some of the blocked ones and spare the allowed ones."""
+    held = F.crc32(F.col("page_id").cast("string").cast("binary")) % 2 == 0
+    judged = url_filter.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), learn=~held).where(held & F.col("rule").isNotNull())
+    counts = {(r.verdict, r.method): r["count"] for r in judged.groupBy("verdict", "method").count().collect()}
+    found, missed, wrong = (counts.get(k, 0) for k in (("block", "block"), ("block", "allow"), ("allow", "block")))
+    assert found > 0.4 * (found + missed) and wrong <= 0.05 * found
