@@ -118,6 +118,20 @@ def canonical_fold(g: Graph) -> DataFrame:
     return folded
 
 
+#: The family of an edge kind; all others are references.
+FAMILIES = {"MEMBER": "ownership", "INHERITANCE": "hierarchy", "OVERRIDE": "hierarchy", "CALL": "flow", "MACRO_USAGE": "flow", "IMPORT": "dependency", "INCLUDE": "dependency"}
+
+
+def family_fold(g: Graph) -> DataFrame:
+    """(src, dst, family, route, n, kinds, certainty): edges between two nodes of one family as one; a pair linked both ways is a two-way route."""
+    family = reduce(lambda w, k: w.when(F.col("kind") == k, FAMILIES[k]), FAMILIES, F).otherwise("reference")  # type: ignore[arg-type]
+    folded = canonical_fold(g).withColumn("family", family)
+    strength = F.when(F.col("certainty") == "certain", 3).when(F.col("certainty") == "probable", 2).when(F.col("certainty") == "uncertain", 1).otherwise(0)
+    one = folded.groupBy("src", "dst", "family").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.min_by("certainty", strength).alias("certainty"))
+    back = one.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "family", F.lit(True).alias("back"))
+    return one.join(back, ["src", "dst", "family"], "left").select("src", "dst", "family", F.when(F.col("src") == F.col("dst"), "self").when(F.col("back"), "both").otherwise("direct").alias("route"), "n", "kinds", "certainty")
+
+
 def signed_depth(g: Graph, reach: DataFrame, centre: int) -> DataFrame:
     """(id, depth) of ``reach`` (id, depth); negative where more edges lead to the centre than from it, membership apart."""
     e = neutralised(g.edge).where("kind <> 'MEMBER' and src <> dst").where((F.col("src") == centre) | (F.col("dst") == centre))

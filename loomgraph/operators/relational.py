@@ -103,10 +103,20 @@ def nodes_by_kinds(g: Graph, kinds: list[str], after: int, limit: int) -> DataFr
     return page.select("id", "kind", "serialized_name").orderBy("id").limit(limit)
 
 
-def edge_worklist(g: Graph, kind: str = "CALL") -> DataFrame:
-    """Edges of a kind still to resolve; a call also needs neither confidence nor certainty."""
+#: Targets that are resolved elsewhere, by the start of their canonical id.
+SPECIAL = ("tauri:command:", "openapi:endpoint:", "route_endpoint:", "payload:collection:")
+
+
+def edge_worklist(g: Graph, kind: str = "CALL", special: tuple[str, ...] = SPECIAL) -> DataFrame:
+    """Edges of a kind still to resolve, by id; a call also needs neither confidence nor certainty. Special targets are left out."""
     e = g.edge.where((F.col("kind") == kind) & F.col("resolved_target").isNull())
-    return (e.where("confidence is null and certainty is null") if kind == "CALL" else e).select("id", "source", "target")
+    if kind == "CALL":
+        e = e.where("confidence is null and certainty is null")
+    starts = F.lit(False)
+    for s in special:
+        starts = starts | F.col("canonical_id").startswith(s)
+    apart = g.node.where(starts).select(F.col("id").alias("target"))
+    return e.join(apart, "target", "left_anti").select("id", "source", "target").orderBy("id")
 
 
 def symbol_references(g: Graph, most: int = 32) -> DataFrame:

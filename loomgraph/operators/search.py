@@ -257,6 +257,13 @@ def with_ranks(lane: DataFrame, *order: str) -> DataFrame:
     return lane.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *order)))
 
 
+def missing_ranks(lane: DataFrame) -> DataFrame:
+    """A lane (path, symbol, line, score, rank) whose hits without a rank follow the last ranked one, by score, path, symbol and line."""
+    last = F.coalesce(F.max("rank").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0))
+    n = F.row_number().over(Window.partitionBy(F.col("rank").isNull()).orderBy(F.desc("score"), F.asc_nulls_first("path"), F.asc_nulls_first("symbol"), F.asc_nulls_first("line")))
+    return lane.withColumns({"_last": last, "_n": n}).withColumn("rank", F.coalesce("rank", F.col("_last") + F.col("_n"))).drop("_last", "_n")
+
+
 def merged(lanes: dict[str, DataFrame]) -> DataFrame:
     """Candidates of lanes (node_id, path, symbol, line, kind, exact, score, rank) as one row an identity.
 
@@ -389,15 +396,21 @@ def search(corpus: Corpus, query: str, query_vector: list[float] | None, limit:
     hits = lexical_search(corpus.index, query, max(limit, ANCHOR_WINDOW))
     lanes["lexical"] = shape(hits.withColumns({"exact": F.lit(False), "rank": F.col("place")}))
     where = g.node.join(g.file.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("id").alias("node_id"), "path", F.col("serialized_name").alias("symbol"), F.col("start_line").alias("line"), "kind")
+    anchors = symbol_anchors(g, query, stages.get("anchor", 8))
+    # A definition asked for by a name that one symbol has needs no neighbours and nothing like it.
+    if features.mode == "definition" and anchors.where("exact").limit(2).count() == 1:
+        stages = {k: n for k, n in stages.items() if k not in ("semantic", "expand")}
     if "semantic" in stages and query_vector:
         near = with_ranks(cosine_top(corpus.vectors, query_vector, stages["semantic"]), "id").select(F.col("id").alias("node_id"), "score", "rank")
         lanes["semantic"] = shape(near.join(where, "node_id").withColumn("exact", F.lit(False)))
-    anchors = symbol_anchors(g, query, stages.get("anchor", 8))
     direct = anchors.select(F.col("id").alias("node_id"), "path", F.col("name").alias("symbol"), "line", "kind", "exact", "score")
     seeds = anchors.select("id", "path", "exact", "score", F.row_number().over(Window.orderBy(F.desc("exact"), F.desc("score"), "path", "id")).alias("place"))
-    spread = expansion(g, selected_anchors(seeds).select("id", "score"), stages.get("expand", 16)).select(F.col("id").alias("node_id"), "score").join(where, "node_id").withColumn("exact", F.lit(False))
     columns = ["node_id", "path", "symbol", "line", "kind", "exact", "score"]
-    lanes["graph"] = shape(with_ranks(direct.select(*columns).unionByName(spread.select(*columns)), "path", "symbol", "line", "node_id"))
+    graph = direct.select(*columns)
+    if "expand" in stages:
+        spread = expansion(g, selected_anchors(seeds).select("id", "score"), stages["expand"]).select(F.col("id").alias("node_id"), "score").join(where, "node_id").withColumn("exact", F.lit(False))
+        graph = graph.unionByName(spread.select(*columns))
+    lanes["graph"] = shape(with_ranks(graph, "path", "symbol", "line", "node_id"))
     if "semantic" not in lanes:
         lanes["semantic"] = lanes["lexical"].where(F.lit(False)).withColumns({"score": none.cast("double"), "rank": none.cast("int")})
     return ranked(merged(lanes), features, limit)

@@ -34,6 +34,17 @@ def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e).select("ord.part", "ord.id", "line")
 
 
+def mermaid_sequence(steps: DataFrame) -> DataFrame:
+    """(ord, line) of a Mermaid sequence of steps (ord, source, target, kind)."""
+    clean = lambda c: F.regexp_replace(c, r"[^\w.]", "_")
+    return steps.select("ord", F.concat(clean("source"), F.lit("->>"), clean("target"), F.lit(": "), "kind").alias("line"))
+
+
+def mermaid_gantt(stages: DataFrame) -> DataFrame:
+    """(ord, line) of a Mermaid gantt of stages (ord, name, start_ms, length_ms)."""
+    return stages.select("ord", F.concat(F.regexp_replace("name", "[:;#]", " "), F.lit(" :"), F.lit("s"), F.col("ord").cast("string"), F.lit(", "), F.col("start_ms").cast("string"), F.lit(", "), F.col("length_ms").cast("string"), F.lit("ms")).alias("line"))
+
+
 def markdown_report(g: Graph, limit: int = 10) -> str:
     """Hotspots, entry points and bridges as a Markdown text; the lists are short by ``limit``."""
     out = ["# Graph report"]

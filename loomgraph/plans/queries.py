@@ -27,7 +27,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _files(spark, sf_dir)
-    stored = f.where("doc_id % 10 <> 0").withColumn("modified", F.when(F.col("doc_id") % 7 == 0, F.col("modified") + 1).otherwise(F.col("modified"))).withColumn("indexed", F.col("doc_id") % 11 != 0)
+    stored = f.where("doc_id % 10 <> 0").withColumn("modified", F.when(F.col("doc_id") % 7 == 0, F.col("modified") + 1).otherwise(F.col("modified"))).withColumn("indexed", F.col("doc_id") % 11 != 0).withColumn("retry", F.col("doc_id") % 17 == 0)
     return refresh_plan(f.where("doc_id % 13 <> 0"), stored)
 
 
@@ -126,7 +126,7 @@ _ALL = {
     "unambiguous_best": (_g(_best), "WITH GRAPH, b AS (SELECT source AS edge_id, target AS node_id, (target % 97) / 100.0 AS confidence FROM edge WHERE kind = 'TYPE_USAGE'), k AS (SELECT *, max(confidence) OVER (PARTITION BY edge_id) AS top FROM b) SELECT edge_id, min(node_id) AS node_id, confidence FROM k WHERE confidence = top GROUP BY edge_id, confidence HAVING count(*) = 1"),
     "file_deletion": (_g(_deleted), "WITH GRAPH, dead AS (SELECT id FROM node WHERE file_id % 4 = 1 AND file_id IN (SELECT id FROM file)) SELECT kind, count(*) AS n, count(CASE WHEN resolved_target NOT IN (FROM dead) THEN 1 END) AS resolved FROM edge WHERE source NOT IN (FROM dead) AND target NOT IN (FROM dead) GROUP BY kind"),
     "hits_per_file": (_g(_capped), "WITH GRAPH SELECT n.id, path, n.id % 7 AS score, n.id % 11 = 0 AS exact FROM node n JOIN file f ON f.id = n.file_id WHERE n.kind = 'FIELD' QUALIFY n.id % 11 = 0 OR row_number() OVER (PARTITION BY path, n.id % 11 = 0 ORDER BY n.id % 7 DESC, n.id) <= 2"),
-    "refresh_plan": (_refresh, "WITH f AS (SELECT source || '/' || lang || '/' || doc_id AS path, n_chars AS m, md5(text) AS h, doc_id FROM documents), i AS (SELECT * FROM f WHERE doc_id % 13 <> 0), s AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN m + 1 ELSE m END AS m, h, doc_id % 11 <> 0 AS indexed FROM f WHERE doc_id % 10 <> 0) SELECT path, CASE WHEN i.path IS NULL THEN 'remove' ELSE 'index' END AS action FROM i FULL JOIN s USING (path) WHERE i.path IS NULL OR s.path IS NULL OR NOT s.indexed OR i.m <> s.m OR i.h <> s.h"),
+    "refresh_plan": (_refresh, "WITH f AS (SELECT source || '/' || lang || '/' || doc_id AS path, n_chars AS m, md5(text) AS h, doc_id FROM documents), i AS (SELECT * FROM f WHERE doc_id % 13 <> 0), s AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN m + 1 ELSE m END AS m, h, doc_id % 11 <> 0 AS indexed, doc_id % 17 = 0 AS retry FROM f WHERE doc_id % 10 <> 0) SELECT path, CASE WHEN i.path IS NULL THEN 'remove' ELSE 'index' END AS action FROM i FULL JOIN s USING (path) WHERE i.path IS NULL OR s.path IS NULL OR NOT s.indexed OR s.retry OR i.m <> s.m OR i.h <> s.h"),
     "upsert_last_write": (_upsert, "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"),
     "event_rollup": (lambda s, d: event_rollup(table(s, d, "events")), "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
 }

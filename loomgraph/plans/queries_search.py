@@ -12,7 +12,7 @@ from loomgraph.plans.fragments import EFFECTIVE, ROLE, role
 from loomgraph.sources.star_schema import BASE, load_graph, table
 from loomgraph.sources.store import kept, stored
 
-QUERY, TEXT_QUERY = "supplier#000000001", "thing attion order"
+QUERY, TEXT_QUERY, MIXED_QUERY = "supplier#000000001", "thing attion order", "order_77 run supplier"
 _TOKENS = p.query_tokens(TEXT_QUERY)
 FEATURE_QUERIES = ("Supplier#000000001", "src/core/nation_0.rs", "how does the order flow through the store", "resolve_target", "`lyon`", "where is OrderBook::run used", "licensed")
 
@@ -50,9 +50,9 @@ def _dense(spark: SparkSession, sf_dir: str, floor: float = 0.30, margin: float
     return s.cosine_top(_vectors(spark, sf_dir).where(F.col("id") != 3 * BASE), _query_vector(spark, sf_dir), 40, floor, margin)
 
 
-def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _search(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir).where(F.col("id") != 3 * BASE)
-    return s.search(s.Corpus(lexical_index(spark, sf_dir), load_graph(spark, sf_dir), vectors), QUERY, _query_vector(spark, sf_dir), 20)
+    return s.search(s.Corpus(lexical_index(spark, sf_dir), load_graph(spark, sf_dir), vectors), query, _query_vector(spark, sf_dir), 20)
 
 
 def _seeds(g) -> DataFrame:  # noqa: ANN001
@@ -84,6 +84,33 @@ def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.primary_only(c, ["vendor", "ring"]).select("id", "role")
 
 
+def _phantoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = load_graph(spark, sf_dir).file
+    return s.without_phantoms(f.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("lexical:"), "path")).when(F.col("id") % 7 == 0, F.concat(F.lit("scip:"), "path")).otherwise(F.col("path")).alias("path")))
+
+
+def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = load_graph(spark, sf_dir).node.where("kind = 'STRUCT'")
+    i = F.col("id")
+    lane = n.select("id", F.col("serialized_name").alias("symbol"), F.concat(F.lit("p"), i % 9).alias("path"), F.col("start_line").alias("line"), (i % 5 / 5).alias("score"), F.when(i % 4 == 0, (i % 1000).cast("int")).alias("rank"))
+    return s.missing_ranks(lane).select("id", F.col("rank").cast("long").alias("rank"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text search of symbol names alone: the best by their content lane."""
+    index = lexical_index(spark, sf_dir)
+    tokens = p.query_tokens("supplier customer")
+    t = s.totals(index, tokens)
+    return s.matches(index, tokens).where("source = 1").select("key", s.bm25(t, 0.0, 1.0).alias("score")).orderBy(F.desc("score"), "key").limit(20)
+
+
+def _rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of bytes with a factor that takes all vectors, so that the result is exact."""
+    from loomgraph.operators.ranks import prefiltered_top
+
+    return prefiltered_top(_vectors(spark, sf_dir).where(F.col("id") != 3 * BASE), _query_vector(spark, sf_dir), 15, 100_000)
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for q in FEATURE_QUERIES:
@@ -151,8 +178,8 @@ top AS (SELECT 30000000000 + vec_id AS id, round(list_dot_product(CAST(embedding
 dense AS (SELECT id, score FROM top WHERE score >= {floor} AND score >= round((SELECT max(score) FROM top) - {margin}, 6))"""
 
 
-def _anchor_sql(limit: int) -> str:
-    q = QUERY.lower()
+def _anchor_sql(limit: int, query: str = QUERY) -> str:
+    q = query.lower()
     tokens = [t for t in p.normalised(q).split() if len(t) >= 2]
     extra = "".join(f" + CASE WHEN lower(serialized_name) = '{t}' THEN 0.05e0 WHEN contains(lower(serialized_name), '{t}') THEN 0.03e0 ELSE 0e0 END + CASE WHEN contains(lower(path), '{t}') THEN 0.01e0 ELSE 0e0 END" for t in tokens)
     hit = "".join(f" OR lower(serialized_name) = '{t}'" for t in tokens)
@@ -172,9 +199,9 @@ fn AS (SELECT via, count(DISTINCT id) AS fanout FROM nr GROUP BY via),
 ex AS (SELECT id, round(least(worth * weight * CASE WHEN direction = 'outgoing' THEN 1.0e0 ELSE 0.9e0 END / (2 * sqrt(1e0 + fanout)), 1e0), 6) AS score, via, kind, direction, fanout FROM nr JOIN fn USING (via) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, via, direction, kind, fanout) = 1 ORDER BY score DESC, id LIMIT {limit})"""
 
 
-def _ranked_sql() -> str:
-    """The whole of a search for QUERY."""
-    f = p.classify(QUERY)
+def _ranked_sql(query: str, alone: bool = False) -> str:
+    """The whole of a search; ``alone`` where one symbol has the name asked for, so that neighbours and likenesses are left out."""
+    f = p.classify(query)
     stages = dict(p.plan(f))
     tokens = [t for t in __import__("re").split(r"[\W_]+", f.query.lower()) if len(t) >= 2]
     share = " + ".join(f"CASE WHEN contains(lower(path), '{t}') OR contains(lower(coalesce(symbol, '')), '{t}') THEN 1 ELSE 0 END" for t in tokens)
@@ -183,7 +210,7 @@ def _ranked_sql() -> str:
     lane = lambda x: f"max(score) FILTER (lane = '{x}') AS {x}_score, min(rank) FILTER (lane = '{x}') AS {x}_rank"
     found = f"CASE WHEN regexp_matches(coalesce(symbol, ''), '(^|::)tests?::') THEN 'test' WHEN regexp_matches(lower(path), '\\.(md|mdx|rst)$') THEN 'docs' ELSE {role('path')} END"
     quality = "CASE WHEN symbol IS NOT NULL AND node_id IS NOT NULL AND line IS NOT NULL THEN CASE WHEN kind IN ('CLASS','STRUCT','METHOD','MODULE','NAMESPACE') THEN 1e0 WHEN kind = 'FIELD' THEN 0.65e0 ELSE 0e0 END ELSE 0e0 END"
-    return f"""WITH GRAPH, {EFFECTIVE}, {_lanes(QUERY, 24)}, {_dense_sql()}, {_anchor_sql(stages.get('anchor', 8))}, {_expansion_sql(stages.get('expand', 16))},
+    return f"""WITH GRAPH, {EFFECTIVE}, {_lanes(query, 24)}, {_dense_sql(9.0 if alone else 0.30)}, {_anchor_sql(stages.get('anchor', 8), query)}, {_expansion_sql(0 if alone else stages['expand'])},
 wh AS (SELECT n.id AS node_id, path, serialized_name AS symbol, start_line AS line, kind FROM node n JOIN file f ON f.id = n.file_id),
 gr0 AS (SELECT id AS node_id, path, name AS symbol, line, kind, exact, score FROM an UNION ALL SELECT node_id, path, symbol, line, wh.kind, false, score FROM ex JOIN wh ON wh.node_id = ex.id),
 gr AS (SELECT *, row_number() OVER (ORDER BY score DESC, path, symbol, line, node_id) AS rank FROM gr0),
@@ -223,9 +250,14 @@ ALL = {
     "symbol_anchors": (lambda x, d: s.symbol_anchors(load_graph(x, d), QUERY, 24), f"WITH GRAPH, {_anchor_sql(24)} SELECT id, name, path, line, kind, exact, score FROM an"),
     "selected_anchors": (lambda x, d: _seeds(load_graph(x, d)).select("id", "path", "score"), f"WITH GRAPH, {_anchor_sql(24)} SELECT id, path, score FROM sel"),
     "adjacency_expansion": (_expansion, f"WITH GRAPH, {EFFECTIVE}, {_anchor_sql(24)}, {_expansion_sql(50)} SELECT * FROM ex"),
-    "hybrid_search": (_search, _ranked_sql()),
+    "hybrid_search": (lambda x, d: _search(x, d, MIXED_QUERY), _ranked_sql(MIXED_QUERY)),
+    "definition_search": (lambda x, d: _search(x, d, QUERY), _ranked_sql(QUERY, alone=True)),
     "intent_filter": (_intent, "WITH GRAPH SELECT n.id, kind, qualified_name AS name, path FROM node n JOIN file f ON f.id = n.file_id WHERE kind IN ('CLASS', 'STRUCT') AND contains(lower(path), 'core') AND contains(lower(qualified_name), '000') AND path LIKE '%.rs'"),
     "match_quality": (_quality, "WITH GRAPH SELECT id, CASE WHEN serialized_name = 'order_7' THEN 'exact' WHEN replace(serialized_name, '_', '') = 'order7' THEN 'normalized_exact' WHEN starts_with(replace(serialized_name, '_', ''), 'order7') THEN 'prefix' ELSE 'fuzzy' END AS quality FROM node WHERE kind IN ('STRUCT', 'METHOD')"),
     "primary_roles": (_primary, f"WITH GRAPH, c AS (SELECT n.id, CASE WHEN path LIKE '%.md' THEN 'docs' ELSE {ROLE} END AS role, n.id % 37 = 0 AS exact FROM node n JOIN file f ON f.id = n.file_id WHERE n.kind = 'STRUCT') SELECT id, role FROM c WHERE role NOT IN ('test', 'benchmark', 'generated') OR exact"),
+    "phantom_drop": (_phantoms, "WITH GRAPH SELECT id, path FROM file WHERE id % 3 <> 0 AND id % 7 <> 0"),
+    "missing_ranks": (_missing, "WITH GRAPH, l AS (SELECT id, serialized_name AS symbol, 'p' || (id % 9) AS path, start_line AS line, id % 5 / 5e0 AS score, CASE WHEN id % 4 = 0 THEN id % 1000 END AS rank FROM node WHERE kind = 'STRUCT') SELECT id, coalesce(rank, (SELECT max(rank) FROM l) + row_number() OVER (PARTITION BY rank IS NULL ORDER BY score DESC, path NULLS FIRST, symbol NULLS FIRST, line NULLS FIRST)) AS rank FROM l"),
+    "symbol_full_text": (_names, f"WITH GRAPH, {_lanes('supplier customer', 20)} SELECT key, round(0e0 + " + " + ".join(f"greatest(ln((n - d{k} + 0.5e0) / (d{k} + 0.5e0)), 1e-6) * c{k} * 2.2e0 / (c{k} + 1.2e0 * (0.25e0 + 0.75e0 * (len(pt) + len(ct)) / mean))" for k in range(2)) + ", 6) AS score FROM mt WHERE source = 1 ORDER BY score DESC, key LIMIT 20"),
+    "prefiltered_top": (_rough, "WITH vq AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT 30000000000 + vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, vq WHERE vec_id <> 0 ORDER BY score DESC, id LIMIT 15"),
     "query_plans": (_features, _features_sql()),
 }

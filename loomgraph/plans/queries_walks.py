@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions.graph import display_name
+from loomgraph.operators import grounding as gr
 from loomgraph.operators import relational as r
 from loomgraph.operators import traverse as w
 from loomgraph.plans import exports as x
-from loomgraph.plans.fragments import BAND, BENCH_PATH, COMMON, EFFECTIVE, OUT, TEST_PATH, bfs
+from loomgraph.plans.fragments import BAND, BENCH_PATH, CERTAINTY, COMMON, EFFECTIVE, OUT, TEST_PATH, bfs
 from loomgraph.plans.query_language import execute
 from loomgraph.sources.star_schema import BASE, Graph, load_graph
 
@@ -69,5 +70,8 @@ ALL = {
     "typed_adjacency": (_g(r.typed_adjacency), f"WITH GRAPH, {EFFECTIVE}, refs AS (SELECT dst, id, src, kind FROM eff WHERE kind <> 'MEMBER' AND src IN (SELECT id FROM node) AND dst IN (SELECT id FROM node) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY id) <= 32), b AS (SELECT dst AS node_id, src AS neighbour, 'incoming' AS direction, kind, id FROM refs UNION ALL SELECT src, dst, 'outgoing', kind, id FROM refs) SELECT node_id, neighbour, direction, kind, CAST(row_number() OVER (PARTITION BY node_id ORDER BY id, direction) AS INTEGER) AS ordinal FROM b"),
     "dot_export": (_g(lambda g: x.dot_lines(r.neutralised(g.edge).where("kind = 'MEMBER'"))), f"""WITH GRAPH, {EFFECTIVE} SELECT id, '"' || src || '" -> "' || dst || '" [label="' || kind || '"];' AS line FROM eff WHERE kind = 'MEMBER'"""),
     "mermaid_export": (_g(lambda g: x.mermaid_lines(g.node.where("kind = 'NAMESPACE'").select("id", display_name().alias("name")), r.neutralised(g.edge).where("kind = 'IMPORT'"))), f"""WITH GRAPH, {EFFECTIVE} SELECT 0 AS part, id, 'n' || id || '["' || qualified_name || '"]' AS line FROM node WHERE kind = 'NAMESPACE' UNION ALL SELECT 1, id, 'n' || src || ' -->|' || kind || '| n' || dst FROM eff WHERE kind = 'IMPORT'"""),
+    "family_fold": (_g(gr.family_fold), f"WITH GRAPH, {EFFECTIVE}, c AS (SELECT *, {CERTAINTY} AS c, CASE kind WHEN 'MEMBER' THEN 'ownership' WHEN 'INHERITANCE' THEN 'hierarchy' WHEN 'CALL' THEN 'flow' WHEN 'IMPORT' THEN 'dependency' ELSE 'reference' END AS family FROM eff), f AS (SELECT src, dst, family, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, CASE min(CASE c WHEN 'certain' THEN 3 WHEN 'probable' THEN 2 WHEN 'uncertain' THEN 1 ELSE 0 END) WHEN 3 THEN 'certain' WHEN 2 THEN 'probable' WHEN 1 THEN 'uncertain' END AS certainty FROM c GROUP BY src, dst, family) SELECT f.src, f.dst, f.family, CASE WHEN f.src = f.dst THEN 'self' WHEN b.src IS NOT NULL THEN 'both' ELSE 'direct' END AS route, f.n, f.kinds, f.certainty FROM f LEFT JOIN f b ON b.src = f.dst AND b.dst = f.src AND b.family = f.family"),
+    "mermaid_sequence": (_g(lambda g: x.mermaid_sequence(g.edge.where("kind = 'IMPORT'").select(F.col("id").alias("ord"), F.col("source").cast("string").alias("source"), F.col("target_name").alias("target"), "kind"))), "WITH GRAPH SELECT id AS ord, source || '->>' || regexp_replace(target_name, '[^\\w.]', '_', 'g') || ': ' || kind AS line FROM edge WHERE kind = 'IMPORT'"),
+    "mermaid_gantt": (_g(lambda g: x.mermaid_gantt(g.node.where("kind = 'NAMESPACE'").select(F.col("id").alias("ord"), F.col("serialized_name").alias("name"), F.col("start_line").alias("start_ms"), F.lit(3).alias("length_ms")))), "WITH GRAPH SELECT id AS ord, serialized_name || ' :s' || id || ', ' || start_line || ', 3ms' AS line FROM node WHERE kind = 'NAMESPACE'"),
     "json_export": (_g(lambda g: x.json_rows(g).groupBy(F.get_json_object("line", "$.type").alias("type"), F.get_json_object("line", "$.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))), "WITH GRAPH SELECT 'node' AS type, kind, count(*) AS n FROM node GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edge GROUP BY kind"),
 }

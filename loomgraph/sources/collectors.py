@@ -331,6 +331,14 @@ def blanked(text: Column, tags: str = "script") -> Column:
     return F.array_join(F.transform(parts, keep), "")
 
 
+def script_source(text: Column, language: Column) -> Column:
+    """The script of a template file at its own lines and columns: script elements, and an Astro file's fenced head."""
+    head = F.regexp_extract(text, r"(?s)^---\r?\n(.*?)\r?\n---", 1)
+    cover = F.regexp_replace(text, r"(?s)^---\r?\n.*?\r?\n---", "")
+    fenced = F.concat(F.lit("   \n"), head, F.lit("\n   "), blanked(cover))
+    return F.when((language == "astro") & text.rlike(r"(?s)^---\r?\n.*?\r?\n---"), fenced).otherwise(blanked(text))
+
+
 def discover(spark: SparkSession, folder: str, glob: str = "*", most_bytes: int | None = None) -> DataFrame:
     """(path, size, text) of the files below a folder, sorted; texts over the size are listed without being read into a column."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)

@@ -58,5 +58,5 @@ def kept(spark: SparkSession, key: str, build: Callable[[], T]) -> T:
     try:
         held[at] = (build(), paths)
     finally:
-        _building.remove(paths)
+        _building.pop()
     return held[at][0]

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def refresh_plan(inventory: DataFrame, stored: DataFrame, complete: bool = True) -> DataFrame:
-    """(path, action): ``index`` for new, changed or unindexed files, ``remove`` for missing ones if the inventory is complete.
+    """(path, action): ``index`` for new, changed or unindexed files and those to be tried again, ``remove`` for missing ones if the inventory is complete.
 
-    Both frames have path, modified and hash; ``stored`` also indexed. A known hash decides over a
-    changed time only where both are known and equal times differ in hash.
+    Both frames have path, modified and hash; ``stored`` also indexed, and may have retry. A known hash
+    decides over a changed time only where both are known and equal times differ in hash.
     """
     i = inventory.select("path", F.col("modified").alias("m1"), F.col("hash").alias("h1"), F.lit(True).alias("here"))
-    s = stored.select("path", F.col("modified").alias("m2"), F.col("hash").alias("h2"), "indexed", F.lit(True).alias("known"))
-    stale = F.col("known").isNull() | ~F.col("indexed") | ~F.col("m1").eqNullSafe(F.col("m2")) | (F.col("h2").isNotNull() & ~F.col("h1").eqNullSafe(F.col("h2")))
+    retry = F.coalesce("retry", F.lit(False)) if "retry" in stored.columns else F.lit(False)
+    s = stored.select("path", F.col("modified").alias("m2"), F.col("hash").alias("h2"), "indexed", retry.alias("retry"), F.lit(True).alias("known"))
+    stale = F.col("known").isNull() | ~F.col("indexed") | F.col("retry") | ~F.col("m1").eqNullSafe(F.col("m2")) | (F.col("h2").isNotNull() & ~F.col("h1").eqNullSafe(F.col("h2")))
     action = F.when(F.col("here").isNull(), F.lit("remove" if complete else None)).when(stale, "index")
     return i.join(s, "path", "full").select("path", action.alias("action")).where("action is not null")
 
 
 def upsert(current: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
-    """Last write wins by ``key``: the greatest ``order`` of both frames."""
-    newest = Window.partitionBy(key).orderBy(F.desc(order))
-    both = current.unionByName(batch)
-    return both.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """Last write wins by ``key``: the greatest ``order`` of both frames, of equal ones the greatest row; combined before the shuffle."""
+    rest = [c for c in current.columns if c not in (key, order)]
+    last = current.unionByName(batch).groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_r"))
+    return last.select(key, "_r.*").select(*current.columns)
 
 
 def event_rollup(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
