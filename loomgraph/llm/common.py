@@ -70,7 +70,7 @@ def recorded() -> Iterator[list[DataFrame]]:
     try:
         yield tables
     finally:
-        _recorders.remove(tables)
+        _recorders.pop()
 
 
 def cut_bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:

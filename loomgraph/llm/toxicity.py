@@ -37,10 +37,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, cut_bucketed, map_batches, read_table, release, shuffle_partitions, text_of
+from loomgraph.llm.common import cut, cut_bucketed, map_batches, read_table, release, shuffle_partitions, text_of, unfolded, whole_row
 from loomgraph.llm.tokens import mix, pieces, words
 
-BATCH_WORDS, BUCKET_KEYS = 1 << 20, 1 << 20
+BATCH_WORDS, BUCKET_KEYS = 3 << 18, 1 << 19
 #: Bits of a word's hash; bits of a key's hash that follow those of its bucket.
 WORD_BITS, KEY_BITS = np.uint64(48), np.uint64(32)
 DISCOUNTS = (0.0, 1.0, 1.5, 2.0)
@@ -275,7 +275,7 @@ def compare(docs: DataFrame, known: DataFrame, batch_words: int = BATCH_WORDS, b
     batches = cut_bucketed(_batches(texts, batch_words), buckets, "batch")
     size = F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))
     total = batches.agg(size.alias("words"), F.sum("distinct").alias("own")).first()
-    of_pairs, of_words = _bits(total.words or 0, bucket_keys), _bits(total.own or 0, bucket_keys)
+    of_pairs, of_words = _bits(total.words or 0, bucket_keys), _bits(total.own or 0, max(1, bucket_keys // 4))
     # Labels meet the rows' places in batches, so no text moves. The join is by sorting at any size of the labels.
     rows = batches.select("batch", F.posexplode("doc_ids").alias("place", "doc_id"))
     marks = rows.join(known.hint("merge"), F.col("doc_id") == F.col("labelled")).groupBy("batch").agg(F.collect_list(F.struct("place", "toxic")).alias("marks"))
@@ -374,7 +374,9 @@ def score(model: Model, threshold: float = THRESHOLD) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs``, the fitted table, all columns as they are, whose text scores below the threshold."""
     dropped = cut(model.compared.where(model.scores() >= threshold).select(F.col("digest").alias("dropped_digest")).distinct())
-    return docs.join(dropped, digest_of(text_of(text)) == F.col("dropped_digest"), "left_anti")
+    rows = docs.select(whole_row(docs).alias("row"))
+    own = digest_of(F.coalesce(F.col("row").getField(text).cast("string"), F.lit("")))
+    return unfolded(rows.join(dropped, own == F.col("dropped_digest"), "left_anti"), "row", docs.columns, {})
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
