@@ -1,20 +1,20 @@
 """A document pipeline of five stages, each written as Parquet and read again by the next.
 
 toxicity drops documents scored at or over the threshold; the n-gram Jaccard join keeps the
-document whose doc_id names its component (one of the rows, where that doc_id is repeated);
+document whose doc_id names its component (one of the rows, where that doc_id and text are repeated);
 personal data are replaced in place; the mix takes words by source; the last stage packs the
 mixed texts into sequences. An empty table passes through all stages.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import read_table, shared_dir, text_of
+from loomgraph.llm.common import cut, read_table, recorded, release, text_of, unfolded, whole_row
 from loomgraph.llm.jaccard_join import similarity_components
 from loomgraph.llm.mixing import mixed_texts
 from loomgraph.llm.packing import pack_documents
@@ -30,15 +30,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8), that of the least doc_id.
 
-    Of repeated rows with one doc_id and text one stays; rows without a doc_id cannot be told
-    apart and stay all.
+    Of repeated rows with one doc_id and text one stays. Rows without a doc_id are told apart by
+    their text and come after those with one (doc_ids below 2**62 are taken for granted).
     """
-    classes = similarity_components(docs, k=5, percent=80)
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    copies = Window.partitionBy("doc_id", "same_text").orderBy(F.lit(1))
-    one = kept.withColumn("same_text", F.md5(text_of())).withColumn("copy", F.row_number().over(copies)).where("copy = 1")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(text_of()), F.lit(1 << 61))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), text_of().alias("text"), whole_row(docs).alias("row"))
+    classes = similarity_components(rows.select("doc_id", "text"), k=5, percent=80)
+    first = classes.where("doc_id = component_id").select("doc_id").distinct()
+    kept = rows.join(first, "doc_id", "left_semi").select("doc_id", F.md5(F.col("text").cast("binary")).alias("same_text"), "row")
+    return unfolded(kept.groupBy("doc_id", "same_text").agg(F.first("row").alias("row")), "row", docs.columns, {})
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,15 +54,34 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, cache_words=200_000, keep_encoder=False)
 
 
-STAGES = [("toxicity", drop_toxic), ("n-gram Jaccard join", drop_near_copies), ("PII", redact_pii), ("source mixing", mix_sources), ("best-fit packing", pack)]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that the last stage's result is read from; it is written before the next stage starts, and they go then.
+_left: dict[str, list[DataFrame]] = {}
+
+
+def _tidy(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        left = _left.pop(app, [])
+        if left:
+            still_read = docs.inputFiles()  # of a caller who did not write the result in between
+            release(*[t for t in left if not any(t._loomgraph_cut[0].split("://")[-1].lstrip("/") in f for f in still_read)])  # type: ignore[attr-defined]
+        with recorded() as tables:
+            out = stage(spark, docs, sf_dir)
+        _left[app] = tables
+        return out
+
+    return run_stage
+
+
+STAGES = [(name, _tidy(stage)) for name, stage in (("toxicity", drop_toxic), ("n-gram Jaccard join", drop_near_copies), ("PII", redact_pii), ("source mixing", mix_sources), ("best-fit packing", pack))]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/loomgraph/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        release(before)
+    release(*_left.pop(spark.sparkContext.applicationId, []))
     return docs
