@@ -11,13 +11,22 @@ from loomgraph.sources.star_schema import Graph
 
 
 def neutralised(edges: DataFrame) -> DataFrame:
-    """Edges with ``src`` and ``dst``; a call resolved too unsurely loses its resolution first."""
-    e = edges if "target_name" in edges.columns else edges.withColumn("target_name", F.lit(None).cast("string"))
-    e = e.withColumn("_ignored", ignored_resolution())
-    e = e.withColumns({c: F.when(~F.col("_ignored"), F.col(c)) for c in ("resolved_target", "confidence", "certainty")}).drop("_ignored")
+    """Edges with ``src`` and ``dst``; a call resolved too unsurely loses its resolution first.
+
+    A stored graph knows which calls those are (``ignored``); what changes resolutions drops that column.
+    """
+    e = edges
+    if "ignored" not in e.columns:
+        e = e if "target_name" in e.columns else e.withColumn("target_name", F.lit(None).cast("string"))
+        e = e.withColumn("ignored", ignored_resolution())
+    e = e.withColumns({c: F.when(~F.col("ignored"), F.col(c)) for c in ("resolved_target", "confidence", "certainty")}).drop("ignored")
     return e.withColumns({"src": effective("source"), "dst": effective("target")})
 
 
+def unmarked(edges: DataFrame) -> list[str]:
+    return [c for c in edges.columns if c != "ignored"]
+
+
 def degree_map(edges: DataFrame) -> DataFrame:
     """(id, outgoing, incoming) over effective endpoints; a self edge counts on both sides."""
     ends = neutralised(edges).select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("e"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.graph import COMMON_CALLS, certainty_of, common_call
+from loomgraph.operators.relational import unmarked
 from loomgraph.operators.traverse import durable
 from loomgraph.sources.star_schema import Graph
 from loomgraph.sources.store import written_rows
@@ -30,7 +31,7 @@ def stale_cleanup(edges: DataFrame, nodes: DataFrame, floor: float = 0.55) -> Da
     low = F.coalesce(F.col("confidence") < floor, F.lit(False)) & ~F.coalesce("_shield", F.lit(False))
     common = F.coalesce("_common", F.lit(False)) & F.col("resolved_target").isNotNull() & (F.coalesce("certainty", certainty_of(), F.lit("")) != "certain")
     drop = (F.col("kind") == "CALL") & (low | common)
-    return e.withColumns({c: F.when(~drop, F.col(c)) for c in ("resolved_target", "confidence", "certainty")}).select(*edges.columns)
+    return e.withColumns({c: F.when(~drop, F.col(c)) for c in ("resolved_target", "confidence", "certainty")}).select(*unmarked(edges))
 
 
 def cascade(requests: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def apply_updates(edges: DataFrame, updates: DataFrame) -> DataFrame:
     """``edges`` with the target and confidence of ``updates`` (edge_id, node_id, confidence), others as they are."""
     u = updates.select(F.col("edge_id").alias("id"), "node_id", F.col("confidence").alias("new_confidence"))
     taken = edges.join(u, "id", "left").withColumns({"resolved_target": F.coalesce("node_id", "resolved_target"), "confidence": F.coalesce("new_confidence", "confidence")})
-    return taken.select(*edges.columns)
+    return taken.select(*unmarked(edges))
 
 
 def in_scope(edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def delete_files(g: Graph, files: DataFrame) -> Graph:
     dead = g.node.join(gone, "file_id", "left_semi").select("id")
     edge = reduce(lambda e, end: e.join(dead.select(F.col("id").alias(end)), end, "left_anti"), ("source", "target"), g.edge)
     lost = dead.select(F.col("id").alias("resolved_target"), F.lit(True).alias("lost"))
-    edge = edge.join(lost, "resolved_target", "left").withColumn("resolved_target", F.when(F.col("lost").isNull(), F.col("resolved_target"))).select(*g.edge.columns)
+    edge = edge.join(lost, "resolved_target", "left").withColumn("resolved_target", F.when(F.col("lost").isNull(), F.col("resolved_target"))).select(*unmarked(g.edge))
     occurrence = g.occurrence.join(gone, "file_id", "left_anti").join(dead.select(F.col("id").alias("element_id")), "element_id", "left_anti")
     return Graph(g.node.join(gone, "file_id", "left_anti"), edge, occurrence.select(*g.occurrence.columns), g.file.join(gone.select(F.col("file_id").alias("id")), "id", "left_anti"))
 

@@ -17,6 +17,7 @@ from loomgraph.functions.paths import extension, file_role, role_rank
 from loomgraph.operators.relational import neutralised
 from loomgraph.plans import planner as p
 from loomgraph.sources.star_schema import Graph
+from loomgraph.sources.store import written
 
 K1, B, RRF_K = 1.2, 0.75, 20
 #: Weights of the final score, role priors of a text, and caps of anchors.
@@ -36,10 +37,20 @@ def tokens_of(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """docs(key, path, symbol, node_id, kind, line, source, path_len, content_len); postings(term, key, path_tf, content_tf), sorted by term."""
+    """docs(key, path, symbol, node_id, kind, line, source, path_len, content_len); postings(term, key, path_tf, content_tf), sorted by term.
+
+    The number of documents and their mean length are counted once, when first asked for.
+    """
 
     docs: DataFrame
     postings: DataFrame
+    _size: tuple[int, float] | None = None
+
+    def size(self) -> tuple[int, float]:
+        if self._size is None:
+            r = self.docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("path_len") + F.col("content_len")).alias("mean")).first()
+            self._size = (r.n or 0, r.mean or 1.0)
+        return self._size
 
 
 def build_index(texts: DataFrame) -> Index:
@@ -48,7 +59,8 @@ def build_index(texts: DataFrame) -> Index:
     docs = t.select("key", "path", "symbol", "node_id", "kind", "line", "source", F.size("path_tokens").alias("path_len"), F.size("content_tokens").alias("content_len"))
     both = t.select("key", F.explode(F.concat(F.transform("path_tokens", lambda x: F.struct(x.alias("term"), F.lit(1).alias("p"), F.lit(0).alias("c"))), F.transform("content_tokens", lambda x: F.struct(x.alias("term"), F.lit(0).alias("p"), F.lit(1).alias("c"))))).alias("t"))
     # A term of a document is counted where the document is: no shuffle but the one that sorts terms.
-    postings = both.groupBy("key", F.col("t.term").alias("term")).agg(F.sum("t.p").alias("path_tf"), F.sum("t.c").alias("content_tf"))
+    postings = written(both.groupBy("key", F.col("t.term").alias("term")).agg(F.sum("t.p").alias("path_tf"), F.sum("t.c").alias("content_tf")))
+    # Ranges of terms are found by a look at what was written, not by reading the texts twice.
     return Index(docs, postings.repartitionByRange("term").sortWithinPartitions("term", "key"))
 
 
@@ -73,6 +85,11 @@ def matches(index: Index, tokens: list[str]) -> DataFrame:
     return hit.groupBy("key").agg(*sums).join(index.docs, "key")
 
 
+def local(rows: DataFrame) -> DataFrame:
+    """A list that a limit bounds, held by the driver, so that what follows does not make it again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 @dataclass
 class Totals:
     documents: int
@@ -80,10 +97,10 @@ class Totals:
     frequency: list[int]
 
 
-def totals(index: Index, tokens: list[str]) -> Totals:
-    n = index.docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("path_len") + F.col("content_len")).alias("mean")).first()
-    df = {r.token: r.n for r in document_frequencies(index, tokens).collect()}
-    return Totals(n.n or 0, n.mean or 1.0, [df.get(t, 0) for t in tokens])
+def totals(index: Index, tokens: list[str], found: DataFrame) -> Totals:
+    """What a score needs of the corpus; ``found`` are all documents that match a token."""
+    counts = found.agg(*[F.sum(((F.col(f"p{k}") + F.col(f"c{k}")) > 0).cast("long")).alias(f"d{k}") for k in range(len(tokens))]).first()
+    return Totals(*index.size(), [counts[f"d{k}"] or 0 for k in range(len(tokens))])
 
 
 def bm25(t: Totals, path_weight: float, content_weight: float) -> Column:
@@ -106,30 +123,35 @@ def _symbol_overlap(tokens: list[str], weights: list[float]) -> Column:
     return F.round(reduce(Column.__add__, [F.when(F.array_contains(own, t), w).otherwise(0.0) for t, w in zip(tokens, weights)], F.lit(0.0)), 6)
 
 
-def lexical_lanes(index: Index, query: str, limit: int) -> DataFrame:
+def _found(index: Index, tokens: list[str]) -> tuple[DataFrame, Totals]:
+    """What matches any token, written once, for every lane reads it; with its BM25 by path and by content."""
+    rows = written(matches(index, tokens))
+    t = totals(index, tokens, rows)
+    return rows.withColumns({"by_path": bm25(t, 8.0, 1.0), "by_content": bm25(t, 1.0, 4.0)}), t
+
+
+def lexical_lanes(index: Index, query: str, limit: int, found: tuple[DataFrame, Totals] | None = None) -> DataFrame:
     """(key, lane, rank) of the four lanes: exact names, paths, contents, and symbol documents by their names.
 
     Each lane is a bounded top list of its own order; ranks count from 1.
     """
     tokens, quoted = p.query_tokens(query), p.quoted_tokens(query)
     most = max(256, min(64 * limit, p.LEXICAL_WINDOW))
-    spark = index.docs.sparkSession
     if not tokens:
-        return spark.createDataFrame([], "key long, lane string, rank int")
-    t = totals(index, tokens)
-    found = matches(index, tokens).withColumns({"by_path": bm25(t, 8.0, 1.0), "by_content": bm25(t, 1.0, 4.0)})
+        return index.docs.sparkSession.createDataFrame([], "key long, lane string, rank int")
+    rows, t = found or _found(index, tokens)
     needle = query.strip().lower()
     symbol = F.lower(F.coalesce("symbol", F.lit("")))
     exact = index.docs.where((F.lower("path") == needle) | (symbol == needle) | symbol.endswith("::" + needle) | symbol.endswith("." + needle))
     overlap = _symbol_overlap(tokens, _weighted(t, tokens, quoted))
 
-    def lane(rows: DataFrame, name: str, *order: Column) -> DataFrame:
-        top = rows.orderBy(*order).limit(most)
+    def lane(own: DataFrame, name: str, *order: Column) -> DataFrame:
+        top = own.orderBy(*order).limit(most)
         return top.select("key", F.lit(name).alias("lane"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
     ends = [F.col("path"), F.col("key")]
-    symbols = found.where("source = 1").orderBy(F.desc("by_content"), *ends).limit(most).withColumn("overlap", overlap)
-    return lane(exact, "exact", *ends).unionByName(lane(found, "path", F.desc("by_path"), *ends)).unionByName(lane(found, "content", F.desc("by_content"), *ends)).unionByName(lane(symbols, "symbol", F.desc("overlap"), F.desc("by_content"), *ends))
+    symbols = rows.where("source = 1").orderBy(F.desc("by_content"), *ends).limit(most).withColumn("overlap", overlap)
+    return lane(exact, "exact", *ends).unionByName(lane(rows, "path", F.desc("by_path"), *ends)).unionByName(lane(rows, "content", F.desc("by_content"), *ends)).unionByName(lane(symbols, "symbol", F.desc("overlap"), F.desc("by_content"), *ends))
 
 
 LANES = ("exact", "path", "content", "symbol")
@@ -160,10 +182,11 @@ def lexical_search(index: Index, query: str, limit: int) -> DataFrame:
     tokens, quoted = p.query_tokens(query), p.quoted_tokens(query)
     if not tokens:
         return index.docs.limit(0).select("key", "path", "symbol", "node_id", "kind", "line", F.lit(0).alias("matched"), F.lit(0.0).alias("score"), F.lit(0).alias("place"))
-    lanes = lexical_lanes(index, query, limit)
+    found = _found(index, tokens)
+    lanes = local(lexical_lanes(index, query, limit, found))
     fused = sublane_ranks(lanes).join(interleaved(lanes), "key")
     score = reciprocal([F.col(f"{x}_rank") for x in LANES], p.SUBLANE_WEIGHTS[p.classify(query).shape])
-    rows = matches(index, tokens).join(fused.select("key", score.alias("score"), "position"), "key")
+    rows = found[0].join(F.broadcast(fused.select("key", score.alias("score"), "position")), "key")
     has = [(F.col(f"p{k}") + F.col(f"c{k}")) > 0 for k in range(len(tokens))]
     matched = reduce(Column.__add__, [h.cast("int") for h in has])
     must = reduce(Column.__and__, [h for h, t in zip(has, tokens) if t in quoted], F.lit(True))
@@ -240,11 +263,15 @@ def expansion(g: Graph, anchors: DataFrame, limit: int) -> DataFrame:
     A way is worth the anchor's score times the weight of its edge kind, less for an incoming one, for
     every further step and for anchors with many neighbours.
     """
-    e = neutralised(g.edge).withColumn("weight", edge_weight()).where("weight > 0 and src <> dst")
-    ends = lambda at, to, way: e.select(F.col(at).alias("via"), F.col(to).alias("id"), "kind", "weight", F.lit(way).alias("direction"))
-    both = ends("src", "dst", "outgoing").unionByName(ends("dst", "src", "incoming"))
-    a = F.broadcast(anchors.select(F.col("id").alias("via"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("worth")))
-    near = both.join(a, "via").join(F.broadcast(anchors.select("id")), "id", "left_anti")
+    held = {r.id: min(max(r.score, 0.0), 1.0) for r in anchors.select("id", "score").collect()}
+    ids, spark = list(held) or [-1], g.node.sparkSession
+    # Anchors are few, so edges are picked where they are read, and only what is picked is kept.
+    e = neutralised(g.edge).where(F.col("src").isin(ids) | F.col("dst").isin(ids)).withColumn("weight", edge_weight()).where("weight > 0 and src <> dst")
+    picked = written(e.select("src", "dst", "kind", "weight"))
+    ends = lambda at, to, way: picked.select(F.col(at).alias("via"), F.col(to).alias("id"), "kind", "weight", F.lit(way).alias("direction"))
+    both = ends("src", "dst", "outgoing").unionByName(ends("dst", "src", "incoming")).where(F.col("via").isin(ids) & ~F.col("id").isin(ids))
+    worth = spark.createDataFrame([(i, float(v)) for i, v in held.items()], "via long, worth double")
+    near = both.join(F.broadcast(worth), "via")
     fan = near.groupBy("via").agg(F.count_distinct("id").alias("fanout"))
     score = F.col("worth") * F.col("weight") * F.when(F.col("direction") == "outgoing", 1.0).otherwise(0.9) / (F.lit(2) * F.sqrt(F.lit(1.0) + F.col("fanout")))
     scored = near.join(F.broadcast(fan), "via").withColumn("score", F.round(F.least(score, F.lit(1.0)), 6))
@@ -393,22 +420,23 @@ def search(corpus: Corpus, query: str, query_vector: list[float] | None, limit:
     none = F.lit(None)
     shape = lambda df: df.select("node_id", "path", "symbol", "line", "kind", "exact", "score", "rank")
     lanes: dict[str, DataFrame] = {}
-    hits = lexical_search(corpus.index, query, max(limit, ANCHOR_WINDOW))
+    hits = local(lexical_search(corpus.index, query, max(limit, ANCHOR_WINDOW)))
     lanes["lexical"] = shape(hits.withColumns({"exact": F.lit(False), "rank": F.col("place")}))
     where = g.node.join(g.file.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("id").alias("node_id"), "path", F.col("serialized_name").alias("symbol"), F.col("start_line").alias("line"), "kind")
-    anchors = symbol_anchors(g, query, stages.get("anchor", 8))
+    anchors = local(symbol_anchors(g, query, stages.get("anchor", 8)))
     # A definition asked for by a name that one symbol has needs no neighbours and nothing like it.
     if features.mode == "definition" and anchors.where("exact").limit(2).count() == 1:
         stages = {k: n for k, n in stages.items() if k not in ("semantic", "expand")}
     if "semantic" in stages and query_vector:
-        near = with_ranks(cosine_top(corpus.vectors, query_vector, stages["semantic"]), "id").select(F.col("id").alias("node_id"), "score", "rank")
-        lanes["semantic"] = shape(near.join(where, "node_id").withColumn("exact", F.lit(False)))
+        near = with_ranks(local(cosine_top(corpus.vectors, query_vector, stages["semantic"])), "id").select(F.col("id").alias("node_id"), "score", "rank")
+        lanes["semantic"] = shape(local(where.join(F.broadcast(near), "node_id")).withColumn("exact", F.lit(False)))
     direct = anchors.select(F.col("id").alias("node_id"), "path", F.col("name").alias("symbol"), "line", "kind", "exact", "score")
     seeds = anchors.select("id", "path", "exact", "score", F.row_number().over(Window.orderBy(F.desc("exact"), F.desc("score"), "path", "id")).alias("place"))
     columns = ["node_id", "path", "symbol", "line", "kind", "exact", "score"]
     graph = direct.select(*columns)
     if "expand" in stages:
-        spread = expansion(g, selected_anchors(seeds).select("id", "score"), stages["expand"]).select(F.col("id").alias("node_id"), "score").join(where, "node_id").withColumn("exact", F.lit(False))
+        near = expansion(g, selected_anchors(seeds).select("id", "score"), stages["expand"]).select(F.col("id").alias("node_id"), "score")
+        spread = local(where.join(F.broadcast(near), "node_id")).withColumn("exact", F.lit(False))
         graph = graph.unionByName(spread.select(*columns))
     lanes["graph"] = shape(with_ranks(graph, "path", "symbol", "line", "node_id"))
     if "semantic" not in lanes:

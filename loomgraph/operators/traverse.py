@@ -30,7 +30,7 @@ def distances(starts: DataFrame, steps: DataFrame, depth: int, within: DataFrame
     ``within`` (id, room) confines the walk to its nodes, each at ``room`` steps at most. Only new
     nodes are written at each level; what was seen is the union of the levels' files.
     """
-    seen = frontier = durable(starts.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier = starts.select("id").distinct().withColumn("depth", F.lit(0))
     hop = 0
     while depth == 0 or hop < depth:
         hop += 1
@@ -195,7 +195,7 @@ def story(edges: DataFrame, most: int = 16) -> DataFrame:
 
 def impact(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
     """What may be affected by ``changed`` (id): a walk against all edges, whatever their kind."""
-    return distances(changed, links(edges, "incoming"), depth)
+    return distances(durable(changed.select("id")), links(edges, "incoming"), depth)
 
 
 #: How much each label of evidence holds; ties go by label.

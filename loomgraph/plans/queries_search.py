@@ -32,7 +32,9 @@ def lexical_index(spark: SparkSession, sf_dir: str) -> s.Index:
 
     def build() -> s.Index:
         built = s.build_index(_texts(spark, sf_dir))
-        return s.Index(stored(built.docs, "key"), stored(built.postings))
+        index = s.Index(stored(built.docs, "key"), stored(built.postings))
+        index.size()
+        return index
 
     return kept(spark, f"lexical:{sf_dir}", build)
 
@@ -100,8 +102,8 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text search of symbol names alone: the best by their content lane."""
     index = lexical_index(spark, sf_dir)
     tokens = p.query_tokens("supplier customer")
-    t = s.totals(index, tokens)
-    return s.matches(index, tokens).where("source = 1").select("key", s.bm25(t, 0.0, 1.0).alias("score")).orderBy(F.desc("score"), "key").limit(20)
+    found = s.matches(index, tokens)
+    return found.where("source = 1").select("key", s.bm25(s.totals(index, tokens, found), 0.0, 1.0).alias("score")).orderBy(F.desc("score"), "key").limit(20)
 
 
 def _rough(spark: SparkSession, sf_dir: str) -> DataFrame:

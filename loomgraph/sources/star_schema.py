@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.graph import ignored_resolution
 from loomgraph.sources.store import kept, stored
 
 BASE = 10_000_000_000
@@ -22,7 +23,7 @@ BASE = 10_000_000_000
 class Graph:
     """node(id, kind, serialized_name, qualified_name, canonical_id, start_line, end_line, file_id);
     edge(id, kind, source, target, resolved_source, resolved_target, confidence, certainty, file_id,
-    line, target_name, caller_path); occurrence(element_id, file_id, line, end_line, seq);
+    line, target_name, caller_path; ignored where stored); occurrence(element_id, file_id, line, end_line, seq);
     file(id, path, language, indexed, complete, size); error(id, file_id, message, fatal, step)."""
 
     node: DataFrame
@@ -120,7 +121,7 @@ def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
     def build() -> Graph:
         g = _build(spark, sf_dir)
-        return replace(g, node=stored(g.node, "kind", "id"), edge=stored(g.edge, "kind", "source"), occurrence=stored(g.occurrence, "file_id", "line"))
+        return replace(g, node=stored(g.node, "kind", "id"), edge=stored(g.edge.withColumn("ignored", ignored_resolution()), "kind", "source"), occurrence=stored(g.occurrence, "file_id", "line"))
 
     return kept(spark, f"graph:{sf_dir}", build)
 
