@@ -168,10 +168,13 @@ def with_edits(docs: DataFrame) -> DataFrame:
     dealt = d.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     done = cut(map_batches(dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text", "text_hash"), run, _RESULT))
     # Heads (even places) and tails (odd), in order: a tail's next is the head after it, the last tail's the very first head.
+    # Only places are put in order in one task, two a partition; the texts meet by an equal join.
     ends = done.where("place >= 0").select("place", "doc_id", "text")
     ring = Window.orderBy("place")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    open_rows = ends.withColumn("following", F.coalesce(F.lead("text").over(ring), F.first("text").over(whole))).where("place % 2 = 1").select("doc_id", "text", "following")
+    order = ends.select("place").withColumn("head", F.coalesce(F.lead("place").over(ring), F.first("place").over(whole))).where("place % 2 = 1")
+    heads = ends.select(F.col("place").alias("head"), F.col("text").alias("following"))
+    open_rows = ends.join(order, "place").join(heads, "head").select("doc_id", "text", "following")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
