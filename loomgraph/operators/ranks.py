@@ -169,8 +169,8 @@ def text_hits(texts: DataFrame, query: str, terms: list[str], limit: int) -> Dat
 
 #: The first class whose words a question has.
 TASKS = (
-    ("bug_localization", "bug error failing failed broken crash"), ("change_impact", "impact affected regression blast_radius"), ("route_tracing", "route endpoint handler api_path"), ("symbol_ownership", "owner owns who_calls references"),
-    ("data_flow", "data_flow flow_from flow_into flows_from flows_into pipeline through"), ("edit_planning", "where_to_edit edit change modify implement"),
+    ("bug_localization", ("bug", "error", "failing", "failed", "broken", "crash")), ("change_impact", ("impact", "affected", "regression", "blast radius")), ("route_tracing", ("route", "endpoint", "handler", "api path")),
+    ("symbol_ownership", ("owner", "owns", "who calls", "references")), ("data_flow", ("data flow", "flow from", "flow into", "flows from", "flows into", "pipeline", "through")), ("edit_planning", ("where to edit", "edit", "change", "modify", "implement", "add ")),
 )
 
 
@@ -178,7 +178,7 @@ def task_class(question: Column) -> Column:
     low = F.lower(question)
     out = F.lit("architecture_explanation")
     for name, words in reversed(TASKS):
-        out = F.when(reduce(Column.__or__, [low.contains(w.replace("_", " ")) for w in words.split()]), name).otherwise(out)
+        out = F.when(reduce(Column.__or__, [low.contains(w) for w in words]), name).otherwise(out)
     return out
 
 

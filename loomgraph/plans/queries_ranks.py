@@ -170,7 +170,7 @@ e AS (SELECT path, low, seq, pn, unnest(string_split(low, chr(10))) AS line, gen
 b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY seq ORDER BY CAST(contains(line, 'attion thing') AS INT) DESC, {_COUNT('line')} DESC, i) = 1),
 s AS (SELECT path, i AS line, 100e0 + CASE WHEN contains(line, 'attion thing') THEN 220 WHEN contains(low, 'attion thing') THEN 140 ELSE 0 END + pn * 35 + {_COUNT('line')} * 28 + {_COUNT('low')} * 6 AS score, row_number() OVER (ORDER BY seq) AS position FROM b QUALIFY position <= 60)
 SELECT path, CAST(line AS INTEGER) AS line, round(score - (position - 1) * 0.01e0, 6) AS score, CAST(position AS INTEGER) AS position FROM s"""
-_TASK = "CASE WHEN regexp_matches(q, 'bug|error|failing|failed|broken|crash') THEN 'bug_localization' WHEN regexp_matches(q, 'impact|affected|regression|blast radius') THEN 'change_impact' WHEN regexp_matches(q, 'route|endpoint|handler|api path') THEN 'route_tracing' WHEN regexp_matches(q, 'owner|owns|who calls|references') THEN 'symbol_ownership' WHEN regexp_matches(q, 'data flow|flow from|flow into|flows from|flows into|pipeline|through') THEN 'data_flow' WHEN regexp_matches(q, 'where to edit|edit|change|modify|implement') THEN 'edit_planning' ELSE 'architecture_explanation' END"
+_TASK = "CASE WHEN regexp_matches(q, 'bug|error|failing|failed|broken|crash') THEN 'bug_localization' WHEN regexp_matches(q, 'impact|affected|regression|blast radius') THEN 'change_impact' WHEN regexp_matches(q, 'route|endpoint|handler|api path') THEN 'route_tracing' WHEN regexp_matches(q, 'owner|owns|who calls|references') THEN 'symbol_ownership' WHEN regexp_matches(q, 'data flow|flow from|flow into|flows from|flows into|pipeline|through') THEN 'data_flow' WHEN regexp_matches(q, 'where to edit|edit|change|modify|implement|add ') THEN 'edit_planning' ELSE 'architecture_explanation' END"
 _CITED = f"""ci AS (SELECT n.id, qualified_name AS name, path, kind, n.id % 10 / 10e0 AS score, n.id % 2 = 0 AS indexed, n.id % 3 = 0 AS resolvable FROM node n JOIN file f ON f.id = n.file_id WHERE kind IN ('MODULE', 'STRUCT', 'FIELD')),
 cs AS (SELECT id, path, round(score + CASE WHEN indexed THEN 1 ELSE 0 END + CASE WHEN resolvable THEN 0.5e0 ELSE 0 END + CASE WHEN contains(lower(name), '::') THEN 0.25e0 ELSE 0 END - CASE WHEN {ROLE} IN ('test','benchmark','generated','vendor') THEN 100 ELSE 0 END - CASE WHEN regexp_matches(path, '\\.d\\.(ts|cts|mts|tsx)$') THEN 3 ELSE 0 END - CASE WHEN regexp_matches(path, '^(extensions|vendor|deps)/|/deps/') THEN 20 ELSE 0 END - CASE WHEN {TEST_PATH.format('path')} OR {BENCH_PATH.format('path')} THEN 18 + CASE WHEN kind = 'MODULE' THEN 20 ELSE 0 END ELSE 0 END, 6) AS score FROM ci)"""
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(p_name, '')), '[^a-z0-9]+'), lambda w: w <> '')"
