@@ -117,9 +117,8 @@ def frequency_codes(sets: DataFrame, bits: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(count, "batch binary, bucket int, codes binary")
 
 
-def _prefixes(sets: DataFrame, codes: DataFrame, bits: int, percent: int) -> DataFrame:
-    """A row per document with a listed prefix token: set, size, p1, p2, p3 (arrays of tokens)."""
-    gathered = codes.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "codes"))).alias("parts"))
+def _prefixes(sets: DataFrame, gathered: DataFrame, bits: int, percent: int) -> DataFrame:
+    """A row per document with a listed prefix token: set, size, p1, p2, p3 (arrays of tokens); ``gathered`` has each batch's codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +174,13 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between distinct sets that connect every two sets of the similarity, directly or over others."""
     total = sets.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_TOKENS)))))
-    found = _prefixes(sets, frequency_codes(sets, bits), bits, percent)
+    # The codes are written by themselves, so the shuffle of all tokens is gone before sets are grouped.
+    per_batch = frequency_codes(sets, bits).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "codes"))).alias("parts"))
+    codes = cut_bucketed(per_batch, shuffle_partitions(sets.sparkSession), "batch")
+    found = _prefixes(sets, codes, bits, percent)
     # Copies have one set; the first of each is kept, so a group of copies has one row a token.
     members = cut(found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "shared", "tokens", "p1", "p2", "p3")]))
+    release(codes)
     # ``after``: tokens of the set from this one on that occur elsewhere. It bounds the overlap of a pair in its first common
     # list, where no earlier token is common; a pair may fail the bound in later lists, which lose nothing.
     rows = members.select("key", "size", (F.col("shared") / F.col("size")).alias("share"), "shared", F.posexplode("p1").alias("place", "token"))
