@@ -90,3 +90,52 @@ part AS (SELECT cut.r, CAST(sum(least((b + 1) * block, start + size) - greatest(
 SELECT d.doc_id, d.size, s9.source_size, s9.target, CASE WHEN d.size > 0 THEN d.size * (want // blocks) ELSE 0 END + coalesce(words, 0) AS taken
 FROM d JOIN s9 ON s9.source IS NOT DISTINCT FROM d.source LEFT JOIN part ON part.r = d.r
 """
+
+
+def clustering(dims: int = 64, scale: int = 256, k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Every vector against every centroid, round by round."""
+    steps, last = [], "c0"
+    for r in range(rounds + 1):
+        far = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (e.v[i] - c.v[i]) * (e.v[i] - c.v[i])))"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT r, CAST(min(p.cluster) AS INTEGER) AS cluster, CAST(min(p.far) AS BIGINT) AS distance FROM (SELECT e.r, c.cluster, {far} AS far, min({far}) OVER (PARTITION BY e.r) AS least FROM e, {last} c) p WHERE far = least GROUP BY r)")
+        if r < rounds:
+            exact = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+            steps.append(f"m{r} AS (SELECT cluster, list(x ORDER BY i) AS v FROM (SELECT a{r}.cluster, i, {exact} AS x FROM (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) u JOIN a{r} USING (r) GROUP BY ALL) GROUP BY cluster)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM {last} c LEFT JOIN m{r} m USING (cluster))")
+            last = f"c{r + 1}"
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, vec_id, v) - 1 AS cluster, v FROM (SELECT *, sha256('{seed}:' || vec_id) AS h FROM e WHERE vec_id IS NOT NULL ORDER BY h, vec_id, v LIMIT {k})),
+{", ".join(steps)}
+SELECT e.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM e JOIN a{rounds} a USING (r) JOIN {last} c ON c.cluster = a.cluster
+"""
+
+
+def importance(buckets: int = 10_000, percent: int = 5, fewest: int = 20, seed: int = 42) -> str:
+    """Every distinct feature's CRC-32 byte by byte, then sums, sorting and a limit."""
+    runs = lambda t: f"""
+  SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM {t}"""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), '{0}', '{1}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_UPPER, _LOWER)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS r, {words} AS w FROM benchmark),
+fd AS MATERIALIZED ({runs("d")}),
+fb AS MATERIALIZED ({runs("b")}),
+tab AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS v FROM range(256) x(n))),
+f AS (SELECT DISTINCT f FROM (SELECT f FROM fd UNION ALL SELECT f FROM fb)),
+h AS (SELECT f, hex(encode(f)) AS x FROM f),
+crc AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)), lambda c, o: xor(t[(xor(c, o) & 255) + 1], c >> 8), 4294967295), 4294967295) % {buckets} AS k FROM h, tab),
+s AS (SELECT k, count(*) AS n FROM fd JOIN crc USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM fb JOIN crc USING (f) GROUP BY k),
+g AS (SELECT x.n AS k, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM s AS s2) + {buckets}) / (CAST((coalesce(s.n, 0) + 1) AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t) + {buckets})))) AS BIGINT) AS gain FROM range({buckets}) x(n) LEFT JOIN s ON s.k = x.n LEFT JOIN t ON t.k = x.n),
+w AS (SELECT r, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM fd JOIN crc USING (f) JOIN g USING (k) GROUP BY r),
+z AS (
+  SELECT d.r, doc_id, len(d.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('{seed}:' || doc_id)[1:8] AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+  FROM d LEFT JOIN w USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, {percent} * count(*) OVER () // 100 AS drawn FROM z WHERE n_words >= {fewest} AND doc_id IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM z LEFT JOIN ranked USING (r)
+"""

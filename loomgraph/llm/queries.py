@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bsi, fingerprints, jaccard_join, mixing, oracles, packing, pii, sharding, substring_dedup, toxicity, url_filter
+from loomgraph.llm import bsi, exponion, fingerprints, importance, jaccard_join, mixing, oracles, packing, pii, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_bit_sliced_top_k": bsi.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8,
     "op9_fingerprints": fingerprints.op9,
     "op10_source_mixing": mixing.op10,
+    "op11_exponion_clusters": exponion.op11,
+    "op13_importance_resampling": importance.op13,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op5_ngram_jaccard_join": oracles.jaccard_join(),
     "op8_substring_dedup": oracles.substring_dedup(),
     "op10_source_mixing": oracles.source_mixing(),
+    "op11_exponion_clusters": oracles.clustering(),
+    "op13_importance_resampling": oracles.importance(),
 }
