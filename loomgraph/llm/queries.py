@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bsi, exponion, fingerprints, importance, jaccard_join, mixing, oracles, packing, pii, sharding, substring_dedup, toxicity, url_filter
+from loomgraph.llm import bsi, exponion, fingerprints, importance, jaccard_join, language_id, mixing, oracles, packing, pii, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_bit_sliced_top_k": bsi.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_fingerprints": fingerprints.op9,
     "op10_source_mixing": mixing.op10,
     "op11_exponion_clusters": exponion.op11,
+    "op12_language_id": language_id.op12,
     "op13_importance_resampling": importance.op13,
 }
 
