@@ -154,41 +154,43 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken per document."""
+    """doc_id, source, size, source_size, target, taken per document, and the output shards that its taken words are drawn for: how many, and the first."""
     placed, sources, runs = mix(docs)
-    taken = runs.groupBy("rank", "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("words"))
+    taken = runs.groupBy("rank", "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("words"), F.size(F.collect_set("shard")).cast("long").alias("n_shards"), F.min("shard").alias("first_shard"))
     few = _few(sources)
     named = sources.select(F.col("source").alias("s2"), "source_size", "rank", "target")
     p = placed.join(F.broadcast(named) if few else named, placed["source"].eqNullSafe(named["s2"]))
     p = p.withColumn("key", F.when(F.col("size") > 0, F.col("start")))
     out = p.join(taken.withColumnRenamed("rank", "r2").withColumnRenamed("start", "key2"), (F.col("rank") == F.col("r2")) & (F.col("key") == F.col("key2")), "left")
-    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"))
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), F.coalesce("n_shards", F.lit(0).cast("long")).alias("n_shards"), "first_shard")
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """The mix as documents: one row per document and pass, holding the words taken, in order.
 
     A document taken whole keeps its text as it is; of others the taken words are joined by one
-    space. Columns are those of ``docs``.
+    space. Columns are those of ``docs``. Rows lie by output shard, and in a shard by slot: each where the
+    first slot drawn for its words puts it.
     """
     placed, sources, runs = mix(docs)
     ordered = F.array_sort(F.collect_list(F.struct("lo", "hi")))
-    per_pass = runs.groupBy("rank", "start", "pass").agg(ordered.alias("parts"))
+    per_pass = runs.groupBy("rank", "start", "pass").agg(ordered.alias("parts"), F.min(F.struct("shard", "slot")).alias("seat"))
     named = sources.select(F.col("source").alias("s2"), "rank")
     p = placed.where("size > 0").join(F.broadcast(named) if _few(sources) else named, placed["source"].eqNullSafe(named["s2"]))
     # Repeated rows of one document share a key; one of them meets the places of all.
     parts_of = lambda *c: F.md5(F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("?")) for x in c]).cast("binary"))
-    taken = p.join(per_pass, ["rank", "start"]).select(parts_of(F.col("doc_id"), F.col("source"), F.col("text_hash")).alias("key"), F.col("size").alias("words_in_all"), "parts")
+    taken = p.join(per_pass, ["rank", "start"]).select(parts_of(F.col("doc_id"), F.col("source"), F.col("text_hash")).alias("key"), F.col("size").alias("words_in_all"), "parts", "seat")
     own = docs.select(parts_of(F.col("doc_id").cast("long"), F.col("source"), F.xxhash64(text_of())).alias("key2"), whole_row(docs).alias("row"))
     one_each = own.groupBy("key2").agg(F.first("row").alias("row"))
-    joined = one_each.join(taken, F.col("key2") == F.col("key")).select("row", "words_in_all", "parts")
+    joined = one_each.join(taken, F.col("key2") == F.col("key")).select("row", "words_in_all", "parts", "seat")
     text = F.col("row").getField("text")
     whole = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"]) == F.col("words_in_all")
     cutouts = F.array_join(F.flatten(F.transform("parts", lambda x: F.slice("all_words", (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), " ")
     joined = joined.withColumn("whole", whole).withColumn("all_words", F.when(~F.col("whole"), F.regexp_extract_all(text, F.lit(f"({WORD})"))))
-    mixed = joined.withColumn("mixed", F.when(F.col("whole"), text).otherwise(cutouts))
+    mixed = joined.select("row", "seat", F.when(F.col("whole"), text).otherwise(cutouts).alias("mixed"))
+    mixed = mixed.repartition(shuffle_partitions(docs.sparkSession), F.col("seat.shard")).sortWithinPartitions("seat")
     return unfolded(mixed, "row", docs.columns, {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")})
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return mix_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "n_shards", "first_shard")

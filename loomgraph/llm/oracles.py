@@ -59,16 +59,23 @@ def _salted(value: str, salt: str) -> str:
 
 
 def source_mixing() -> str:
-    """Targets by water level; whole passes take every word, a last one those of the first blocks in the permutation's order."""
+    """Targets by water level; each wanted block's index and slot by their permutations."""
     m = mixing.MODULUS
     weights = ", ".join(map(str, mixing.WEIGHTS))
     by = "OVER (ORDER BY ratio, rank ROWS UNBOUNDED PRECEDING)"
     rounds, last = [], "p0"
+
+    def step(r: int, x: str, n: str, seed: str) -> tuple[str, str]:
+        """A round's mirror of ``x`` below ``n``, and the image of both."""
+        at = f"({seed} % {m} + {r * 7919})"
+        point = f"({_salted(at, _salt('17'))} * {m} + {_salted(at, _salt('29'))}) % {n}"
+        image = f"CASE WHEN ({_salted(f'greatest({x}, {x}_mirror)', _salt(f'{seed} % {m} + {r * 104729}'))} >> 11) & 1 = 1 THEN {x}_mirror ELSE {x} END"
+        return f"({point} - {x} + {n}) % {n} AS {x}_mirror", f"{image} AS {x}"
+
     for r in range(1, mixing.ROUNDS + 1):
-        at = f"(seed % {m} + {r * 7919})"
-        point = f"({_salted(at, _salt('17'))} * {m} + {_salted(at, _salt('29'))}) % blocks"
-        rounds.append(f"k{r} AS (SELECT *, ({point} - x + blocks) % blocks AS mirror FROM {last})")
-        rounds.append(f"p{r} AS (SELECT * EXCLUDE (x, mirror), CASE WHEN ({_salted('greatest(x, mirror)', _salt(f'seed % {m} + {r * 104729}'))} >> 11) & 1 = 1 THEN mirror ELSE x END AS x FROM k{r})")
+        both = [step(r, "x", "blocks", "seed"), step(r, "place", "all_want", "CAST(29 AS BIGINT)")]
+        rounds.append(f"k{r} AS (SELECT *, {', '.join(mirror for mirror, _ in both)} FROM {last})")
+        rounds.append(f"p{r} AS (SELECT * EXCLUDE (x, x_mirror, place, place_mirror), {', '.join(image for _, image in both)} FROM k{r})")
         last = f"p{r}"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
@@ -82,12 +89,14 @@ s6 AS (SELECT *, (SELECT level FROM s5 WHERE level < ratio ORDER BY ratio, rank
 s7 AS (SELECT source, source_size, rank, least(source_size * {mixing.PASSES}.0e0, coalesce(weight * water, source_size * {mixing.PASSES}.0e0)) AS target, greatest(1, least({mixing.BLOCK}, source_size // {mixing.FEWEST})) AS block FROM s6),
 s8 AS (SELECT *, CAST(ceil(source_size / block) AS BIGINT) AS blocks, CASE WHEN target > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), {mixing.PASSES}) END AS whole FROM s7),
 s9 AS (SELECT *, CASE WHEN target > 0 THEN greatest(1, least(whole * blocks + CAST(round((target - whole * source_size) / block) AS BIGINT), blocks * {mixing.PASSES})) ELSE 0 END AS want FROM s8),
-p0 AS (SELECT rank, blocks, (rank % {m}) * 1000003 + 1 + want // blocks AS seed, unnest(range(CAST(want % blocks AS BIGINT))) AS x FROM s9 WHERE want % greatest(blocks, 1) > 0),
+s10 AS (SELECT *, sum(want) OVER () AS all_want, coalesce(sum(want) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM s9 WHERE want > 0),
+n0 AS (SELECT rank, blocks, CAST(all_want AS BIGINT) AS all_want, CAST(low AS BIGINT) AS low, unnest(range(CAST(want AS BIGINT))) AS n FROM s10),
+p0 AS (SELECT rank, blocks, all_want, (rank % {m}) * 1000003 + 1 + n // blocks AS seed, n % blocks AS x, low + n AS place FROM n0),
 {', '.join(rounds)},
 st AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY doc_id % {mixing.BUCKETS}, doc_id, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
 cut AS (SELECT st.r, st.start, st.size, rank, block, unnest(range(CAST(st.start // block AS BIGINT), CAST((st.start + st.size - 1) // block + 1 AS BIGINT))) AS b FROM st JOIN s9 ON s9.source IS NOT DISTINCT FROM st.source WHERE st.size > 0),
-part AS (SELECT cut.r, CAST(sum(least((b + 1) * block, start + size) - greatest(b * block, start)) AS BIGINT) AS words FROM cut JOIN {last} ON {last}.rank = cut.rank AND {last}.x = cut.b GROUP BY cut.r)
-SELECT d.doc_id, d.size, s9.source_size, s9.target, CASE WHEN d.size > 0 THEN d.size * (want // blocks) ELSE 0 END + coalesce(words, 0) AS taken
+part AS (SELECT cut.r, CAST(sum(least((b + 1) * block, start + size) - greatest(b * block, start)) AS BIGINT) AS words, count(DISTINCT place // {mixing.SLOTS_A_SHARD}) AS n_shards, min(place // {mixing.SLOTS_A_SHARD}) AS first_shard FROM cut JOIN {last} ON {last}.rank = cut.rank AND {last}.x = cut.b GROUP BY cut.r)
+SELECT d.doc_id, d.size, s9.source_size, s9.target, coalesce(words, 0) AS taken, coalesce(n_shards, 0) AS n_shards, first_shard
 FROM d JOIN s9 ON s9.source IS NOT DISTINCT FROM d.source LEFT JOIN part ON part.r = d.r
 """
 
