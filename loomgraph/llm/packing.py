@@ -26,7 +26,8 @@ from loomgraph.llm.common import cut, map_batches, read_table
 
 CACHE_WORDS = 1_000_000
 #: A stop or comma between a letter and a blank is a token of its own whatever stands around; apart from its word it is met again more often.
-_AFTER_LETTER = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n])")
+#: Only after letters that composing and lower-casing leave a single letter: others may end in a mark, which a stop joins.
+_AFTER_LETTER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?=[ \n])")
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
