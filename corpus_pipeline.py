@@ -1,7 +1,7 @@
 """A document pipeline of five stages, each written as Parquet and read again by the next.
 
 toxicity drops documents scored at or over the threshold; the n-gram Jaccard join keeps the
-document whose doc_id names its component (one of the rows, where that doc_id and text are repeated);
+document of each component whose doc_id is least (one of the rows, where that doc_id and text are repeated);
 personal data are replaced in place; the mix takes words by source; the last stage packs the
 mixed texts into sequences. An empty table passes through all stages.
 """
@@ -30,14 +30,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8), that of the least doc_id.
 
-    Of repeated rows with one doc_id and text one stays. Rows without a doc_id are told apart by
+    Of repeated rows with one doc_id and text one stays; of one doc_id on texts that are alike, one text. Rows without a doc_id are told apart by
     their text and come after those with one (doc_ids below 2**62 are taken for granted).
     """
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(text_of()), F.lit(1 << 61))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), text_of().alias("text"), whole_row(docs).alias("row"))
-    classes = similarity_components(rows.select("doc_id", "text"), k=5, percent=80)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = rows.join(first, "doc_id", "left_semi").select("doc_id", F.md5(F.col("text").cast("binary")).alias("same_text"), "row")
+    # A doc_id may stand on several texts, so the join is told a key of both.
+    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    classes = similarity_components(rows.select(F.col("row_key").alias("doc_id"), "text"), k=5, percent=80)
+    members = classes.select(F.col("doc_id").alias("row_key"), "component_id").distinct().join(rows.select("row_key", "doc_id").distinct(), "row_key")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select("first.row_key")
+    kept = rows.join(first, "row_key", "left_semi").select("doc_id", F.md5(F.col("text").cast("binary")).alias("same_text"), "row")
     return unfolded(kept.groupBy("doc_id", "same_text").agg(F.first("row").alias("row")), "row", docs.columns, {})
 
 
