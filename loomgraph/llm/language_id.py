@@ -27,6 +27,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ SMOOTHING, UNKNOWN = 200.0, 1e-8
 WORD_START, UNDETERMINED = "▁", "und"
 #: Words that a counting task, a fitting step and a scoring worker hold.
 COUNTED_WORDS, FITTED_WORDS, KNOWN_WORDS = 300_000, 20_000, 200_000
+#: Ranges of pieces that fitting adds up apart.
+RANGES = 32
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 _PIECE = regex.compile(rf"{WORD_START}?[\p{{L}}\p{{M}}]*")
 _BASE, _SPREAD, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 18
@@ -52,9 +55,13 @@ _RESCALE = 16
 
 
 def words_of(text: str | None) -> list[str]:
-    """A text's words, each with the mark of its start."""
-    found = _WORDS(unicodedata.normalize("NFC", text or "").lower())
-    return [WORD_START + part for w in found for part in ((w,) if len(w) <= LONGEST else (w[i : i + LONGEST] for i in range(0, len(w), LONGEST)))]
+    """A text's words, in order."""
+    return _WORDS(unicodedata.normalize("NFC", text or "").lower()) if text else []
+
+
+def _parts(word: str) -> list[str]:
+    """What is scored of a word: itself, or its spans where it is very long, with the mark of a start."""
+    return [WORD_START + word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
 
 
 def public_pieces(path: str) -> list[str]:
@@ -154,6 +161,12 @@ def expected(shares: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(pieces: tuple[str, ...]) -> Vocabulary:
+    """The vocabulary of these pieces, kept by a worker for its next task."""
+    return Vocabulary(list(pieces))
+
+
 def _by_length(words: list[str], longest: int, columns: int) -> Iterator[np.ndarray]:
     """Places of words of one length, as many as are worked on at once."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -172,13 +185,16 @@ class Model:
     probabilities: np.ndarray
     priors: np.ndarray
 
-    def word_scores(self, words: list[str], vocabulary: Vocabulary) -> np.ndarray:
+    def word_scores(self, words: list[str]) -> np.ndarray:
         """(word, language) log-probabilities of distinct words."""
-        out = np.empty((len(words), len(self.languages)))
+        vocabulary = _vocabulary(tuple(self.pieces))
+        parts = [_parts(w) for w in words]
+        flat = [x for own in parts for x in own]
+        out = np.empty((len(flat), len(self.languages)))
         padded = np.vstack([self.probabilities, np.zeros((1, len(self.languages)))])  # number -1: no piece
-        for at in _by_length(words, vocabulary.longest, len(self.languages)):
-            out[at], _ = forward(vocabulary.substrings([words[i] for i in at.tolist()]), padded.__getitem__)
-        return out
+        for at in _by_length(flat, vocabulary.longest, len(self.languages)):
+            out[at], _ = forward(vocabulary.substrings([flat[i] for i in at.tolist()]), padded.__getitem__)
+        return out if len(flat) == len(words) else np.add.reduceat(out, np.cumsum([0, *map(len, parts[:-1])]), axis=0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -213,7 +229,7 @@ def _round(counted: DataFrame, pieces: list[str], languages: list[str], probabil
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_pieces, padded = sent.value
-        vocabulary = Vocabulary(own_pieces)
+        vocabulary = _vocabulary(tuple(own_pieces))
         totals = np.zeros((len(own_pieces) + 1) * len(languages))
         words: list[str] = []
         langs: list[int] = []
@@ -232,21 +248,36 @@ def _round(counted: DataFrame, pieces: list[str], languages: list[str], probabil
                 x.clear()
 
         for batch in batches:
-            words += batch.column(1).to_pylist()
-            langs += [place[x] for x in batch.column(0).to_pylist()]
-            counts += batch.column(2).to_pylist()
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for part in _parts(word):
+                    words.append(part)
+                    langs.append(place[lang])
+                    counts.append(n)
             if len(words) >= FITTED_WORDS:
                 add()
         if words:
             add()
-        some = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some])], names=["at", "mass"])
+        yield packed(np.array_split(totals, RANGES))
+
+    def packed(ranges: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(len(ranges)), type=pa.int32()), pa.array([x.tobytes() for x in ranges], type=pa.binary())], names=["part", "masses"])
 
-    out = np.zeros((len(pieces) + 1) * len(languages))
-    for r in map_batches(counted.where("word is not null").select("lang", "word", "n"), run, "at long, mass double").groupBy("at").agg(F.sum("mass").alias("mass")).collect():
-        out[r["at"]] = r.mass
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, masses in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(masses.as_buffer())
+                sums[part] = sums[part] + own if part in sums else own.copy()
+        for part, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int32()), pa.array([own.tobytes()], type=pa.binary())], names=["part", "masses"])
+
+    # A task gives its masses in a few packed ranges of pieces; the ranges are added up apart, one row each is left.
+    shape = "part int, masses binary"
+    each = map_batches(counted.where("word is not null").select("lang", "word", "n"), run, shape)
+    rows = {r.part: np.frombuffer(r.masses) for r in map_batches(each.repartition(RANGES, "part"), add_up, shape).collect()}
     sent.unpersist()
-    return out.reshape(-1, len(languages))
+    n = (len(pieces) + 1) * len(languages)
+    return (np.concatenate([rows[i] for i in range(RANGES)]) if rows else np.zeros(n)).reshape(-1, len(languages))
 
 
 def smoothed(expected_counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -287,7 +318,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        vocabulary = Vocabulary(own.pieces)
         known: dict[str, int] = {}
         scores = np.zeros((0, len(own.languages)))
         for batch in batches:
@@ -298,7 +328,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 known, scores = {}, scores[:0]
             new = [w for w in dict.fromkeys(flat) if w not in known]
             if new:
-                scores = np.vstack([scores, own.word_scores(new, vocabulary)])
+                scores = np.vstack([scores, own.word_scores(new)])
                 known.update(zip(new, range(len(known), len(known) + len(new))))
             at = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
             langs, shares = np.full(len(found), UNDETERMINED, dtype=object), np.zeros(len(found))
