@@ -8,39 +8,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.graph import STRUCTURAL, certainty_of, common_call
-from loomgraph.functions.paths import in_production
-from loomgraph.operators.relational import neutralised
+from loomgraph.functions.graph import STRUCTURAL, certainty_of
+from loomgraph.operators.adjacency import Steps, adjacency_of, plain_steps
 from loomgraph.sources.star_schema import Graph
 from loomgraph.sources.store import written, written_rows
 
 durable = written
 
 
-def links(edges: DataFrame, direction: str) -> DataFrame:
-    """(a, b) steps for ``outgoing``, ``incoming`` or ``both``."""
-    e = neutralised(edges)
-    out, back = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
-
-
-def distances(starts: DataFrame, steps: DataFrame, depth: int, within: DataFrame | None = None) -> DataFrame:
+def distances(starts: DataFrame, steps: Steps, depth: int, within: DataFrame | None = None) -> DataFrame:
     """(id, depth): least number of steps from any of ``starts`` (id); depth 0 means unlimited.
 
     ``within`` (id, room) confines the walk to its nodes, each at ``room`` steps at most. Only new
     nodes are written at each level; what was seen is the union of the levels' files.
     """
-    seen = frontier = starts.select("id").distinct().withColumn("depth", F.lit(0))
+    frontier, fresh = written_rows(starts.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier
     hop = 0
-    while depth == 0 or hop < depth:
+    while fresh and (depth == 0 or hop < depth):
         hop += 1
-        found = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        found = steps.beside(frontier.select("id"), fresh).select(F.col("next").alias("id")).where("id is not null").distinct()
         if within is not None:
             found = found.join(within.where(F.col("room") >= hop).select("id"), "id", "left_semi")
         frontier, fresh = written_rows(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(hop)))
-        if not fresh:
-            break
-        seen = seen.unionByName(frontier)
+        seen = seen.unionByName(frontier) if fresh else seen
     return seen
 
 
@@ -49,7 +40,7 @@ def _start(edges: DataFrame, root: int) -> DataFrame:
 
 
 def trail(edges: DataFrame, root: int, depth: int, direction: str = "outgoing") -> DataFrame:
-    return distances(_start(edges, root), links(edges, direction), depth)
+    return distances(_start(edges, root), adjacency_of(edges).steps(direction), depth)
 
 
 def path_subgraph(edges: DataFrame, source: int, target: int, depth: int) -> DataFrame:
@@ -58,12 +49,12 @@ def path_subgraph(edges: DataFrame, source: int, target: int, depth: int) -> Dat
     The walk back from the target stays among nodes that the source reaches, and at each within the
     steps that are left. Where no path leads, the two endpoints alone come back, the target without a depth.
     """
-    steps_out, steps_in = links(edges, "outgoing"), links(edges, "incoming")
-    ahead = distances(_start(edges, source), steps_out, depth)
+    adjacent = adjacency_of(edges)
+    ahead = distances(_start(edges, source), adjacent.steps("outgoing"), depth)
     if ahead.where(F.col("id") == target).isEmpty():
         return edges.sparkSession.createDataFrame([(source, 0), (target, None)], "id long, depth int").distinct()
     room = F.lit(2**31 - 1) if depth == 0 else F.lit(depth) - F.col("depth")
-    behind = distances(_start(edges, target), steps_in, depth, ahead.select("id", room.alias("room"))).withColumnRenamed("depth", "back")
+    behind = distances(_start(edges, target), adjacent.steps("incoming"), depth, ahead.select("id", room.alias("room"))).withColumnRenamed("depth", "back")
     return ahead.join(behind.select("id"), "id", "left_semi")
 
 
@@ -82,21 +73,6 @@ class Trail:
 _KEPT = "id long, kind string, src long, dst long, certainty string, confidence double"
 
 
-def walkable(g: Graph, direction: str, kinds: list[str] | None = None, tests: bool = True, utility: bool = True) -> DataFrame:
-    """(at, next, edge): each edge at the end(s) that the direction starts from, after all filters, in their fixed order."""
-    e = neutralised(g.edge)
-    if not utility:
-        e = e.where((F.col("kind") != "CALL") | ~common_call(F.coalesce("target_name", F.lit(""))))
-    if not tests:
-        e = e.where(in_production(F.col("caller_path")))
-    if kinds:
-        e = e.where(F.col("kind").isin(kinds))
-    kept = F.struct(*[F.col(c.split()[0]) for c in _KEPT.split(", ")]).alias("edge")
-    out, back = e.select(F.col("src").alias("at"), F.col("dst").alias("next"), kept), e.select(F.col("dst").alias("at"), F.col("src").alias("next"), kept)
-    # A self edge is met once in a walk both ways.
-    return {"outgoing": out, "incoming": back, "both": out.unionByName(back.where(F.col("at") != F.col("next")))}[direction]
-
-
 def budgeted_trail(g: Graph, root: int, depth: int = 1, direction: str = "outgoing", max_nodes: int = 500, kinds: list[str] | None = None, node_kinds: list[str] | None = None, tests: bool = True, utility: bool = True) -> Trail:
     """A breadth-first walk in a fixed order under budgets: ``max_nodes`` nodes, three edges a node (128 at least).
 
@@ -105,7 +81,8 @@ def budgeted_trail(g: Graph, root: int, depth: int = 1, direction: str = "outgoi
     order to see where the walk stops. What the driver holds is bounded by ``max_nodes``.
     """
     spark = g.node.sparkSession
-    steps = walkable(g, direction, kinds, tests, utility)
+    steps = adjacency_of(g.edge).steps(direction, kinds, tests, utility)
+    edge = F.struct(*[F.col(c.split()[0]) for c in _KEPT.split(", ")]).alias("edge")
     budget = max(3 * max_nodes, 128)
     depth_of, order, edges = {root: 0}, [root], []
     popped: list[int] = []
@@ -116,7 +93,7 @@ def budgeted_trail(g: Graph, root: int, depth: int = 1, direction: str = "outgoi
         left = budget - len(edges)
         if not ends and left:
             at = spark.createDataFrame(list(enumerate(frontier)), "ord long, at long")
-            rows = at.join(steps, "at").orderBy("ord", "edge.id", "next").limit(left + 1).select("at", "next", "edge").collect()
+            rows = steps.beside(at, len(frontier), "at").orderBy("ord", "id", "next").limit(left + 1).select("at", "next", edge).collect()
             for r in rows:
                 found.setdefault(r["at"], []).append(r)
         nexts: list[int] = []
@@ -172,7 +149,7 @@ def without_speculation(t: Trail) -> Trail:
     """The trail without speculative edges, and of that only what is still connected to its root."""
     sure = durable(t.edges.where(~speculative()))
     both = sure.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(sure.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    reach = distances(_start(t.edges, t.root), both, 0)
+    reach = distances(_start(t.edges, t.root), plain_steps(both), 0)
     nodes = t.nodes.join(reach.select("id"), "id", "left_semi")
     kept = durable(_between(sure, nodes))
     return Trail(nodes, kept, t.truncated, t.omitted + t.edges.count() - kept.count(), t.root)
@@ -195,7 +172,7 @@ def story(edges: DataFrame, most: int = 16) -> DataFrame:
 
 def impact(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
     """What may be affected by ``changed`` (id): a walk against all edges, whatever their kind."""
-    return distances(durable(changed.select("id")), links(edges, "incoming"), depth)
+    return distances(changed.select("id"), adjacency_of(edges).steps("incoming"), depth)
 
 
 #: How much each label of evidence holds; ties go by label.
@@ -217,17 +194,18 @@ def impact_evidence(edges: DataFrame, changed: DataFrame, depth: int) -> DataFra
     Of the ways that reach a node at its least distance the one with the strongest weakest link
     is told, then that of the first label, then of the least edge.
     """
-    e = neutralised(edges)
     label = F.coalesce("certainty", certainty_of(), F.when(F.col("kind").isin(*STRUCTURAL), "certain"), F.lit("graph"))
-    steps = durable(e.select(F.col("dst").alias("at"), F.col("src").alias("next"), F.col("id").alias("edge_id"), "kind", label.alias("label")))
-    seen = frontier = durable(changed.select("id").distinct().select("id", F.lit(0).alias("distance"), F.lit("direct").alias("confidence"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("long").alias("edge_id")))
+    steps = adjacency_of(edges).steps("incoming")
+    frontier, n = written_rows(changed.select("id").distinct().select("id", F.lit(0).alias("distance"), F.lit("direct").alias("confidence"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("long").alias("edge_id")))
+    seen = frontier
     for hop in range(1, depth + 1):
-        met = frontier.select(F.col("id").alias("at"), "confidence").join(steps, "at").select(F.col("next").alias("id"), weakest(F.col("confidence"), F.col("label")).alias("confidence"), F.col("kind").alias("via"), "edge_id")
+        if not n:
+            break
+        met = steps.beside(frontier.select(F.col("id").alias("standing"), F.col("confidence").alias("so_far")), n, "standing")
+        met = met.select(F.col("next").alias("id"), weakest(F.col("so_far"), label).alias("confidence"), F.col("kind").alias("via"), F.col("id").alias("edge_id"))
         best = F.min(F.struct((-strength(F.col("confidence"))).alias("s"), "confidence", "edge_id", "via")).alias("b")
         fresh = met.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(best)
         frontier, n = written_rows(fresh.select("id", F.lit(hop).alias("distance"), "b.confidence", "b.via", "b.edge_id"))
-        if not n:
-            break
         seen = seen.unionByName(frontier)
     return seen
 

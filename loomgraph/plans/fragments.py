@@ -9,7 +9,7 @@ BAND = "CASE WHEN confidence >= 0.85 THEN 'certain' WHEN confidence >= 0.55 THEN
 _SURE = f"coalesce(certainty, {BAND})"
 _IGNORED = f"coalesce(kind = 'CALL' AND resolved_target IS NOT NULL AND NOT regexp_matches(target_name, 'seed_symbol_table|flush_projection_batch|flush_errors') AND ({_SURE} = 'uncertain' OR (target_name IN ({COMMON}) AND {_SURE} <> 'certain')), false)"
 EFFECTIVE = f"""
-eff AS (
+eff AS MATERIALIZED (
   SELECT id, kind, source, target, source AS src, coalesce(CASE WHEN NOT ign THEN resolved_target END, target) AS dst, CASE WHEN NOT ign THEN confidence END AS confidence, CASE WHEN NOT ign THEN certainty END AS certainty, target_name, caller_path, file_id
   FROM (SELECT *, {_IGNORED} AS ign FROM edge))"""
 DEGREES = EFFECTIVE + """,

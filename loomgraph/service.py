@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from loomgraph.functions.graph import display_name, indexable
 from loomgraph.functions.paths import file_role, test_or_bench
 from loomgraph.operators import grounding, inventory, ranks, relational, roots, search, traverse
+from loomgraph.operators.adjacency import adjacency_of
+from loomgraph.operators.shortest import Ways, ways
 from loomgraph.plans import exports, planner
 from loomgraph.plans.query_language import execute
 from loomgraph.sources.star_schema import Graph
@@ -133,9 +135,10 @@ class Service:
     def query_subgraph(self, symbol: str | int, depth: int = SUBGRAPH[0], nodes: int = SUBGRAPH[2], kinds: list[str] | None = None) -> traverse.Trail:
         return self._near(symbol, "both", depth, nodes, kinds, SUBGRAPH)
 
-    def shortest_path(self, source: str | int, target: str | int, depth: int = PATH[0]) -> DataFrame:
+    def shortest_path(self, source: str | int, target: str | int, depth: int = PATH[0], max_nodes: int = 500, kinds: list[str] | None = None, tests: bool = True, utility: bool = True) -> Ways:
+        """One shortest path, and the nodes and edges on ways of at most ``depth`` steps, as many as asked for."""
         a, b = self._id(source), self._id(target)
-        return traverse.path_subgraph(self.graph.edge, -1 if a is None else a, -1 if b is None else b, held(depth, 1, PATH[1]))
+        return ways(self.graph, -1 if a is None else a, -1 if b is None else b, held(depth, 1, PATH[1]), held(max_nodes, 10, 100_000), kinds, None, tests, utility)
 
     def trace(self, symbol: str | int, depth: int = 2) -> DataFrame:
         """The story of a walk: its steps by what they tell."""
@@ -245,9 +248,9 @@ def packet_queries(question: str, most: int = 6) -> list[str]:
 
 def direct_references(g: Graph, node: int | None, most: int, kinds: list[str] | None = None, tests: bool = True) -> DataFrame:
     """(id, kind, src) of edges to a node from others, those of the first ``most`` sources by their first edge."""
-    e = traverse.walkable(g, "incoming", kinds, tests).where((F.col("at") == F.lit(node)) & (F.col("next") != F.lit(node)))
-    few = e.groupBy("next").agg(F.min("edge.id").alias("first")).orderBy("first").limit(most).select("next")
-    return e.join(few, "next", "left_semi").select("edge.id", "edge.kind", "edge.src")
+    e = adjacency_of(g.edge).steps("incoming", kinds, tests).at([-1 if node is None else node]).where("next <> at")
+    few = e.groupBy("next").agg(F.min("id").alias("first")).orderBy("first").limit(most).select("next")
+    return e.join(few, "next", "left_semi").select("id", "kind", "src")
 
 
 def owner_context(g: Graph, node: int | None, most: int) -> DataFrame:

@@ -121,7 +121,9 @@ def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
     def build() -> Graph:
         g = _build(spark, sf_dir)
-        return replace(g, node=stored(g.node, "kind", "id"), edge=stored(g.edge.withColumn("ignored", ignored_resolution()), "kind", "source"), occurrence=stored(g.occurrence, "file_id", "line"))
+        edge = stored(g.edge.withColumn("ignored", ignored_resolution()), "kind", "source")
+        edge._loomgraph_adjacency = f"adjacency:{sf_dir}"  # type: ignore[attr-defined]  # these edges, not frames made of them
+        return replace(g, node=stored(g.node, "kind", "id"), edge=edge, occurrence=stored(g.occurrence, "file_id", "line"))
 
     return kept(spark, f"graph:{sf_dir}", build)
 

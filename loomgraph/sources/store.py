@@ -21,10 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
 _building: list[list[str]] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: a cut of the lineage that survives lost executors."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written to the shared folder, partitioned ``by`` columns, and read back: a cut of the lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/loomgraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     for paths in _building:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
