@@ -124,14 +124,22 @@ def _generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Publisher(spark, f"{shared_dir(spark)}/loomgraph/generations-{uuid.uuid4().hex}")
     g = load_graph(spark, sf_dir)
     p.promote(flush(p, g))
-    tables = p.clone_live()
-    p.promote(p.stage(tables | {"node": tables["node"].where("kind <> 'FIELD'")}))
+    p.promote(p.stage({"node": p.table("node").where("kind <> 'FIELD'")}, base=p.live()))
     now = p.table("node").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("state", F.lit("new"))
     now = spark.createDataFrame(now.collect(), now.schema)
     p.roll_back()
     return now.unionByName(p.table("node").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("state", F.lit("old")))
 
 
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph's families published, then more errors appended to one of them: what the live manifest holds."""
+    p = Publisher(spark, f"{shared_dir(spark)}/loomgraph/generations-{uuid.uuid4().hex}")
+    g = load_graph(spark, sf_dir)
+    p.promote(flush(p, g))
+    p.promote(p.stage({}, {"error": g.error.where("fatal")}, p.live()), deep=True)
+    return p.inventory(p.live())
+
+
 _SQ = "lower(regexp_replace({0}, '[\\s_\\-]+', '', 'g'))"
 _TERM = "regexp_extract({0}, '([^:.#/]*)$', 1)"
 _LEAD = "regexp_extract({0}, '^([^:.#/]*)', 1)"
@@ -196,5 +204,8 @@ ALL = {
     "nearest_names": (_g(_near), "WITH GRAPH, n AS (SELECT id, serialized_name AS name, levenshtein(lower(regexp_extract(serialized_name, '([^:.#/]*)$', 1)), 'order_77') AS distance FROM node WHERE kind IN ('METHOD', 'STRUCT')) SELECT id, name, CAST(distance AS INTEGER) AS distance FROM n WHERE distance <= 1 ORDER BY distance, name, id LIMIT 30"),
     "hash_projection": (lambda s, d: table(s, d, "part").select("p_partkey", F.posexplode(k.projected(F.col("p_name"), 8)).alias("dim", "x")).where("x <> 0"), f"WITH w AS (SELECT p_partkey, unnest({_WORDS}) AS w FROM part), h AS (SELECT p_partkey, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) AS h FROM w), v AS (SELECT p_partkey, h % 8 AS dim, sum(CASE WHEN (h >> 32) % 2 = 0 THEN 1e0 ELSE -1e0 END) AS x FROM h GROUP BY ALL), n AS (SELECT p_partkey, sqrt(sum(x * x)) AS n FROM v GROUP BY 1) SELECT p_partkey, CAST(dim AS INTEGER) AS dim, round(x / n, 6) AS x FROM v JOIN n USING (p_partkey) WHERE x <> 0"),
     "weighted_hybrid": (_g(_hybrid), "WITH GRAPH, n AS (SELECT id, serialized_name AS name, CAST(id % 11 AS DOUBLE) AS l, CASE WHEN id % 5 > 0 THEN id % 5 / 5e0 ELSE 0e0 END AS s, CASE id % 3 WHEN 0 THEN 1.0e0 WHEN 1 THEN 0.55e0 ELSE 0e0 END AS b FROM node WHERE kind = 'STRUCT') SELECT id, round((0.5e0 * (l / (SELECT max(l) FROM n)) + 0.35e0 * s + 0.15e0 * b) * CASE WHEN contains(lower(name), '000000007') THEN 0.72e0 ELSE 1e0 END, 6) AS score FROM n"),
+    "published_families": (_families, """WITH GRAPH SELECT 'file' AS family, CAST(1 AS BIGINT) AS parts, (SELECT count(*) FROM file) AS rows UNION ALL SELECT 'node', 1, (SELECT count(*) FROM node) UNION ALL SELECT 'edge', 1, (SELECT count(*) FROM edge) UNION ALL SELECT 'occurrence', 1, (SELECT count(*) FROM occurrence)
+UNION ALL SELECT 'component_access', 1, (SELECT count(*) FROM edge WHERE kind = 'MEMBER' AND target IN (SELECT id FROM node)) UNION ALL SELECT 'callable_state', 1, (SELECT count(*) FROM node WHERE kind IN ('FUNCTION', 'METHOD', 'MACRO') AND file_id IN (SELECT id FROM file)) UNION ALL SELECT 'text_unit', 1, (SELECT count(*) FROM node WHERE kind <> 'FILE')
+UNION ALL SELECT 'exclusion', 1, (SELECT count(*) FROM file WHERE size > 1048576) UNION ALL SELECT 'kind_count', 1, (SELECT count(DISTINCT kind) FROM node) UNION ALL SELECT 'error', 2, (SELECT count(*) + count(*) FILTER (WHERE fatal) FROM error)"""),
     "published_generations": (_generation, "WITH GRAPH SELECT kind, count(*) AS n, 'old' AS state FROM node GROUP BY kind UNION ALL SELECT kind, count(*), 'new' FROM node WHERE kind <> 'FIELD' GROUP BY kind"),
 }

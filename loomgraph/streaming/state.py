@@ -40,18 +40,20 @@ def callable_deltas(states: DataFrame) -> DataFrame:
 
 
 def publish_batches(stream: DataFrame, publisher: Publisher, table: str, checkpoint: str):  # noqa: ANN201
-    """A query that publishes each micro-batch as the next generation of ``table``, appended to the live rows.
+    """A query that publishes each micro-batch as the next generation, appended to the live rows of ``table``.
 
-    A batch that runs again after a failure is told by its number in the table and published no second time.
+    A batch writes its own rows and a manifest, whatever the table has by then. Its number is a mark of the
+    manifest, so one that runs again after a failure is published no second time.
     """
     from pyspark.sql import functions as F
 
+    mark = f"batch of {table}"
+
     def publish(batch: DataFrame, number: int) -> None:
-        tables = publisher.clone_live()
-        live = tables.get(table)
-        if live is not None and not live.where(F.col("batch") >= number).isEmpty():
+        publisher.recover()
+        if publisher.marks().get(mark, -1) >= number:
             return
         rows = batch.withColumn("batch", F.lit(number).cast("long"))
-        publisher.promote(publisher.stage(tables | {table: rows if live is None else live.unionByName(rows)}))
+        publisher.promote(publisher.stage({}, {table: rows}, publisher.live(), {mark: number}))
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)

@@ -22,7 +22,7 @@ def test_generations(spark, tmp_path):
     first = p.stage({"file": files, "error": errors})
     assert p.live() is None
     p.promote(first)
-    second = p.stage(p.clone_live() | {"file": files.limit(0), "error": errors.limit(0)})
+    second = p.stage({"file": files.limit(0), "error": errors.limit(0)}, base=first)
     p.promote(second)
     assert p.table("file").count() == 0
     p.roll_back()
