@@ -1,16 +1,14 @@
 """The edges by the node that a walk stands at, stored both ways, so that a step reads only what lies beside its frontier.
 
-Each way is a table partitioned by ``slot``, the endpoint's id modulo a prime, and sorted by endpoint within its files.
-Endpoints are the effective ones, after unsure resolutions were set aside. A slot with many edges, as that of a
-node with a large share of all, is dealt over several files, by edge, so neither writing nor reading it is
-one task's work. A small frontier is looked up: its slots prune partitions and its ids are pushed
-to the scan. A larger one, as long as its checked size allows, is broadcast to the edges; beyond that the join shuffles.
+Each way is a table by slots of the endpoint, sorted by endpoint and edge within its files. Endpoints are the effective
+ones, after unsure resolutions were set aside. A small frontier is looked up: its slots prune partitions and its
+ids are pushed to the scan. A larger one, as long as its checked size allows, is broadcast to the edges; beyond that the join shuffles.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,23 +16,13 @@ from pyspark.sql import functions as F
 from loomgraph.functions.graph import common_call
 from loomgraph.functions.paths import in_production
 from loomgraph.operators.relational import neutralised
-from loomgraph.sources.store import kept, written, written_rows
+from loomgraph.sources.store import Slotted, by_slots, kept, written_rows
 
-#: Edges of a slot, and of a file, about; most slots.
-SLOT_ROWS, FILE_ROWS, MOST_SLOTS = 50_000, 1_000_000, 4093
-#: Frontiers up to which ids are looked up, and broadcast.
-LOOKED_UP, BROADCAST = 1_000, 1_000_000
+#: Edges of a slot, about.
+SLOT_ROWS = 50_000
 _EDGE = ("id", "kind", "src", "dst", "certainty", "confidence", "target_name", "caller_path")
 
 
-def _prime(low: int) -> int:
-    """The least prime not below ``low``."""
-    n = max(2, low)
-    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
-        n += 1
-    return n
-
-
 def _ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(at, next, and the edge) outgoing and incoming."""
     e = neutralised(edges)
@@ -45,24 +33,12 @@ def _ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return e.select(F.col("src").alias("at"), F.col("dst").alias("next"), *own), e.select(F.col("dst").alias("at"), F.col("src").alias("next"), *own)
 
 
-def _slotted(ends: DataFrame, slots: int) -> DataFrame:
-    spark = ends.sparkSession
-    rows = ends.where("at is not null").withColumn("slot", F.pmod("at", F.lit(slots)).cast("int"))
-    lanes = rows.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("lanes"))
-    # One row a slot.
-    rows = rows.join(F.broadcast(lanes), "slot").withColumn("lane", F.pmod(F.xxhash64("id", "next"), F.col("lanes"))).drop("lanes")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    dealt = rows.repartition(parts, "slot", "lane").drop("lane")
-    return written(dealt.sortWithinPartitions("slot", "at", "id"), "slot")
-
-
 @dataclass
 class Adjacency:
-    """(at, next, edge's columns) for both directions; ``slots`` is 0 where they are not stored."""
+    """(at, next, edge's columns) for both directions, by ``at``."""
 
-    outgoing: DataFrame
-    incoming: DataFrame
-    slots: int = 0
+    outgoing: Slotted
+    incoming: Slotted
 
     def steps(self, direction: str, kinds: list[str] | None = None, tests: bool = True, utility: bool = True) -> Steps:
         """What a walk in this direction may take, after all filters."""
@@ -77,55 +53,37 @@ class Adjacency:
         sides = {"outgoing": [self.outgoing], "incoming": [self.incoming], "both": [self.outgoing, self.incoming.where(F.col("at") != F.col("next"))]}[direction]
         for c in keep:
             sides = [side.where(c) for side in sides]
-        return Steps(sides, self.slots)
+        return Steps(sides)
 
 
 @dataclass
 class Steps:
-    """The steps of a walk: (at, next, ...) in one or two frames."""
-
-    sides: list[DataFrame]
-    slots: int = 0
+    """The steps of a walk: (at, next, ...) on one or two sides."""
 
-    def all(self) -> DataFrame:
-        out = self.sides[0]
-        for side in self.sides[1:]:
-            out = out.unionByName(side)
-        return out
+    sides: list[Slotted]
 
     def at(self, ids: list[int]) -> DataFrame:
-        """The steps from a few nodes: other slots are not read, other nodes' rows are skipped by the scan."""
-        here = F.col("at").isin(ids)
-        if self.slots:
-            here = F.col("slot").isin(sorted({i % self.slots for i in ids})) & here
-        return Steps([side.where(here) for side in self.sides]).all()
+        return reduce(DataFrame.unionByName, [side.at(ids) for side in self.sides])
 
     def beside(self, frontier: DataFrame, rows: int, column: str = "id") -> DataFrame:
         """``frontier`` with the steps from its nodes; ``rows`` is how many it has."""
-        name = "_standing"
-        there = frontier.withColumnRenamed(column, name)
-        if self.slots and rows <= LOOKED_UP:
-            ids = [r[0] for r in there.select(name).distinct().collect() if r[0] is not None]
-            return self.at(ids).join(F.broadcast(there), F.col("at") == F.col(name)).drop(name)
-        return self.all().join(F.broadcast(there) if rows <= BROADCAST else there, F.col("at") == F.col(name)).drop(name)
+        return reduce(DataFrame.unionByName, [side.beside(frontier, rows, column) for side in self.sides])
 
 
 def plain_steps(steps: DataFrame) -> Steps:
     """Steps that are not stored, from (a, b)."""
-    return Steps([steps.select(F.col("a").alias("at"), F.col("b").alias("next"))])
+    return Steps([Slotted(steps.select(F.col("a").alias("at"), F.col("b").alias("next")), "at")])
 
 
 def adjacency_of(edges: DataFrame) -> Adjacency:
     """The adjacency of these edges: stored on first use where they are a stored graph's own, else part of the plan."""
     key = getattr(edges, "_loomgraph_adjacency", None)
     if key is None:
-        return Adjacency(*_ends(edges))
+        return Adjacency(*[Slotted(side, "at") for side in _ends(edges)])
 
     def build() -> Adjacency:
         out, rows = written_rows(_ends(edges)[0])
-        slots = _prime(min(MOST_SLOTS, rows // SLOT_ROWS + 1))
-        slots = slots if slots <= MOST_SLOTS else MOST_SLOTS
         back = out.select(F.col("dst").alias("at"), F.col("src").alias("next"), *_EDGE)
-        return Adjacency(_slotted(out, slots), _slotted(back, slots), slots)
+        return Adjacency(*[by_slots(side, "at", rows, SLOT_ROWS, "id", within=("id", "next")) for side in (out, back)])
 
     return kept(edges.sparkSession, key, build)

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.graph import display_name
 from loomgraph.functions.paths import file_role
+from loomgraph.operators import grams as gr
 from loomgraph.operators import ranks as k
 from loomgraph.operators import roots as ro
 from loomgraph.plans.fragments import BAND, BENCH_PATH, ROLE, TEST_PATH, TIER
 from loomgraph.plans.queries_inventory import ROOTS_SQL
 from loomgraph.sources.publish import Publisher, flush
 from loomgraph.sources.star_schema import Graph, load_graph, table
-from loomgraph.sources.store import shared_dir
+from loomgraph.sources.store import kept, shared_dir
 
 
 def _g(f):  # noqa: ANN001, ANN202
@@ -53,9 +54,43 @@ def _inexact(g: Graph) -> DataFrame:
     return k.unique_inexact("len", _ordered(h, "id")).select("id", "name", "kind", "path")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.concat(F.coalesce("lang", F.lit("x")), F.lit("/d"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("seq"))
+
+
+def gram_index(spark: SparkSession, sf_dir: str) -> gr.GramIndex:
+    return kept(spark, f"grams:{sf_dir}", lambda: gr.build_grams(_documents(spark, sf_dir)))
+
+
+def name_index(spark: SparkSession, sf_dir: str) -> gr.NameIndex:
+    return kept(spark, f"names:{sf_dir}", lambda: gr.build_names(load_graph(spark, sf_dir).node.where("kind in ('METHOD', 'STRUCT', 'CLASS', 'FILE')").select("id", F.col("serialized_name").alias("name"))))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.concat(F.coalesce("lang", F.lit("x")), F.lit("/d"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("seq"))
-    return k.text_hits(d, "attion thing", ["attion", "thing", "thble", "ering"], 60)
+    return gr.indexed_text_hits(gram_index(spark, sf_dir), "attion thing", ["attion", "thing", "thble", "ering"], 60)
+
+
+def _fuzzy_sql(query: str, limit: int) -> str:
+    """Every name folded by the same steps, character by character."""
+    n = len(query)
+    own = r"CASE WHEN regexp_matches(c, '^\s$') THEN 0 WHEN regexp_matches(c, '^[/,:;|]$') THEN 1 WHEN regexp_matches(c, '^\p{N}$') THEN 5 WHEN regexp_matches(c, '^\p{Lu}$') THEN 4 WHEN regexp_matches(c, '^\p{L}$') THEN 3 ELSE 2 END"
+    place = "CASE WHEN own > 2 AND before <= 2 THEN CASE before WHEN 0 THEN 10 WHEN 1 THEN 9 ELSE 8 END WHEN (before = 3 AND own = 4) OR (before <> 5 AND own = 5) THEN 5 WHEN own = 2 THEN 8 WHEN own = 0 THEN 10 ELSE 0 END"
+    q = "[" + ", ".join(f"'{c}'" for c in query) + "]"
+    last = lambda what: f"coalesce(acc.{what}[j - 1], 0)"
+    run = f"CASE WHEN e.place >= 8 AND e.place > {last('run')} THEN e.place ELSE {last('run')} END"
+    joined, apart = f"{last('now')} + greatest(e.place, {run}, 4)", f"{last('past')} + e.place"
+    now = f"CASE WHEN e.c = {q}[j] THEN greatest(CASE WHEN j = 1 THEN 16 + e.place * 2 ELSE 16 + greatest({joined}, {apart}) END, -1048576) ELSE -1048576 END"
+    runs = f"CASE WHEN e.c = {q}[j] THEN CASE WHEN j > 1 AND {joined} >= {apart} THEN {run} ELSE e.place END ELSE 0 END"
+    each = lambda x: f"list_transform(range(1, {n + 1}), lambda j: CAST({x} AS INTEGER))"
+    none = "[" + ", ".join(["CAST(-1048576 AS INTEGER)"] * n) + "]"
+    zero = "[" + ", ".join(["CAST(0 AS INTEGER)"] * n) + "]"
+    return rf"""WITH GRAPH, names AS (SELECT DISTINCT serialized_name AS name FROM node WHERE kind IN ('METHOD', 'STRUCT', 'CLASS', 'FILE')),
+ch AS (SELECT name, i, c, {own} AS own FROM (SELECT name, unnest(string_split(name, '')) AS c, generate_subscripts(string_split(name, ''), 1) AS i FROM names)),
+pl AS (SELECT name, i, lower(c) AS c, {place} AS place FROM (SELECT *, coalesce(lag(own) OVER (PARTITION BY name ORDER BY i), 0) AS before FROM ch)),
+l AS (SELECT name, list({{'c': c, 'place': place, 'best': -1048576, 'now': {none}, 'run': {zero}, 'past': {none}}} ORDER BY i) AS l FROM pl GROUP BY name),
+f AS (SELECT name, list_reduce(l, lambda acc, e: {{'c': '', 'place': 0, 'best': greatest(acc.best, CAST(({now.replace('[j]', f'[{n}]').replace('[j - 1]', f'[{n - 1}]').replace('j = 1', 'false' if n > 1 else 'true')}) AS INTEGER)), 'now': {each(now)}, 'run': {each(runs)}, 'past': {each('greatest(acc.now[j] - 3, acc.past[j] - 1, -1048576)')}}}, {{'c': '', 'place': 0, 'best': CAST(-1048576 AS INTEGER), 'now': {none}, 'run': {zero}, 'past': {none}}}).best AS score FROM l)
+SELECT id, name, score FROM f JOIN node n ON n.serialized_name = f.name WHERE score > 0 AND n.kind IN ('METHOD', 'STRUCT', 'CLASS', 'FILE')
+ORDER BY lower(name) = '{query}' DESC, lower({_TERM.format('name')}) = '{query}' DESC, lower({_LEAD.format('name')}) = '{query}' DESC, score DESC, name, id LIMIT {limit}"""
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +236,8 @@ ALL = {
     "route_handlers": (_g(_routes), f"WITH GRAPH, c AS (SELECT id % 40 AS route, target AS handler, confidence, coalesce(certainty, {BAND}) AS sure, target_name AS name FROM edge WHERE kind = 'CALL') SELECT route, handler FROM c QUALIFY row_number() OVER (PARTITION BY route ORDER BY confidence DESC NULLS LAST, CASE sure WHEN 'certain' THEN 0 WHEN 'probable' THEN 1 WHEN 'uncertain' THEN 2 ELSE 3 END, name, handler) = 1"),
     "evidence_siblings": (_siblings, "WITH h AS (SELECT p_partkey AS id, p_brand AS name, p_partkey % 60 AS stem FROM part WHERE p_partkey % 2 = 0), t AS (SELECT DISTINCT p_partkey % 90 AS stem, 'lib/m' || (p_partkey % 90) || CASE p_partkey % 3 WHEN 0 THEN '.cpp' ELSE '.c' END AS path, 'impl ' || p_brand || '()' AS text FROM part WHERE p_partkey % 3 < 2) SELECT DISTINCT id, path FROM h JOIN t USING (stem) WHERE contains(text, name)"),
     "candidate_mass": (_g(lambda g: k.candidate_mass(_citations(g))), "WITH GRAPH SELECT round(sum(n.id % 10 / 10e0), 6) AS mass FROM node n JOIN file f ON f.id = n.file_id WHERE kind IN ('MODULE', 'STRUCT', 'FIELD')"),
+    "fuzzy_symbols": (lambda s, d: gr.fuzzy_symbols(name_index(s, d), "od17", 60), _fuzzy_sql("od17", 60)),
+    "fuzzy_paths": (lambda s, d: gr.fuzzy_symbols(name_index(s, d), "srcrs", 200), _fuzzy_sql("srcrs", 200)),
     "nearest_names": (_g(_near), "WITH GRAPH, n AS (SELECT id, serialized_name AS name, levenshtein(lower(regexp_extract(serialized_name, '([^:.#/]*)$', 1)), 'order_77') AS distance FROM node WHERE kind IN ('METHOD', 'STRUCT')) SELECT id, name, CAST(distance AS INTEGER) AS distance FROM n WHERE distance <= 1 ORDER BY distance, name, id LIMIT 30"),
     "hash_projection": (lambda s, d: table(s, d, "part").select("p_partkey", F.posexplode(k.projected(F.col("p_name"), 8)).alias("dim", "x")).where("x <> 0"), f"WITH w AS (SELECT p_partkey, unnest({_WORDS}) AS w FROM part), h AS (SELECT p_partkey, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) AS h FROM w), v AS (SELECT p_partkey, h % 8 AS dim, sum(CASE WHEN (h >> 32) % 2 = 0 THEN 1e0 ELSE -1e0 END) AS x FROM h GROUP BY ALL), n AS (SELECT p_partkey, sqrt(sum(x * x)) AS n FROM v GROUP BY 1) SELECT p_partkey, CAST(dim AS INTEGER) AS dim, round(x / n, 6) AS x FROM v JOIN n USING (p_partkey) WHERE x <> 0"),
     "weighted_hybrid": (_g(_hybrid), "WITH GRAPH, n AS (SELECT id, serialized_name AS name, CAST(id % 11 AS DOUBLE) AS l, CASE WHEN id % 5 > 0 THEN id % 5 / 5e0 ELSE 0e0 END AS s, CASE id % 3 WHEN 0 THEN 1.0e0 WHEN 1 THEN 0.55e0 ELSE 0e0 END AS b FROM node WHERE kind = 'STRUCT') SELECT id, round((0.5e0 * (l / (SELECT max(l) FROM n)) + 0.35e0 * s + 0.15e0 * b) * CASE WHEN contains(lower(name), '000000007') THEN 0.72e0 ELSE 1e0 END, 6) AS score FROM n"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -42,6 +44,65 @@ def stored(df: DataFrame, *sort: str) -> DataFrame:
     return written(df.sortWithinPartitions(*sort) if sort else df)
 
 
+#: Rows of a file, about; most slots of a table; keys up to which rows are looked up, and up to which keys are broadcast.
+FILE_ROWS, MOST_SLOTS, LOOKED_UP, BROADCAST = 1_000_000, 4093, 1_000, 1_000_000
+
+
+def _prime(low: int) -> int:
+    """The least prime not below ``low``."""
+    n = max(2, low)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+@dataclass
+class Slotted:
+    """Rows by a key of whole numbers, partitioned by ``slot``, the key modulo a prime; 0 slots where they are not stored."""
+
+    rows: DataFrame
+    key: str
+    slots: int = 0
+
+    def at(self, keys: list[int]) -> DataFrame:
+        """The rows of a few keys: other slots are not read, other keys' rows are skipped by the scan."""
+        here = F.col(self.key).isin(keys)
+        if self.slots:
+            here = F.col("slot").isin(sorted({k % self.slots for k in keys})) & here
+        return self.rows.where(here)
+
+    def where(self, condition) -> Slotted:  # noqa: ANN001
+        return replace(self, rows=self.rows.where(condition))
+
+    def beside(self, keys: DataFrame, n: int, column: str) -> DataFrame:
+        """The rows of the keys in ``column`` with the other columns of ``keys``, of which there are ``n`` rows.
+
+        Few are looked up; more, as long as they are few enough to send, are broadcast; beyond that the join shuffles.
+        """
+        name = "_standing"
+        there = keys.withColumnRenamed(column, name)
+        if self.slots and n <= LOOKED_UP:
+            few = [r[0] for r in there.select(name).distinct().collect() if r[0] is not None]
+            return self.at(few).join(F.broadcast(there), F.col(self.key) == F.col(name)).drop(name)
+        return self.rows.join(F.broadcast(there) if n <= BROADCAST else there, F.col(self.key) == F.col(name)).drop(name)
+
+
+def by_slots(df: DataFrame, key: str, rows: int, slot_rows: int, *sort: str, within: tuple[str, ...] = ()) -> Slotted:
+    """``df``, of about ``rows`` rows, stored by slots of about ``slot_rows``, sorted by key and ``sort`` in each file.
+
+    A slot with many rows, as that of a key with a large share of all, is dealt over several files by the columns ``within``,
+    so neither writing nor reading it is one task's work.
+    """
+    slots = _prime(min(MOST_SLOTS, rows // slot_rows + 1))
+    own = df.where(F.col(key).isNotNull()).withColumn("slot", F.pmod(key, F.lit(slots)).cast("int"))
+    lanes = own.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("lanes"))
+    # One row a slot.
+    own = own.join(F.broadcast(lanes), "slot").withColumn("lane", F.pmod(F.xxhash64(*(within or (key,))), F.col("lanes"))).drop("lanes")
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = own.repartition(parts, "slot", "lane").drop("lane").sortWithinPartitions("slot", key, *sort)
+    return Slotted(written(dealt, "slot"), key, slots)
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
