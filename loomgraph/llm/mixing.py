@@ -156,7 +156,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken per document, and the output shards that its taken words are drawn for: how many, and the first."""
     placed, sources, runs = mix(docs)
-    taken = runs.groupBy("rank", "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("words"), F.size(F.collect_set("shard")).cast("long").alias("n_shards"), F.min("shard").alias("first_shard"))
+    by_shard = runs.groupBy("rank", "start", "shard").agg(F.sum(F.col("hi") - F.col("lo")).alias("words"))
+    taken = by_shard.groupBy("rank", "start").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n_shards"), F.min("shard").alias("first_shard"))
     few = _few(sources)
     named = sources.select(F.col("source").alias("s2"), "source_size", "rank", "target")
     p = placed.join(F.broadcast(named) if few else named, placed["source"].eqNullSafe(named["s2"]))
