@@ -11,7 +11,7 @@ from loomgraph.operators import grounding as o
 from loomgraph.operators import relational as r
 from loomgraph.operators import resolution as x
 from loomgraph.operators import traverse as w
-from loomgraph.plans import queries_inventory, queries_keyed, queries_ranks, queries_resolution, queries_search, queries_service, queries_sources, queries_walks
+from loomgraph.plans import queries_evidence, queries_inventory, queries_keyed, queries_ranks, queries_resolution, queries_search, queries_service, queries_sources, queries_walks
 from loomgraph.plans.fragments import BAND, CALL_DEGREES, CERTAINTY, COMMON, DEGREES, EFFECTIVE, IN, INDEXABLE, OUT, RANK, ROLE, SNAPSHOT, TIER, bfs
 from loomgraph.sources.star_schema import BASE, GRAPH_SQL, load_graph, table
 from loomgraph.streaming.incremental import event_rollup, refresh_plan, upsert
@@ -131,7 +131,7 @@ _ALL = {
     "event_rollup": (lambda s, d: event_rollup(table(s, d, "events")), "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
 }
 
-for _part in (queries_inventory, queries_walks, queries_search, queries_resolution, queries_sources, queries_ranks, queries_service, queries_keyed):
+for _part in (queries_inventory, queries_walks, queries_search, queries_resolution, queries_sources, queries_ranks, queries_service, queries_keyed, queries_evidence):
     _ALL |= _part.ALL
 
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
