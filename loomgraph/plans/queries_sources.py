@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import route_languages
 from loomgraph.sources import collectors as c
+from loomgraph.sources import markup as m
 from loomgraph.sources.star_schema import table
 
 NUMBER, NAME = "{k}", "{n}"
@@ -55,10 +56,59 @@ def _query(ending: str):  # noqa: ANN202
     return lambda spark, sf_dir: c.collect(sources(spark, sf_dir, ending))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as they are, with attributes on their scripts, and with tags over lines and in other case."""
+    html, k = F.coalesce("html", F.lit("")), F.col("page_id") % 3
+    marked = F.replace(html, F.lit("<script>"), F.lit(_MARKED))
+    broken = F.replace(F.replace(html, F.lit("<script>"), F.lit("<SCRIPT\n async>")), F.lit("</script>"), F.lit("</Script >"))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(k == 1, marked).when(k == 2, broken).otherwise(html).alias("text"))
+
+
+def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html, k = F.coalesce("html", F.lit("")), F.col("page_id") % 3
+    inline = F.replace(html, F.lit("<h1>"), F.lit(_INLINE))
+    fenced = F.concat(F.lit("---\nconst id = "), F.col("page_id").cast("string"), F.lit(";\n---\n"), html)
+    return table(spark, sf_dir, "pages").select("page_id", F.element_at(F.array(F.lit("vue"), F.lit("svelte"), F.lit("astro")), (k + 1).cast("int")).alias("dialect"), F.when(k == 1, inline).when(k == 2, fenced).otherwise(html).alias("text"))
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = m.page_units(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]), "|")
+    return u.groupBy("page_id", "role").agg(F.count(F.lit(1)).alias("n"), F.md5(names.cast("binary")).alias("names"))
+
+
 def _blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit("<p>x</p>\n<script>let a = "), F.col("n_nationkey").cast("string"), F.lit(";\n</script>\ny"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", c.blanked(page).alias("text"))
+    return m.scripts_of_pages(table(spark, sf_dir, "nation").select("n_nationkey", page.alias("text")), "n_nationkey").select("n_nationkey", F.col("script").alias("text"))
 
 
+_MARKED, _INLINE = "<script type=\"module\" data-x='a>b' lang=\"ts\">", "<h1>{title + \"}\"}{#if x}"
+_BLANK = r"regexp_replace({0}, '[^\n\r]', ' ', 'g')"
+_IN = lambda text: "'" + text.replace("'", "''") + "'"
+#: Each page's text, what opens and closes its script, and where.
+_PAGES = rf"""p AS (
+  SELECT page_id, page_id % 3 AS k, CASE page_id % 3 WHEN 1 THEN replace(html, '<script>', {_IN(_MARKED)}) WHEN 2 THEN replace(replace(html, '<script>', '<SCRIPT' || chr(10) || ' async>'), '</script>', '</Script >') ELSE html END AS text,
+    CASE page_id % 3 WHEN 1 THEN {_IN(_MARKED)} WHEN 2 THEN '<SCRIPT' || chr(10) || ' async>' ELSE '<script>' END AS opening, CASE page_id % 3 WHEN 2 THEN '</Script >' ELSE '</script>' END AS closing FROM pages WHERE html IS NOT NULL),
+a AS (SELECT *, strpos(text, opening) - 1 + length(opening) AS start, strpos(text, '<style>') + 6 AS style_start, strpos(text, closing) - 1 AS stop, strpos(text, '</style>') - 1 AS style_stop FROM p)"""
+
 ALL = {f"collect_{ending.replace('.github/workflows/', 'workflow_').replace('-', '_').replace('.', '_').lower()}": (_query(ending), _expected(ending)) for ending in SOURCES}
 ALL["blanked_regions"] = (_blanked, "SELECT n_nationkey, repeat(' ', 8) || chr(10) || repeat(' ', 8) || 'let a = ' || n_nationkey || ';' || chr(10) || repeat(' ', 9) || chr(10) || ' ' AS text FROM nation")
+ALL |= {
+    "page_regions": (lambda s, d: m.embedded_regions(_pages(s, d), "page_id"), rf"""WITH {_PAGES}
+SELECT page_id, CAST(1 AS INTEGER) AS ordinal, 'style' AS kind, CAST(style_start AS INTEGER) AS start, CAST(1 AS INTEGER) AS line, CAST(style_start + 1 AS INTEGER) AS col, CAST(NULL AS VARCHAR) AS language, text[style_start + 1:style_stop] AS content FROM a
+UNION ALL SELECT page_id, 2, 'script', start, CASE WHEN k = 2 THEN 2 ELSE 1 END, CASE WHEN k = 2 THEN 8 ELSE start + 1 END, CASE WHEN k = 1 THEN 'ts' END, text[start + 1:stop] FROM a"""),
+    "page_scripts": (lambda s, d: m.scripts_of_pages(_pages(s, d), "page_id").select("page_id", F.length("script").alias("n_chars"), F.regexp_count("script", F.lit("\n")).alias("breaks"), F.md5(F.col("script").cast("binary")).alias("script")), rf"""WITH {_PAGES}
+SELECT page_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS breaks, md5({_BLANK.format('text[:start]')} || text[start + 1:stop] || {_BLANK.format('text[stop + 1:]')}) AS script FROM a"""),
+    "template_scripts": (lambda s, d: m.scripts_of_templates(_templates(s, d), "page_id").select("page_id", "language", "styles", F.md5(F.col("script").cast("binary")).alias("script")), rf"""WITH t AS (
+  SELECT page_id, page_id % 3 AS k, CASE page_id % 3 WHEN 1 THEN replace(html, '<h1>', {_IN(_INLINE)}) WHEN 2 THEN '---' || chr(10) || 'const id = ' || page_id || ';' || chr(10) || '---' || chr(10) || html ELSE html END AS text FROM pages WHERE html IS NOT NULL),
+a AS (SELECT *, strpos(text, '<script>') + 7 AS start, strpos(text, '</script>') - 1 AS stop, strpos(text, '{{title') - 1 AS inline_start, strpos(text, ';' || chr(10) || '---') AS head_stop FROM t)
+SELECT page_id, CASE WHEN k = 2 THEN 'typescript' ELSE 'javascript' END AS language, CAST(1 AS INTEGER) AS styles, md5(CASE k
+  WHEN 1 THEN {_BLANK.format('text[:start]')} || text[start + 1:stop] || {_BLANK.format('text[stop + 1:inline_start]')} || text[inline_start + 1:inline_start + 13] || {_BLANK.format('text[inline_start + 14:]')}
+  WHEN 2 THEN '   ' || chr(10) || text[5:head_stop] || {_BLANK.format('text[head_stop + 1:start]')} || text[start + 1:stop] || {_BLANK.format('text[stop + 1:]')}
+  ELSE {_BLANK.format('text[:start]')} || text[start + 1:stop] || {_BLANK.format('text[stop + 1:]')} END) AS script FROM a"""),
+    "page_units": (_units, r"""WITH t AS (SELECT page_id, regexp_replace(html, '<script>.*?</script>', '', 'gs') AS h FROM pages WHERE html IS NOT NULL),
+u AS (SELECT page_id, 'a' AS role, unnest(l) AS name, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(h, '<a href="([^"]*)"', 1) AS l FROM t)
+  UNION ALL SELECT page_id, 'class', unnest(l), generate_subscripts(l, 1) FROM (SELECT page_id, regexp_extract_all(h, '<[^>]* class="([^"]*)"', 1) AS l FROM t) 
+  UNION ALL SELECT page_id, 'region', 'region:' || i, i FROM (SELECT page_id, unnest(string_split(h, chr(10))) AS line, generate_subscripts(string_split(h, chr(10)), 1) AS i FROM t) WHERE regexp_matches(line, '<(main|body|section|article|template|div)[ >]'))
+SELECT page_id, role, count(*) AS n, md5(string_agg(name, '|' ORDER BY i)) AS names FROM u GROUP BY page_id, role"""),
+}

@@ -13,10 +13,13 @@ import tomllib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.markup import Lines
+
 Unit = tuple[str, str, str, int, str | None]
+_BLANKS = re.compile(r"\s*")
 SHAPE = "path string, ordinal int, kind string, role string, name string, line int, parent string"
 #: Elements that divide a page.
 REGIONS = ("header", "nav", "main", "section", "article", "aside", "footer", "form", "dialog", "template")
@@ -106,16 +109,15 @@ def json_keys(text: str) -> list[Unit]:
     decoder, at = json.JSONDecoder(), 0
     try:
         while at < len(text):
-            gap = re.match(r"\s*", text[at:])
-            at += gap.end() if gap else 0
+            at = _BLANKS.match(text, at).end()  # type: ignore[union-attr]
             if at < len(text):
                 _, at = decoder.raw_decode(text, at)
         if not text.strip():
             raise ValueError("no value")
     except ValueError as e:
         return [("UNKNOWN", "malformed", str(e)[:200], 1, None)]
-    found = re.finditer(r'"((?:[^"\\]|\\.)*)"(\s*:)?', text)
-    return [("ANNOTATION", "key", m[1], text.count("\n", 0, m.start()) + 1, None) for m in found if m[2]]
+    found, lines = re.finditer(r'"((?:[^"\\]|\\.)*)"(\s*:)?', text), Lines(text)
+    return [("ANNOTATION", "key", m[1], lines.at(m.start())[0], None) for m in found if m[2]]
 
 
 def shell(text: str) -> list[Unit]:
@@ -177,7 +179,8 @@ def css(text: str) -> list[Unit]:
     """Imports, selectors' classes and ids, custom properties with their uses, keyframes; comments are blanked in place."""
     text = re.sub(r"/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
     out: list[Unit] = []
-    line_of = lambda at: text.count("\n", 0, at) + 1
+    lines = Lines(text)
+    line_of = lambda at: lines.at(at)[0]
     for m in re.finditer(r"""@import\s+(?:url\()?["']?([^"')\s;]+)|@keyframes\s+([\w\-]+)|(--[\w\-]+)\s*:|var\(\s*(--[\w\-]+)|([^{};@]+)\{""", text):
         n = line_of(m.start())
         if m[1]:
@@ -197,7 +200,8 @@ def sql(text: str) -> list[Unit]:
     text = re.sub(r"--[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
     name = r"((?:[\w]+|\"[^\"]+\"|`[^`]+`)(?:\.(?:[\w]+|\"[^\"]+\"|`[^`]+`))?)"
     clean = lambda s: re.sub(r"[\"`]", "", s)
-    line_of = lambda at: text.count("\n", 0, at) + 1
+    lines = Lines(text)
+    line_of = lambda at: lines.at(at)[0]
     tables = {clean(m[1]).lower() for m in re.finditer(rf"create\s+(?:temp\w*\s+)?table\s+(?:if\s+not\s+exists\s+)?{name}", text, re.I)}
     out: list[Unit] = []
     for m in re.finditer(rf"create\s+(?:or\s+replace\s+)?(?:unique\s+)?(?:temp\w*\s+)?(schema|table|view|index)\s+(?:if\s+not\s+exists\s+)?{name}(?:\s+on\s+{name})?", text, re.I):
@@ -321,24 +325,6 @@ def collect(sources: DataFrame) -> DataFrame:
     return sources.select("path", "language", "text").mapInPandas(run, SHAPE)
 
 
-def blanked(text: Column, tags: str = "script") -> Column:
-    """A page in which all but the insides of some elements are blanks: same length, same line breaks.
-
-    What stands between two such insides is blanked at once, character by character of its own length.
-    """
-    parts = F.split(text, rf"(?s)(?<=<(?:{tags})>)|(?=</(?:{tags})>)")
-    keep = lambda part, i: F.when(i % 2 == 1, part).otherwise(F.regexp_replace(part, r"[^\n\r]", " "))
-    return F.array_join(F.transform(parts, keep), "")
-
-
-def script_source(text: Column, language: Column) -> Column:
-    """The script of a template file at its own lines and columns: script elements, and an Astro file's fenced head."""
-    head = F.regexp_extract(text, r"(?s)^---\r?\n(.*?)\r?\n---", 1)
-    cover = F.regexp_replace(text, r"(?s)^---\r?\n.*?\r?\n---", "")
-    fenced = F.concat(F.lit("   \n"), head, F.lit("\n   "), blanked(cover))
-    return F.when((language == "astro") & text.rlike(r"(?s)^---\r?\n.*?\r?\n---"), fenced).otherwise(blanked(text))
-
-
 def discover(spark: SparkSession, folder: str, glob: str = "*", most_bytes: int | None = None) -> DataFrame:
     """(path, size, text) of the files below a folder, sorted; texts over the size are listed without being read into a column."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
