@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import route_languages
+from loomgraph.operators import routes as ro
 from loomgraph.sources import collectors as c
 from loomgraph.sources import markup as m
 from loomgraph.sources.star_schema import table
@@ -82,6 +83,18 @@ def _blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.scripts_of_pages(table(spark, sf_dir, "nation").select("n_nationkey", page.alias("text")), "n_nationkey").select("n_nationkey", F.col("script").alias("text"))
 
 
+def _apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source a customer, with a line an order: routes, receivers bound anew or to something else, and mounts."""
+    o, key, k = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    kinds = lambda *rows: F.element_at(F.array(*rows), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    python = kinds(text('@r.get("/o', key, '")'), text('r = APIRouter(tags=["x"], prefix="/n', key, '")'), text("r = other(", key, ")"), text('app.include_router(r, prefix="/api', key, '")'), text("@app.post('/a", key, "')"))
+    script = kinds(text('r.get("/o', key, '", h', key, ");"), F.lit("r = express.Router();"), text("r = other(", key, ");"), text('app.use("/api', key, '", r);'), text("app.post('/a", key, "', h", key, ");"))
+    lines = o.groupBy(k.alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.when(k % 2 == 1, python).otherwise(script).alias("line")))).alias("rows"))
+    head = F.when(F.col("k") % 2 == 1, text('"""\n@app.get("/no")\n"""\nfrom fastapi import APIRouter, FastAPI\napp = FastAPI()\nr = APIRouter(prefix="/c', F.col("k").cast("string"), '")\n')).otherwise('/*\napp.get("/no", h);\n*/\nconst express = require("express");\nconst app = express();\nlet r = express.Router();\n')
+    return lines.select(F.concat(F.lit("c"), F.col("k").cast("string"), F.when(F.col("k") % 2 == 1, ".py").otherwise(".js")).alias("path"), F.concat(head, F.array_join(F.transform("rows", lambda x: x["line"]), "\n")).alias("text"))
+
+
 _MARKED, _INLINE = "<script type=\"module\" data-x='a>b' lang=\"ts\">", "<h1>{title + \"}\"}{#if x}"
 _BLANK = r"regexp_replace({0}, '[^\n\r]', ' ', 'g')"
 _IN = lambda text: "'" + text.replace("'", "''") + "'"
@@ -106,6 +119,12 @@ SELECT page_id, CASE WHEN k = 2 THEN 'typescript' ELSE 'javascript' END AS langu
   WHEN 1 THEN {_BLANK.format('text[:start]')} || text[start + 1:stop] || {_BLANK.format('text[stop + 1:inline_start]')} || text[inline_start + 1:inline_start + 13] || {_BLANK.format('text[inline_start + 14:]')}
   WHEN 2 THEN '   ' || chr(10) || text[5:head_stop] || {_BLANK.format('text[head_stop + 1:start]')} || text[start + 1:stop] || {_BLANK.format('text[stop + 1:]')}
   ELSE {_BLANK.format('text[:start]')} || text[start + 1:stop] || {_BLANK.format('text[stop + 1:]')} END) AS script FROM a"""),
+    "app_routes": (lambda s, d: ro.routes(_apps(s, d)), """WITH l AS (SELECT o_custkey AS k, o_orderkey AS o, o_orderkey % 5 AS t, 6 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line FROM orders),
+b AS (SELECT DISTINCT k, 6 AS line, CASE WHEN k % 2 = 1 THEN '/c' || k ELSE '' END AS prefix, true AS good FROM l UNION ALL SELECT k, line, CASE WHEN k % 2 = 1 THEN '/n' || o ELSE '' END, true FROM l WHERE t = 1 UNION ALL SELECT k, line, NULL, false FROM l WHERE t = 2),
+u AS (SELECT l.*, b.line AS owner, b.prefix, b.good FROM l ASOF JOIN b ON l.k = b.k AND l.line > b.line WHERE t IN (0, 3)),
+m AS (SELECT k, owner, '/api' || o AS base FROM u WHERE t = 3 AND good)
+SELECT 'c' || k || CASE WHEN k % 2 = 1 THEN '.py' ELSE '.js' END AS path, CAST(line AS INTEGER) AS line, CASE WHEN k % 2 = 1 THEN 'fastapi' ELSE 'express' END AS framework, 'POST' AS method, '/a' || o AS route, CASE WHEN k % 2 = 0 THEN 'h' || o END AS handler FROM l WHERE t = 4
+UNION ALL SELECT 'c' || u.k || CASE WHEN u.k % 2 = 1 THEN '.py' ELSE '.js' END, line, CASE WHEN u.k % 2 = 1 THEN 'fastapi' ELSE 'express' END, 'GET', coalesce(base, '') || prefix || '/o' || o, CASE WHEN u.k % 2 = 0 THEN 'h' || o END FROM u LEFT JOIN m ON m.k = u.k AND m.owner = u.owner WHERE t = 0 AND good"""),
     "page_units": (_units, r"""WITH t AS (SELECT page_id, regexp_replace(html, '<script>.*?</script>', '', 'gs') AS h FROM pages WHERE html IS NOT NULL),
 u AS (SELECT page_id, 'a' AS role, unnest(l) AS name, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(h, '<a href="([^"]*)"', 1) AS l FROM t)
   UNION ALL SELECT page_id, 'class', unnest(l), generate_subscripts(l, 1) FROM (SELECT page_id, regexp_extract_all(h, '<[^>]* class="([^"]*)"', 1) AS l FROM t) 
