@@ -14,6 +14,7 @@ from loomgraph.operators import traverse as w
 from loomgraph.plans import queries_evidence, queries_inventory, queries_keyed, queries_ranks, queries_resolution, queries_search, queries_service, queries_sources, queries_walks
 from loomgraph.plans.fragments import BAND, CALL_DEGREES, CERTAINTY, COMMON, DEGREES, EFFECTIVE, IN, INDEXABLE, OUT, RANK, ROLE, SNAPSHOT, TIER, bfs
 from loomgraph.sources.star_schema import BASE, GRAPH_SQL, load_graph, table
+from loomgraph.streaming.epochs import sealed, worklist
 from loomgraph.streaming.incremental import event_rollup, refresh_plan, upsert
 
 def _g(f):  # noqa: ANN001, ANN202
@@ -57,6 +58,25 @@ def _requests(g) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     return e.select(F.col("id").alias("edge_id"), "name", "file_id", module), fields.select("node_id", "name", "file_id", module)
 
 
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes: an epoch every 200 numbers, a few of which are missing, lost, or of folders that do not count."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    path = F.concat(F.when(n % 41 == 0, "target/").otherwise("src/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"))
+    kind = F.when(n % 1501 == 0, "lost").when(n % 7 == 0, "membership").otherwise("mutated")
+    return e.where("event_id % 997 <> 3").select(F.floor(n / 200).alias("epoch"), n.alias("seq"), path.alias("path"), kind.alias("kind"))
+
+
+def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _changes(spark, sf_dir)
+    inventory = c.where("epoch < 3").select("path").distinct()
+    return worklist(c, sealed(c, None), inventory)
+
+
+_CHANGES = """c AS (SELECT event_id // 200 AS epoch, event_id AS seq, CASE WHEN event_id % 41 = 0 THEN 'target/' ELSE 'src/' END || user_id || '/' || event_type AS path, CASE WHEN event_id % 1501 = 0 THEN 'lost' WHEN event_id % 7 = 0 THEN 'membership' ELSE 'mutated' END AS kind FROM events WHERE event_id % 997 <> 3),
+p AS (SELECT epoch, min(seq) AS first, max(seq) AS sealed, count(DISTINCT seq) AS n, bool_or(kind = 'lost') AS lost, count(DISTINCT path) FILTER (WHERE kind = 'mutated' AND path NOT LIKE 'target/%') AS dirty, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) FILTER (WHERE kind = 'membership' AND path NOT LIKE 'target/%') AS rescan FROM c GROUP BY epoch),
+s AS (SELECT epoch, coalesce(lag(sealed) OVER (ORDER BY epoch), first - 1) AS armed, sealed, CASE WHEN lost THEN 'coverage_lost' WHEN first <> coalesce(lag(sealed) OVER (ORDER BY epoch), first - 1) + 1 THEN 'missing_before' WHEN n <> sealed - first + 1 THEN 'missing_within' END AS gap, dirty, rescan FROM p)"""
+
+
 def _best(g) -> DataFrame:  # noqa: ANN001
     c = g.edge.where("kind = 'TYPE_USAGE'").select(F.col("source").alias("edge_id"), F.col("target").alias("node_id"), ((F.col("target") % 97) / 100.0).alias("confidence"))
     return x.unambiguous_best(c)
@@ -128,6 +148,8 @@ _ALL = {
     "hits_per_file": (_g(_capped), "WITH GRAPH SELECT n.id, path, n.id % 7 AS score, n.id % 11 = 0 AS exact FROM node n JOIN file f ON f.id = n.file_id WHERE n.kind = 'FIELD' QUALIFY n.id % 11 = 0 OR row_number() OVER (PARTITION BY path, n.id % 11 = 0 ORDER BY n.id % 7 DESC, n.id) <= 2"),
     "refresh_plan": (_refresh, "WITH f AS (SELECT source || '/' || lang || '/' || doc_id AS path, n_chars AS m, md5(text) AS h, doc_id FROM documents), i AS (SELECT * FROM f WHERE doc_id % 13 <> 0), s AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN m + 1 ELSE m END AS m, h, doc_id % 11 <> 0 AS indexed, doc_id % 17 = 0 AS retry FROM f WHERE doc_id % 10 <> 0) SELECT path, CASE WHEN i.path IS NULL THEN 'remove' ELSE 'index' END AS action FROM i FULL JOIN s USING (path) WHERE i.path IS NULL OR s.path IS NULL OR NOT s.indexed OR s.retry OR i.m <> s.m OR i.h <> s.h"),
     "upsert_last_write": (_upsert, "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"),
+    "sealed_epochs": (lambda s, d: sealed(_changes(s, d), None), f"WITH {_CHANGES} SELECT epoch, armed, sealed, gap IS NULL AS proven, gap, dirty, rescan FROM s"),
+    "epoch_worklist": (_work, f"WITH {_CHANGES} SELECT DISTINCT c.epoch, path, 'rehash' AS action FROM c JOIN s ON s.epoch = c.epoch WHERE gap IS NULL AND kind = 'mutated' AND path NOT LIKE 'target/%' UNION ALL SELECT DISTINCT c.epoch, regexp_replace(path, '/[^/]*$', ''), 'rescan' FROM c JOIN s ON s.epoch = c.epoch WHERE gap IS NULL AND kind = 'membership' AND path NOT LIKE 'target/%' UNION ALL SELECT s.epoch, i.path, 'full' FROM s, (SELECT DISTINCT path FROM c WHERE epoch < 3) i WHERE gap IS NOT NULL"),
     "event_rollup": (lambda s, d: event_rollup(table(s, d, "events")), "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
 }
 
