@@ -24,7 +24,8 @@ from loomgraph.llm.toxicity import fit, keep_clean
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic, each row judged by its text."""
-    return keep_clean(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    # Other stages' workers stay beside this one's, so its batches are smaller than where it stands alone.
+    return keep_clean(docs, fit(docs, read_table(spark, sf_dir, "labels"), batch_words=3 << 17))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +36,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(text_of()), F.lit(1 << 61))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), text_of().alias("text"), whole_row(docs).alias("row"))
-    # A doc_id may stand on several texts, so the join is told a key of both.
-    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    # A doc_id that stands on several texts gives each a key of its own, above those of rows without a doc_id; all others are their doc_id.
+    text_hash = F.xxhash64("text")
+    shared = cut(rows.groupBy("doc_id").agg(F.min(text_hash).alias("low"), F.max(text_hash).alias("high")).where("low <> high").select(F.col("doc_id").alias("shared_id")))
+    own_key = F.lit((1 << 62) + (1 << 61)) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
+    rows = rows.join(shared, F.col("doc_id") == F.col("shared_id"), "left").withColumn("row_key", F.when(F.col("shared_id").isNull(), F.col("doc_id")).otherwise(own_key))
     classes = similarity_components(rows.select(F.col("row_key").alias("doc_id"), "text"), k=5, percent=80)
-    members = classes.select(F.col("doc_id").alias("row_key"), "component_id").distinct().join(rows.select("row_key", "doc_id").distinct(), "row_key")
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select("first.row_key")
+    named = rows.where("shared_id is not null").select(F.col("row_key").alias("doc_id"), F.col("shared_id").alias("named_id")).distinct()
+    ordered = F.struct(F.coalesce("named_id", "doc_id"), F.col("doc_id").alias("row_key"))
+    first = classes.join(named, "doc_id", "left").groupBy("component_id").agg(F.min(ordered).alias("first")).select("first.row_key")
     kept = rows.join(first, "row_key", "left_semi").select("doc_id", F.md5(F.col("text").cast("binary")).alias("same_text"), "row")
     return unfolded(kept.groupBy("doc_id", "same_text").agg(F.first("row").alias("row")), "row", docs.columns, {})
 
