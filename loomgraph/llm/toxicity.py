@@ -354,11 +354,11 @@ class Model:
         return 1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(700.0)), F.lit(-700.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, batch_words: int = BATCH_WORDS) -> Model:
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("labelled")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(fold("labelled") != 2)
     # Folds 0 and 1 make the class counts, fold 3 the calibration, fold 2 is never looked at.
-    compared = compare(docs, known.where(fold("labelled") < 2))
+    compared = compare(docs, known.where(fold("labelled") < 2), batch_words)
     tuned = compared.join(known.where(fold("labelled") == 3).hint("merge"), F.col("doc_id") == F.col("labelled"))
     sample = tuned.orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest").limit(calibration_rows).collect()
     x = np.array([[r[c] for c in COMPARISONS] for r in sample], dtype=np.float64).reshape(-1, len(COMPARISONS))
