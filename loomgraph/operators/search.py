@@ -6,23 +6,28 @@ in a bounded list (``limit``), so fusion works on at most a few thousand rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import TypeVar
 
+from pyspark import InheritableThread, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.graph import CALLABLES, DATA, MODULES, TYPES, edge_weight
 from loomgraph.functions.paths import extension, file_role, role_rank
-from loomgraph.operators.relational import neutralised
+from loomgraph.operators.adjacency import adjacency_of
 from loomgraph.plans import planner as p
 from loomgraph.sources.star_schema import Graph
 from loomgraph.sources.store import written
 
+T = TypeVar("T")
 K1, B, RRF_K = 1.2, 0.75, 20
 #: Weights of the final score, role priors of a text, and caps of anchors.
 FUSED, GRAPH, TEXT, ROLE, OVERLAP = 0.70, 0.15, 0.05, 0.05, 0.05
 ANCHOR_WINDOW, ANCHORS, ANCHORS_A_FILE = 24, 8, 2
+#: Words by which a query asks for files of a role.
 ASKED = {"test": "test tests testing spec specs fixture fixtures", "docs": "doc docs documentation readme", "benchmark": "bench benchmark benchmarks performance", "generated": "generated codegen", "vendor": "vendor dependency dependencies third party"}
 
 
@@ -125,11 +130,14 @@ def _symbol_overlap(tokens: list[str], weights: list[float]) -> Column:
     return F.round(reduce(Column.__add__, [F.when(F.array_contains(own, t), w).otherwise(0.0) for t, w in zip(tokens, weights)], F.lit(0.0)), 6)
 
 
-def _found(index: Index, tokens: list[str]) -> tuple[DataFrame, Totals]:
-    """What matches any token, written once, for every lane reads it; with its BM25 by path and by content."""
-    rows = written(matches(index, tokens))
+def _found(index: Index, tokens: list[str], keep: bool = False) -> tuple[DataFrame, Totals]:
+    """What matches any token, with its BM25 by path and by content; with ``keep`` kept for all lanes to read (a lost part is made again)."""
+    rows = matches(index, tokens)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK) if keep else rows
     t = totals(index, tokens, rows)
-    return rows.withColumns({"by_path": bm25(t, 8.0, 1.0), "by_content": bm25(t, 1.0, 4.0)}), t
+    scored = rows.withColumns({"by_path": bm25(t, 8.0, 1.0), "by_content": bm25(t, 1.0, 4.0)})
+    scored._loomgraph_kept = rows  # type: ignore[attr-defined]
+    return scored, t
 
 
 def lexical_lanes(index: Index, query: str, limit: int, found: tuple[DataFrame, Totals] | None = None) -> DataFrame:
@@ -184,7 +192,7 @@ def lexical_search(index: Index, query: str, limit: int) -> DataFrame:
     tokens, quoted = p.query_tokens(query), p.quoted_tokens(query)
     if not tokens:
         return index.docs.limit(0).select("key", "path", "symbol", "node_id", "kind", "line", F.lit(0).alias("matched"), F.lit(0.0).alias("score"), F.lit(0).alias("place"))
-    found = _found(index, tokens)
+    found = _found(index, tokens, keep=True)
     lanes = local(lexical_lanes(index, query, limit, found))
     fused = sublane_ranks(lanes).join(interleaved(lanes), "key")
     score = reciprocal([F.col(f"{x}_rank") for x in LANES], p.SUBLANE_WEIGHTS[p.classify(query).shape])
@@ -194,7 +202,8 @@ def lexical_search(index: Index, query: str, limit: int) -> DataFrame:
     must = reduce(Column.__and__, [h for h, t in zip(has, tokens) if t in quoted], F.lit(True))
     rows = rows.withColumn("matched", matched).where((F.col("matched") >= p.required_matches(len(tokens))) & must)
     order = [F.desc("score"), F.col("position")]
-    top = rows.orderBy(*order).limit(limit)
+    top = local(rows.orderBy(*order).limit(limit).select("key", "path", "symbol", "node_id", "kind", "line", "matched", "score", "position"))
+    found[0]._loomgraph_kept.unpersist()  # type: ignore[attr-defined]
     return top.select("key", "path", "symbol", "node_id", "kind", "line", "matched", "score", F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
@@ -267,11 +276,10 @@ def expansion(g: Graph, anchors: DataFrame, limit: int) -> DataFrame:
     """
     held = {r.id: min(max(r.score, 0.0), 1.0) for r in anchors.select("id", "score").collect()}
     ids, spark = list(held) or [-1], g.node.sparkSession
-    # Anchors are few, so edges are picked where they are read, and only what is picked is kept.
-    e = neutralised(g.edge).where(F.col("src").isin(ids) | F.col("dst").isin(ids)).withColumn("weight", edge_weight()).where("weight > 0 and src <> dst")
-    picked = written(e.select("src", "dst", "kind", "weight"))
-    ends = lambda at, to, way: picked.select(F.col(at).alias("via"), F.col(to).alias("id"), "kind", "weight", F.lit(way).alias("direction"))
-    both = ends("src", "dst", "outgoing").unionByName(ends("dst", "src", "incoming")).where(F.col("via").isin(ids) & ~F.col("id").isin(ids))
+    # Anchors are few, so only what lies beside them is read.
+    own = adjacency_of(g.edge)
+    ends = lambda way: own.steps(way).at(ids).select(F.col("at").alias("via"), F.col("next").alias("id"), "kind", edge_weight().alias("weight"), F.lit(way).alias("direction"))
+    both = ends("outgoing").unionByName(ends("incoming")).where((F.col("weight") > 0) & ~F.col("id").isin(ids))
     worth = spark.createDataFrame([(i, float(v)) for i, v in held.items()], "via long, worth double")
     near = both.join(F.broadcast(worth), "via")
     fan = near.groupBy("via").agg(F.count_distinct("id").alias("fanout"))
@@ -422,25 +430,53 @@ def search(corpus: Corpus, query: str, query_vector: list[float] | None, limit:
     none = F.lit(None)
     shape = lambda df: df.select("node_id", "path", "symbol", "line", "kind", "exact", "score", "rank")
     lanes: dict[str, DataFrame] = {}
-    hits = local(lexical_search(corpus.index, query, max(limit, ANCHOR_WINDOW)))
+    semantic = lambda: local(with_ranks(local(cosine_top(corpus.vectors, query_vector, stages["semantic"])), "id").select(F.col("id").alias("node_id"), "score", "rank"))  # type: ignore[arg-type]
+    asked = "semantic" in stages and bool(query_vector)
+    # A definition asked for by a name that one symbol has needs no neighbours and nothing like it, so that is looked at first.
+    early = asked and features.mode != "definition"
+    hits, anchors, near = together(
+        lambda: local(lexical_search(corpus.index, query, max(limit, ANCHOR_WINDOW))), lambda: local(symbol_anchors(g, query, stages.get("anchor", 8))), semantic if early else lambda: None,
+    )
     lanes["lexical"] = shape(hits.withColumns({"exact": F.lit(False), "rank": F.col("place")}))
-    where = g.node.join(g.file.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("id").alias("node_id"), "path", F.col("serialized_name").alias("symbol"), F.col("start_line").alias("line"), "kind")
-    anchors = local(symbol_anchors(g, query, stages.get("anchor", 8)))
-    # A definition asked for by a name that one symbol has needs no neighbours and nothing like it.
     if features.mode == "definition" and anchors.where("exact").limit(2).count() == 1:
         stages = {k: n for k, n in stages.items() if k not in ("semantic", "expand")}
-    if "semantic" in stages and query_vector:
-        near = with_ranks(local(cosine_top(corpus.vectors, query_vector, stages["semantic"])), "id").select(F.col("id").alias("node_id"), "score", "rank")
-        lanes["semantic"] = shape(local(where.join(F.broadcast(near), "node_id")).withColumn("exact", F.lit(False)))
-    direct = anchors.select(F.col("id").alias("node_id"), "path", F.col("name").alias("symbol"), "line", "kind", "exact", "score")
+        asked = False
     seeds = anchors.select("id", "path", "exact", "score", F.row_number().over(Window.orderBy(F.desc("exact"), F.desc("score"), "path", "id")).alias("place"))
+    expand = lambda: local(expansion(g, selected_anchors(seeds).select("id", "score"), stages["expand"]).select(F.col("id").alias("node_id"), "score"))
+    spread, near = together(expand if "expand" in stages else lambda: None, semantic if asked and not early else lambda: near)
+    # What both lists name is looked up at once.
+    ids = reduce(DataFrame.unionByName, [df.select("node_id") for df in (spread, near) if df is not None], anchors.select(F.col("id").alias("node_id")).limit(0)).distinct()
+    files = g.file.select(F.col("id").alias("file_id"), "path")
+    named = g.node.select(F.col("id").alias("node_id"), F.col("serialized_name").alias("symbol"), F.col("start_line").alias("line"), "kind", "file_id").join(F.broadcast(ids), "node_id")
+    where = local(named.join(files, "file_id").select("node_id", "path", "symbol", "line", "kind")) if spread is not None or near is not None else None
     columns = ["node_id", "path", "symbol", "line", "kind", "exact", "score"]
-    graph = direct.select(*columns)
-    if "expand" in stages:
-        near = expansion(g, selected_anchors(seeds).select("id", "score"), stages["expand"]).select(F.col("id").alias("node_id"), "score")
-        spread = local(where.join(F.broadcast(near), "node_id")).withColumn("exact", F.lit(False))
-        graph = graph.unionByName(spread.select(*columns))
+    graph = anchors.select(F.col("id").alias("node_id"), "path", F.col("name").alias("symbol"), "line", "kind", "exact", "score").select(*columns)
+    if near is not None:
+        lanes["semantic"] = shape(where.join(near, "node_id").withColumn("exact", F.lit(False)))
+    if spread is not None:
+        graph = graph.unionByName(where.join(spread, "node_id").withColumn("exact", F.lit(False)).select(*columns))
     lanes["graph"] = shape(with_ranks(graph, "path", "symbol", "line", "node_id"))
     if "semantic" not in lanes:
         lanes["semantic"] = lanes["lexical"].where(F.lit(False)).withColumns({"score": none.cast("double"), "rank": none.cast("int")})
     return ranked(merged(lanes), features, limit)
+
+
+def together(*actions: Callable[[], T]) -> list[T]:
+    """What each action gives; their jobs run side by side."""
+    out: list = [None] * len(actions)
+    failed: list[BaseException] = []
+
+    def run(i: int, action: Callable[[], T]) -> None:
+        try:
+            out[i] = action()
+        except BaseException as e:  # told to the caller below
+            failed.append(e)
+
+    threads = [InheritableThread(target=run, args=(i, a)) for i, a in enumerate(actions)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if failed:
+        raise failed[0]
+    return out
