@@ -45,8 +45,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = rows.where("shared_id is not null").select(F.col("row_key").alias("doc_id"), F.col("shared_id").alias("named_id")).distinct()
     ordered = F.struct(F.coalesce("named_id", "doc_id"), F.col("doc_id").alias("row_key"))
     first = classes.join(named, "doc_id", "left").groupBy("component_id").agg(F.min(ordered).alias("first")).select("first.row_key")
-    kept = rows.join(first, "row_key", "left_semi").select("doc_id", F.md5(F.col("text").cast("binary")).alias("same_text"), "row")
-    return unfolded(kept.groupBy("doc_id", "same_text").agg(F.first("row").alias("row")), "row", docs.columns, {})
+    # Rows travel once, without their texts beside them: repeated ones have one key, so they meet where the key is joined.
+    kept = rows.select("row_key", F.md5(F.col("text").cast("binary")).alias("same_text"), "row").join(first, "row_key", "left_semi")
+    return unfolded(kept.groupBy("row_key", "same_text").agg(F.first("row").alias("row")), "row", docs.columns, {})
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
