@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import resolution as x
+from loomgraph.operators import resolution_pass as rp
 from loomgraph.operators import traverse as w
 from loomgraph.plans.fragments import BAND, COMMON, EFFECTIVE
 from loomgraph.sources.star_schema import Graph, load_graph
@@ -92,7 +93,55 @@ def _pass(g: Graph) -> DataFrame:
 
 _STALE = f"st AS (SELECT id, file_id, target_name, CASE WHEN NOT gone THEN resolved_target END AS resolved_target, CASE WHEN NOT gone THEN confidence END AS confidence, CASE WHEN NOT gone THEN certainty END AS certainty FROM (SELECT *, coalesce(confidence < 0.55, false) OR (resolved_target IS NOT NULL AND lower(target_name) IN ({COMMON}) AND coalesce(certainty, {BAND}, '') <> 'certain') AS gone FROM edge WHERE kind = 'CALL'))"
 
+def _whole(g: Graph) -> tuple[Graph, rp.Known]:
+    """The graph with an override to look for at each method of a class and an import at each class, and what else its calls are known by."""
+    e, k = g.edge, F.col("id")
+    none = F.lit(None)
+    rest = [none.cast(t).alias(c) for c, t in (("resolved_source", "long"), ("resolved_target", "long"), ("confidence", "double"), ("certainty", "string"))]
+    over = e.where("kind = 'MEMBER' and id > 140000000000 and id < 150000000000").select((k + 30_000_000_000).alias("id"), F.lit("OVERRIDE").alias("kind"), F.col("target").alias("source"), "target", *rest, "file_id", "line", "target_name", "caller_path")
+    c = F.col("id") - 30_000_000_000
+    name = F.when(c % 3 == 0, F.concat(F.lit("order_"), (c * 4).cast("string"))).when(c % 3 == 1, "run").otherwise(F.concat(F.lit("m::ORDER_"), c.cast("string")))
+    asks = g.node.where("kind = 'CLASS'").select((k + 150_000_000_000).alias("id"), F.lit("IMPORT").alias("kind"), k.alias("source"), k.alias("target"), *rest, "file_id", F.lit(1).cast("long").alias("line"), name.alias("target_name"), none.cast("string").alias("caller_path"))
+    whole = e.drop("ignored").unionByName(over).unionByName(asks)
+    calls = e.where("kind = 'CALL'")
+    named = g.node.select(k.alias("source"), F.col("serialized_name").alias("class_name"))
+    receivers = calls.join(named, "source").select(k.alias("edge_id"), F.when(k % 4 == 0, F.col("class_name")).alias("owner"), (k % 9 == 0).alias("member_call"))
+    base = F.lit(50_000_000_000) + k % 700
+    likely = calls.where("id % 6 = 1").select(k.alias("edge_id"), base.alias("node_id"), F.when(k % 18 == 1, 0.9).otherwise(0.7).alias("confidence")).unionByName(calls.where("id % 12 = 1").select(k.alias("edge_id"), (base + 1).alias("node_id"), F.lit(0.7).alias("confidence")))
+    return Graph(g.node, whole, g.occurrence, g.file, g.error), rp.Known(receivers, g.node.where("kind = 'METHOD' and id % 13 = 0").select(k.alias("node_id")), likely)
+
+
+def _whole_updates(g: Graph) -> DataFrame:
+    return rp.resolve(*_whole(g)).updates.select("edge_id", "kind", "node_id", "confidence", "certainty", "strategy", F.concat_ws(",", F.transform("candidates", lambda x: x.cast("string"))).alias("candidates"))
+
+
+_WHOLE = rf"""{_STALE}, {_CAND}, {_WAYS},
+cf AS (SELECT c.*, regexp_extract(path, '^([^/]*)/', 1) AS root FROM c LEFT JOIN file f ON f.id = c.file_id),
+wf AS (SELECT module, owner, tail, min(node_id) AS nf FROM cf WHERE module IS NOT NULL AND owner IS NOT NULL GROUP BY ALL HAVING count(DISTINCT node_id) = 1), wr AS (SELECT root, owner, tail, min(node_id) AS nr FROM cf WHERE root IS NOT NULL AND owner IS NOT NULL GROUP BY ALL HAVING count(DISTINCT node_id) = 1),
+q AS (SELECT st.id AS edge_id, e0.target, st.target_name AS name, st.file_id, {_MODULE} AS module, regexp_extract(path, '^([^/]*)/', 1) AS root, CASE WHEN st.id % 4 = 0 THEN s.serialized_name END AS owner, st.id % 9 = 0 AND st.id % 4 <> 0 AS blocked, {_TAIL.format('st.target_name')} AS tail
+  FROM st JOIN edge e0 ON e0.id = st.id LEFT JOIN file f ON f.id = st.file_id JOIN node s ON s.id = e0.source WHERE st.resolved_target IS NULL AND st.confidence IS NULL AND st.certainty IS NULL),
+sem AS (SELECT id AS edge_id, 50000000000 + id % 700 AS node_id, CASE WHEN id % 18 = 1 THEN 0.9e0 ELSE 0.7e0 END AS conf FROM edge WHERE kind = 'CALL' AND id % 6 = 1 UNION ALL SELECT id, 50000000001 + id % 700, 0.7e0 FROM edge WHERE kind = 'CALL' AND id % 12 = 1),
+sl AS (SELECT edge_id, list(node_id ORDER BY conf DESC, node_id) AS likely, CASE WHEN count(*) FILTER (WHERE conf = top) = 1 THEN min(node_id) FILTER (WHERE conf = top) END AS ns, max(conf) AS sc FROM (SELECT *, max(conf) OVER (PARTITION BY edge_id) AS top FROM sem) GROUP BY edge_id),
+j AS (SELECT q.*, CASE WHEN q.target % 13 = 0 AND q.target > 50000000000 AND q.target < 60000000000 THEN q.target END AS nb, n1, n2, n3, n4, nf, nr, CASE WHEN q.owner IS NULL THEN n6 END AS n6, ns, sc, coalesce(likely, []) AS likely, q.name IN ({COMMON}) AS common
+  FROM q LEFT JOIN w1 ON w1.file_id = q.file_id AND w1.name = q.name LEFT JOIN w2 ON w2.file_id = q.file_id AND w2.tail = q.tail LEFT JOIN w3 ON w3.module = q.module AND w3.name = q.name LEFT JOIN w4 ON w4.module = q.module AND w4.tail = q.tail LEFT JOIN wf ON wf.module = q.module AND wf.owner = q.owner AND wf.tail = q.tail
+  LEFT JOIN wr ON wr.root = q.root AND wr.owner = q.owner AND wr.tail = q.tail LEFT JOIN w6 ON w6.name = q.name LEFT JOIN sl ON sl.edge_id = q.edge_id),
+k AS (SELECT *, CASE WHEN nb IS NOT NULL THEN 1 WHEN n1 IS NOT NULL THEN 2 WHEN n2 IS NOT NULL THEN 3 WHEN n3 IS NOT NULL AND NOT common THEN 4 WHEN n4 IS NOT NULL AND NOT common THEN 5 WHEN nf IS NOT NULL THEN 6 WHEN nr IS NOT NULL THEN 7 WHEN n6 IS NOT NULL THEN 8 WHEN ns IS NOT NULL AND owner IS NULL AND (NOT common OR sc >= 0.85) THEN 9 END AS s, list_filter(list_concat(likely, [nb, n1, n2, n3, n4, nf, nr, n6]), lambda x: x IS NOT NULL) AS l FROM j),
+cc AS (SELECT *, CASE s WHEN 9 THEN sc ELSE [0.95e0, 0.95e0, 0.95e0, 0.8e0, 0.8e0, 0.8e0, 0.95e0, 0.62e0][s] END AS conf FROM k),
+calls AS (SELECT edge_id, 'CALL' AS kind, CASE WHEN ok THEN [nb, n1, n2, n3, n4, nf, nr, n6, ns][s] END AS node_id, CASE WHEN ok THEN conf END AS confidence, CASE WHEN ok THEN ['import_binding', 'same_file', 'same_file', 'same_module', 'same_module', 'folder_owner', 'root_owner', 'global_unique', 'semantic'][s] END AS strategy,
+  CASE WHEN blocked THEN '' ELSE array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') END AS candidates FROM (SELECT *, NOT blocked AND (NOT common OR coalesce(conf >= 0.85, false)) AS ok FROM cc)),
+nm AS (SELECT n.id AS node_id, serialized_name AS name, n.file_id, {_MODULE} AS module, {_TAIL.format('serialized_name')} AS tail FROM node n LEFT JOIN file f ON f.id = n.file_id WHERE kind NOT IN ('FILE', 'MODULE', 'CLASS')),
+iq AS (SELECT 150000000000 + n.id AS edge_id, CASE (n.id - 30000000000) % 3 WHEN 0 THEN 'order_' || (n.id - 30000000000) * 4 WHEN 1 THEN 'run' ELSE 'm::ORDER_' || (n.id - 30000000000) END AS name, n.file_id, {_MODULE} AS module FROM node n LEFT JOIN file f ON f.id = n.file_id WHERE kind = 'CLASS'),
+ij AS (SELECT edge_id, a.n AS i1, b.n AS i2, d.n AS i3, t.n AS i4 FROM (SELECT *, {_TAIL.format('name')} AS tail FROM iq) iq LEFT JOIN (SELECT file_id, name, min(node_id) AS n FROM nm GROUP BY ALL) a ON a.file_id = iq.file_id AND a.name = iq.name LEFT JOIN (SELECT module, name, min(node_id) AS n FROM nm WHERE module IS NOT NULL GROUP BY ALL) b ON b.module = iq.module AND b.name = iq.name
+  LEFT JOIN (SELECT name, min(node_id) AS n FROM nm GROUP BY ALL HAVING count(DISTINCT node_id) = 1) d ON d.name = iq.name LEFT JOIN (SELECT tail, min(node_id) AS n FROM nm GROUP BY ALL) t ON t.tail = iq.tail),
+inh AS (SELECT source AS s, target AS t FROM edge WHERE kind = 'INHERITANCE'), anc AS (SELECT s AS type, t AS ancestor FROM inh UNION SELECT anc.type, inh.t FROM anc JOIN inh ON inh.s = anc.ancestor),
+mo AS (SELECT n.id, e.source AS owner, regexp_replace(n.serialized_name, '^.*(::|\.)', '') AS short FROM node n JOIN edge e ON e.target = n.id AND e.kind = 'MEMBER' WHERE n.kind = 'METHOD'),
+ov AS (SELECT mo.id AS method, count(DISTINCT o2.owner) AS c, min(o2.id) AS overridden FROM mo JOIN anc ON anc.type = mo.owner AND anc.type <> anc.ancestor JOIN mo o2 ON o2.owner = anc.ancestor AND o2.short = mo.short GROUP BY mo.id),
+every AS (SELECT * FROM calls UNION ALL SELECT edge_id, 'IMPORT', coalesce(i1, i2, i3, i4), CASE WHEN i1 IS NOT NULL THEN 0.90e0 WHEN i2 IS NOT NULL THEN 0.75e0 WHEN i3 IS NOT NULL THEN 0.55e0 ELSE 0.35e0 END, CASE WHEN i1 IS NOT NULL THEN 'same_file' WHEN i2 IS NOT NULL THEN 'same_module' WHEN i3 IS NOT NULL THEN 'global' ELSE 'fuzzy' END, CAST(coalesce(i1, i2, i3, i4) AS VARCHAR) FROM ij WHERE coalesce(i1, i2, i3, i4) IS NOT NULL
+  UNION ALL SELECT e.id + 30000000000, 'OVERRIDE', overridden, 0.95e0, 'ancestor', CAST(overridden AS VARCHAR) FROM edge e JOIN ov ON ov.method = e.target AND ov.c = 1 WHERE e.kind = 'MEMBER' AND e.id > 140000000000 AND e.id < 150000000000)
+SELECT edge_id, kind, node_id, confidence, {BAND} AS certainty, strategy, candidates FROM every"""
+
 ALL = {
+    "resolution_updates": (_g(_whole_updates), f"WITH RECURSIVE GRAPH, {_WHOLE}"),
     "call_cascade": (_g(lambda g: x.call_cascade(_calls(g), _candidates(g))), f"WITH GRAPH, {_CAND}, {_REQ}, {_WAYS}, {_PICK} SELECT * FROM found"),
     "owner_members": (_g(lambda g: x.owner_members(g)), f"WITH GRAPH, {_CAND} SELECT node_id, name, file_id, owner FROM c"),
     "import_files": (_g(_imports), "WITH GRAPH SELECT id AS edge_id, id AS file_id, path FROM file WHERE NOT path LIKE '%.md'"),
