@@ -203,9 +203,14 @@ def capped(citations: DataFrame, most: int, files: int) -> DataFrame:
 
 
 def within_bytes(sections: DataFrame, most: int) -> DataFrame:
-    """Sections (ord, text) as long as all up to them fit in ``most`` bytes; the list is that of one answer."""
-    upto = F.sum(F.octet_length("text")).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return sections.withColumn("bytes", upto).where(F.col("bytes") <= most)
+    """Sections (ord, text; one an ord) as long as all up to them fit in ``most`` bytes, with the ``bytes`` so far; empty ones are left out.
+
+    No more than ``most`` sections can fit, so the running sum is over that many lengths.
+    """
+    sizes = sections.select("ord", F.octet_length("text").alias("size")).where("size > 0").orderBy("ord").limit(most + 1)
+    upto = F.sum("size").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fit = sizes.select("ord", upto.alias("bytes")).where(F.col("bytes") <= most)
+    return sections.join(F.broadcast(fit), "ord")
 
 
 def with_roles(candidates: DataFrame, files: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def _capped(g: Graph) -> DataFrame:
 
 
 def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id < 40").select(F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
     return k.within_bytes(d, 20_000).select("ord", "bytes")
 
 
@@ -230,7 +230,7 @@ ALL = {
     "task_classes": (_tasks, f"WITH c AS (SELECT lower('please ' || coalesce(text, '') || CASE turn % 4 WHEN 0 THEN ' fix the bug' WHEN 1 THEN ' trace the route' WHEN 2 THEN ' who calls it' ELSE '' END) AS q FROM conversations) SELECT {_TASK} AS task, count(*) AS n FROM c GROUP BY 1"),
     "citation_scores": (_g(lambda g: _citations(g).select("id", k.citation_score().alias("score"))), f"WITH GRAPH, {_CITED} SELECT id, score FROM cs"),
     "citation_cap": (_g(_capped), f"WITH GRAPH, {_CITED}, c AS (SELECT *, id % 50 = 0 AS protected FROM cs), fb AS (SELECT path FROM (SELECT path, max(score) AS s, arg_min(id, (-score, id)) AS i FROM c WHERE NOT protected GROUP BY path) ORDER BY s DESC, i, path LIMIT 3), r AS (SELECT * FROM c WHERE NOT protected AND path IN (SELECT path FROM fb) ORDER BY score DESC, id LIMIT 12) SELECT * FROM c WHERE protected UNION ALL SELECT * FROM r"),
-    "byte_budget": (_budget, "SELECT doc_id AS ord, CAST(sum(strlen(coalesce(text, ''))) OVER (ORDER BY doc_id) AS BIGINT) AS bytes FROM documents WHERE doc_id < 40 QUALIFY bytes <= 20000"),
+    "byte_budget": (_budget, "SELECT doc_id AS ord, CAST(sum(strlen(coalesce(text, ''))) OVER (ORDER BY doc_id) AS BIGINT) AS bytes FROM documents WHERE text <> '' QUALIFY bytes <= 20000"),
     "role_enrichment": (_g(_roles), f"WITH GRAPH, c AS (SELECT n.id, CASE n.id % 4 WHEN 0 THEN upper(path) WHEN 1 THEN 'tests/' || path ELSE path END AS path, CASE WHEN n.id % 5 = 0 THEN 'docs' END AS role FROM node n JOIN file f ON f.id = n.file_id WHERE kind = 'STRUCT'), s AS (SELECT path AS p, CASE WHEN id % 2 = 0 THEN 'vendor' ELSE {ROLE} END AS stored FROM file) SELECT id, path, coalesce(role, stored, {ROLE}) AS role FROM c LEFT JOIN s ON p = lower(path)"),
     "core_enrichment": (_g(_core), "WITH GRAPH SELECT id AS node_id, kind, CASE WHEN id % 3 = 0 THEN 'a::tests::' || serialized_name ELSE qualified_name END AS name, CASE WHEN id % 4 = 0 THEN 7 ELSE start_line END AS line, CASE WHEN id % 3 = 0 THEN 'test' ELSE 'source' END AS role FROM node WHERE kind IN ('STRUCT', 'MODULE')"),
     "route_handlers": (_g(_routes), f"WITH GRAPH, c AS (SELECT id % 40 AS route, target AS handler, confidence, coalesce(certainty, {BAND}) AS sure, target_name AS name FROM edge WHERE kind = 'CALL') SELECT route, handler FROM c QUALIFY row_number() OVER (PARTITION BY route ORDER BY confidence DESC NULLS LAST, CASE sure WHEN 'certain' THEN 0 WHEN 'probable' THEN 1 WHEN 'uncertain' THEN 2 ELSE 3 END, name, handler) = 1"),

@@ -110,7 +110,7 @@ def _rough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of bytes with a factor that takes all vectors, so that the result is exact."""
     from loomgraph.operators.ranks import prefiltered_top
 
-    return prefiltered_top(_vectors(spark, sf_dir).where(F.col("id") != 3 * BASE), _query_vector(spark, sf_dir), 15, 100_000)
+    return prefiltered_top(_vectors(spark, sf_dir).where(F.col("id") != 3 * BASE), _query_vector(spark, sf_dir), 15)
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +260,8 @@ ALL = {
     "phantom_drop": (_phantoms, "WITH GRAPH SELECT id, path FROM file WHERE id % 3 <> 0 AND id % 7 <> 0"),
     "missing_ranks": (_missing, "WITH GRAPH, l AS (SELECT id, serialized_name AS symbol, 'p' || (id % 9) AS path, start_line AS line, id % 5 / 5e0 AS score, CASE WHEN id % 4 = 0 THEN id % 1000 END AS rank FROM node WHERE kind = 'STRUCT') SELECT id, coalesce(rank, (SELECT max(rank) FROM l) + row_number() OVER (PARTITION BY rank IS NULL ORDER BY score DESC, path NULLS FIRST, symbol NULLS FIRST, line NULLS FIRST)) AS rank FROM l"),
     "symbol_full_text": (_names, f"WITH GRAPH, {_lanes('supplier customer', 20)} SELECT key, round(0e0 + " + " + ".join(f"greatest(ln((n - d{k} + 0.5e0) / (d{k} + 0.5e0)), 1e-6) * c{k} * 2.2e0 / (c{k} + 1.2e0 * (0.25e0 + 0.75e0 * (len(pt) + len(ct)) / mean))" for k in range(2)) + ", 6) AS score FROM mt WHERE source = 1 ORDER BY score DESC, key LIMIT 20"),
-    "prefiltered_top": (_rough, "WITH vq AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT 30000000000 + vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, vq WHERE vec_id <> 0 ORDER BY score DESC, id LIMIT 15"),
+    "prefiltered_top": (_rough, """WITH vq AS (SELECT q, list_transform(q, lambda x: round(127 * x / peak)) AS q8 FROM (SELECT q, list_max(list_transform(q, lambda x: abs(x))) AS peak FROM (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0))),
+first AS (SELECT vec_id, embedding, q FROM embeddings, vq WHERE vec_id <> 0 ORDER BY list_dot_product(list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x * 127)), q8) DESC, vec_id LIMIT 60)
+SELECT 30000000000 + vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM first ORDER BY score DESC, id LIMIT 15"""),
     "query_plans": (_features, _features_sql()),
 }

@@ -108,7 +108,7 @@ def _build(spark: SparkSession, sf_dir: str) -> Graph:
     ]
     number = F.col("l_linenumber").cast("long")
     occurrence = line.select(_id(6, "l_partkey").alias("element_id"), file_of(F.col("l_suppkey") % 25).alias("file_id"), number.alias("line"), (number + F.col("l_orderkey") % 4).alias("end_line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    error = t("events").where("event_id % 20 = 0").select(
+    error = t("events").select(
         F.col("event_id").alias("id"), F.when(F.col("event_id") % 60 != 0, file_of(F.col("user_id") % 25)).cast("long").alias("file_id"), F.col("event_type").alias("message"),
         (F.col("event_id") % 100 == 0).alias("fatal"), F.when(F.col("event_id") % 40 == 0, "parse").otherwise("resolve").alias("step"),
     )
@@ -160,5 +160,5 @@ edge AS (
 occurrence AS (
   SELECT 60000000000 + l_partkey AS element_id, 70000000000 + l_suppkey % 25 AS file_id, CAST(l_linenumber AS BIGINT) AS line, l_linenumber + l_orderkey % 4 AS end_line, l_orderkey * 10 + l_linenumber AS seq FROM line),
 error AS (
-  SELECT event_id AS id, CASE WHEN event_id % 60 <> 0 THEN 70000000000 + user_id % 25 END AS file_id, event_type AS message, event_id % 100 = 0 AS fatal, CASE WHEN event_id % 40 = 0 THEN 'parse' ELSE 'resolve' END AS step FROM events WHERE event_id % 20 = 0)
+  SELECT event_id AS id, CASE WHEN event_id % 60 <> 0 THEN 70000000000 + user_id % 25 END AS file_id, event_type AS message, event_id % 100 = 0 AS fatal, CASE WHEN event_id % 40 = 0 THEN 'parse' ELSE 'resolve' END AS step FROM events)
 """
