@@ -26,7 +26,7 @@ def value(v):
 @pytest.fixture(scope="module")
 def table():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
