@@ -35,7 +35,7 @@ from loomgraph.llm.common import cut, map_batches, read_table, release, shuffle_
 from loomgraph.llm.tokens import list_of, pieces
 
 BUCKETS, RUN_WORDS, FEWEST_WORDS, DRAWN_PERCENT, SEED = 10_000, 3, 20, 5, 42
-SPAN = 1 << 22
+SPAN = 1 << 21
 #: Bytes whose effect on a CRC is tabulated by length; longer words take the tables of powers of two.
 _SHORT = 32
 _FULL = np.uint32(0xFFFFFFFF)
