@@ -132,3 +132,33 @@ def test_stale_calls_keep_protected_targets_and_null_confidence(spark):
     rows = [(0, "CALL", 9, 1, None, 5, 0.2, None), (1, "CALL", 9, 2, None, 5, 0.2, None), (2, "CALL", 9, 3, None, 5, None, None), (3, "CALL", 9, 3, None, 5, 0.9, None), (4, "CALL", 9, 4, None, 5, None, None), (5, "USAGE", 9, 2, None, 5, 0.2, None)]
     e = spark.createDataFrame(rows, "id long, kind string, source long, target long, resolved_source long, resolved_target long, confidence double, certainty string")
     assert {r.id for r in resolution.stale_cleanup(e, nodes).where("resolved_target is not null").collect()} == {0, 3, 4, 5}
+
+
+def test_whole_ways_pass_what_the_caps_of_a_walk_leave_out(spark, monkeypatch):
+    from loomgraph.operators import shortest
+
+    # The way to 200 is the last of 150 edges, more than a capped walk follows; 201 lies beside it by two edges.
+    edges = [("CALL", 0, i, None, "src/a.rs") for i in range(1, 151)] + [("CALL", 150, 200, None, "src/a.rs"), ("CALL", 150, 201, None, "src/a.rs"), ("CALL", 201, 200, None, "src/a.rs")]
+    g = graph(spark, edges, 202)
+    assert shortest.ways(g, 0, 200, 4, 10).path.isEmpty()
+    whole = shortest.ways(g, 0, 200, 4, 10, whole=True)
+    assert [r.id for r in whole.path.orderBy("position").collect()] == [0, 150, 200]
+    assert sorted(r.id for r in whole.trail.edges.collect()) == [149, 150, 151, 152] and not whole.trail.truncated
+    assert {r.id: r.depth for r in whole.trail.nodes.collect()} == {0: 0, 150: 1, 200: 2, 201: 2}
+    monkeypatch.setattr(shortest, "MOST_VISITED", 3)
+    assert not shortest.ways(g, 0, 200, 0, 10, whole=True).path.isEmpty()
+    # Beyond the depth that is left nothing is kept, and parallel edges stay.
+    near = shortest.ways(graph(spark, edges + [("USAGE", 150, 200, None, "src/a.rs")], 202), 0, 200, 2, 10, whole=True).trail
+    assert sorted(r.id for r in near.edges.collect()) == [149, 150, 153] and near.nodes.count() == 3
+
+
+def test_the_path_queries_have_no_cap(spark, monkeypatch):
+    from loomgraph.operators import shortest
+    from loomgraph.plans import queries_walks
+
+    calls = []
+    monkeypatch.setattr(queries_walks, "ways", lambda *a, **k: calls.append(k) or shortest.Ways(traverse.Trail(spark.range(0).selectExpr("id", "0 as depth", "0 as ord"), spark.range(0).selectExpr("id", "'' as kind", "id as src", "id as dst"), False, 0), spark.range(0)))
+    monkeypatch.setattr(queries_walks, "load_graph", lambda *a: None)
+    for name in ("path_steps", "path_steps_of_any_length", "path_nodes", "path_edges"):
+        queries_walks.ALL[name][0](spark, "")
+    assert len(calls) == 4 and all(k == {"whole": True} for k in calls)
