@@ -162,3 +162,21 @@ def test_the_path_queries_have_no_cap(spark, monkeypatch):
     for name in ("path_steps", "path_steps_of_any_length", "path_nodes", "path_edges"):
         queries_walks.ALL[name][0](spark, "")
     assert len(calls) == 4 and all(k == {"whole": True} for k in calls)
+
+
+def test_ranges_met_often_are_dealt_over_lanes(spark, monkeypatch):
+    monkeypatch.setattr(inventory, "LANE_PAIRS", 100)
+    rng = np.random.default_rng(3)
+    occ = [(int(f), int(a), int(a + b), k) for k, (f, a, b) in enumerate(rng.integers(0, [3, 150, 4], (200, 3)))] + [(9, 70, 71, 1000 + k) for k in range(300)] + [(None, 70, 71, 5000), (9, None, 71, 5001)]
+    spans = [(int(f), int(k), int(a), int(a + n)) for k, (f, a, n) in enumerate(rng.integers(0, [3, 150, 90], (100, 3)))] + [(9, 500 + k, 70 - k % 3, 71 + k % 2) for k in range(40)]
+    o, s = spark.createDataFrame(occ, "file_id long, line long, end_line long, seq long"), spark.createDataFrame(spans, "file_id long, node_id long, start_line long, end_line long")
+    want = sorted((n, q) for f, a, b, q in occ for g, n, i, j in spans if f == g and a is not None and a >= i and b <= j)
+    assert sorted(tuple(r) for r in inventory.range_contained(o, s).collect()) == want
+    assert sorted(r.seq for r in inventory.range_covered(o, s).collect()) == sorted({q for _, q in want})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = inventory.range_contained(o.where("file_id = 9"), s.where("file_id = 9"))
+        sizes = [r["count"] for r in hot.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 300 * 40 and len(sizes) > 1
