@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import adjacency, resolution, search
-from loomgraph.plans import queries_service
+from loomgraph.operators import adjacency, ranks, resolution, search
+from loomgraph.plans import queries_ranks, queries_service
 from loomgraph.sources import star_schema, store
 from loomgraph.sources.star_schema import Graph, load_graph
 
@@ -57,3 +57,16 @@ def test_edges_without_a_resolution_are_dealt_in_a_deletion(spark):
     got = {r.id: r.resolved_target for r in left.collect()}
     assert got == {i: 1 if i % 10 == 0 and i % 3 == 1 else None for i in range(400)}
     assert re.search(r"hashpartitioning\(resolved_target#\d+L?, unresolved#\d+L?, \d+\), REPARTITION_BY_NUM", left._jdf.queryExecution().executedPlan().toString())
+
+
+def test_hits_are_dealt_by_what_makes_them_equal(spark, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    hits = queries_ranks.ALL["unique_inexact_hits"][0](spark, SF)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    n = load_graph(spark, SF).node.where("kind in ('METHOD', 'FIELD')").count()
+    assert "SinglePartition" not in plan and f", {-(-n // 100)}), REPARTITION_BY_NUM" in plan
+    # Exact hits of one name and file are several tasks' work, and all of them stay.
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 2000, "len").otherwise("run").alias("name"), F.lit("METHOD").alias("kind"), F.lit("a.rs").alias("path"), F.col("id").alias("position"))
+    out = ranks.unique_inexact("len", rows.unionByName(rows.where("id = 5")), 3000)
+    assert sorted(r.id for r in out.collect()) == sorted([*range(2000), 5, 2000])
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 500
