@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import adjacency, ranks, resolution, search
+from loomgraph.operators import adjacency, grams, ranks, resolution, search
 from loomgraph.plans import queries_ranks, queries_service
 from loomgraph.sources import star_schema, store
 from loomgraph.sources.star_schema import Graph, load_graph
@@ -70,3 +70,22 @@ def test_hits_are_dealt_by_what_makes_them_equal(spark, monkeypatch):
     out = ranks.unique_inexact("len", rows.unionByName(rows.where("id = 5")), 3000)
     assert sorted(r.id for r in out.collect()) == sorted([*range(2000), 5, 2000])
     assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 500
+
+
+def test_names_that_differ_in_other_characters_are_scored_once(spark, monkeypatch):
+    names = [f"Order_{n}" for n in range(3000)] + ["O d%1_7", "od17é", "ÖD17", "oD\\17", "7d1o"]
+    index = grams.build_names(spark.createDataFrame(list(enumerate(names)), "id long, name string"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        seen.add(1)
+        return name
+
+    plain = grams.subsequence_score
+    for query in ("od17", "d%1", "d\\1", "17é"):
+        expected = {(r.name, r.score) for r in index.names.select("name", plain(F.col("name"), query).alias("score")).where("score is not null").collect()}
+        monkeypatch.setattr(grams, "subsequence_score", lambda name, q: plain(F.udf(counted, "string")(name), q))
+        got = [(r.name, r.score) for r in grams.fuzzy_symbols(index, query, 5000).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected and expected
+        monkeypatch.setattr(grams, "subsequence_score", plain)
+    assert 0 < seen.value < 100
