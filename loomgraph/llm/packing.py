@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import cut, map_batches, read_table
 
 CACHE_WORDS = 1_000_000
-#: A stop or comma between a letter and a blank is a token of its own whatever stands around; apart from its word it is met again more often.
+#: ASCII marks after letters are tokens apart whatever stands around, so words and marks are known by themselves and met again more often.
 #: Only after letters that composing and lower-casing leave a single letter: others may end in a mark, which a stop joins.
-_AFTER_LETTER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?=[ \n])")
+_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -35,7 +35,8 @@ def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], b
     """Ids of a text as little-endian 32-bit bytes, the same as encoding the whole text.
 
     The tokenizer drops white space and merges nothing across it, so what stands between blanks
-    is encoded once and kept, as long as the cache has room.
+    is encoded once and kept, as long as the cache has room. What is not known yet is put together of its letters,
+    small where the tokenizer makes them so, and the marks after them; of these only new ones are encoded.
     """
     if path in _encoders:
         return _encoders[path]
@@ -45,28 +46,41 @@ def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], b
     special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
     mark, between = min(special.items(), default=(-1, ""))
     known: dict[str, bytes] = {"": b""}
+    lowers, letters_marks = "Lowercase" in str(tokenizer.normalizer), _LETTERS_MARKS.fullmatch
 
     def many(new: list[str]) -> list[bytes]:
         """Ids of each part; parts without special tokens are encoded in one text, a special token between."""
         if mark < 0 or any(between in x for x in new):
             return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)]
         ids = np.asarray(tokenizer.encode_batch_fast([between.join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == mark)
-        starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-        return [ids[a:b].tobytes() for a, b in zip(starts, ends)]
+        cuts, data = (4 * np.flatnonzero(ids == mark)).tolist(), ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(x + 4 for x in cuts)], [*cuts, len(data)])]
 
     def encode(text: str) -> bytes:
-        parts = _AFTER_LETTER.sub(r" \1", text).replace("\n", " ").split(" ")
+        parts = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
             pass
-        new = [x for x in dict.fromkeys(parts) if x not in known]
-        ids = many(new)
-        if len(known) + len(new) <= cache_words:
-            known.update(zip(new, ids))
+        made: dict[str, tuple[str, str]] = {}
+        new: dict[str, None] = {}
+        for x in dict.fromkeys(parts):
+            if x not in known:
+                found = letters_marks(x)
+                made[x] = word, marks = (found[1].lower() if lowers else found[1], found[2]) if found else (x, "")
+                if word not in known:
+                    new[word] = None
+                if marks not in known:
+                    new[marks] = None
+        ids = dict(zip(new, many(list(new)))) if new else {}
+        if len(known) + len(ids) <= cache_words:
+            known.update(ids)
+            ids = {}
+        own = {x: (ids[w] if w in ids else known[w]) + (ids[m] if m in ids else known[m]) for x, (w, m) in made.items()}
+        # What is put together takes at most half the room; it is cheap to make again.
+        if len(known) + len(own) <= cache_words // 2:
+            known.update(own)
             return b"".join(map(known.__getitem__, parts))
-        own = dict(zip(new, ids))
         return b"".join([own[x] if x in own else known[x] for x in parts])
 
     _encoders[path] = encode

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -278,3 +279,32 @@ def test_near_copies_under_repeated_ids(spark):
     rows = [(5, texts[0]), (5, near), (3, texts[2]), (5, texts[0]), (9, texts[0] + " more"), (7, texts[1])]
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id, r.text) for r in out) == sorted([(5, texts[0]), (3, texts[2]), (7, texts[1])])
+
+
+def test_words_are_encoded_apart_from_their_marks(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    asked = []
+
+    class Asked:
+        def __getattr__(self, name):
+            return getattr(whole, name)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", SimpleNamespace(from_file=lambda p: Asked()))
+    rnd = random.Random(4)
+    bits = [*"aBÀéßıİſ12.,!'#|<>\n\t ", "é", "̸", " ", "'s", "'LL", "<|startoftext|>", "<|startoftext", "Straße", "don't", ". ", ", "]
+    for room in (10_000, 40, 0):
+        monkeypatch.setattr(packing, "_encoders", {})
+        encode = packing.word_encoder(path, room)
+        for text in ("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) for _ in range(600)):
+            assert np.frombuffer(encode(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    monkeypatch.setattr(packing, "_encoders", {})
+    asked.clear()
+    encode = packing.word_encoder(path)
+    for text in ("Word word, WORD.", "word### word!?\nwOrd."):
+        encode(text)
+    assert sorted(x for text in asked for x in text.split("<|startoftext|>")) == ["!?", "###", ",", ".", "word"]
