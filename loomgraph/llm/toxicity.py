@@ -166,8 +166,11 @@ def _deal(batch: bytes, keys: np.ndarray, counts: np.ndarray, bits: int) -> Iter
         yield pa.RecordBatch.from_arrays(columns, names=["batch", "bucket", "width", "counts", "keys"])
 
 
-def _answers(dealt: DataFrame, columns: int) -> DataFrame:
-    """(batch, parts): for each dealt key, by bucket, the sums of its counts over all batches, and whether the batch is its owner."""
+def _answers(dealt: DataFrame, columns: int, buckets: int) -> DataFrame:
+    """(batch, parts), kept by batch: for each dealt key, by bucket, the sums of its counts over all batches, and whether the batch is its owner.
+
+    Answers are written before they are gathered, so what was dealt is gone from the disk by then.
+    """
 
     def add(table: pa.Table) -> pa.Table:
         parts = [_unrising(x.as_buffer(), int(KEY_BITS)) for x in table.column("keys")]
@@ -181,8 +184,10 @@ def _answers(dealt: DataFrame, columns: int) -> DataFrame:
         packed = [_packed(np.vstack([total[:, back[a:b]], owner[None, a:b]])) for a, b in zip(ends[:-1], ends[1:])]
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "width": pa.concat_arrays([w for w, _ in packed]), "counts": pa.concat_arrays([c for _, c in packed])})
 
-    answered = dealt.groupBy("bucket").applyInArrow(add, _PART)
-    return answered.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "width", "counts"))).alias("parts"))
+    answered = cut(dealt.groupBy("bucket").applyInArrow(add, _PART))
+    gathered = cut_bucketed(answered.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "width", "counts"))).alias("parts")), buckets, "batch")
+    release(answered)
+    return gathered
 
 
 def _gathered(keys: np.ndarray, parts: pa.Scalar, columns: int, bits: int) -> np.ndarray:
@@ -315,9 +320,9 @@ def compare(docs: DataFrame, known: DataFrame, batch_words: int = BATCH_WORDS, b
     dealt = "batch binary, bucket int, width int, counts binary, keys binary"
     content = ("batch", "sizes", "vocabulary", "width", "places")
     for_pairs = map_batches(batches.join(marked, "batch", "left").select(*content, "marks"), deal_pairs, dealt)
-    pairs = cut_bucketed(_answers(for_pairs, 2), buckets, "batch")
+    pairs = _answers(for_pairs, 2, buckets)
     for_words = map_batches(batches.join(pairs, "batch").join(marked, "batch", "left").select(*content, "marks", "parts"), deal_words, dealt)
-    vocabulary_counts = cut_bucketed(_answers(for_words, 7), buckets, "batch")
+    vocabulary_counts = _answers(for_words, 7, buckets)
     sums = map_batches(vocabulary_counts.select("parts"), sum_up, "a double, b double, c double, d double, e double")
     totals = np.array([x or 0.0 for x in sums.agg(*[F.sum(c) for c in "abcde"]).first()])
 

@@ -82,3 +82,18 @@ def test_words_of_one_old_bucket_stay_apart(spark):
     texts = [f"{x} {bad} {y}" for x in "pqrs" for y in "xyz"] + [f"{x} fine {y}" for x in "pqrs" for y in "xyz"] + [f"p {bad} x", f"p {rare} x"]
     x = compared(spark, texts, [1] * 12 + [0] * 12 + [None] * 2)
     assert x[24, 3] > x[25, 3] + 0.2
+
+
+def test_dealt_keys_are_gone_when_answers_are_gathered(spark, monkeypatch):
+    plans, plain = [], toxicity.cut_bucketed
+
+    def noted(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *more)
+
+    monkeypatch.setattr(toxicity, "cut_bucketed", noted)
+    docs = spark.createDataFrame([(i, f"a b c{i % 7}") for i in range(60)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 3)], "labelled long, toxic int")
+    assert toxicity.compare(docs, known, batch_words=40, bucket_keys=8).count() == 60
+    # The shuffle files of an execution stay until its end: what deals keys out and what gathers answers are two.
+    assert len(plans) == 4 and not any("FlatMapGroupsInArrow" in p for p in plans)
