@@ -48,7 +48,7 @@ CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 START = np.uint64(0x9E3779B97F4A7C15)
 _WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
-_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
 _BLANK = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 COMPARISONS = ("mean", "power1", "power2", "low_mean", "low_power1", "low_power2")
 _PART = "batch binary, bucket int, width int, counts binary"
