@@ -180,3 +180,16 @@ def test_ranges_met_often_are_dealt_over_lanes(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 300 * 40 and len(sizes) > 1
+
+
+def test_what_tiles_repeat_stays_below_the_ranges_rows(spark, monkeypatch):
+    monkeypatch.setattr(inventory, "LANE_PAIRS", 10)
+    monkeypatch.setattr(inventory, "LANE_SPANS", 50)
+    o = spark.range(900).selectExpr("9L as file_id", "70L as line", "71L as end_line", "if(id = 5, null, id) as seq")
+    s = spark.range(120).selectExpr("9L as file_id", "if(id = 7, null, id) as node_id", "70L as start_line", "71L as end_line")
+    dealt, lists, _ = inventory._tiles(o, s)
+    sizes = [r.n for r in lists.selectExpr("size(ids) as n").collect()]
+    # Three chunks of spans, each beside at most 900 / 50 lanes: not a list for each 10 pairs.
+    assert max(sizes) < 70 and len(sizes) == 3 * 18 and sum(sizes) == 120 * 18 and dealt.count() == 900 * 3
+    pairs = inventory.range_contained(o, s)
+    assert pairs.count() == pairs.distinct().count() == 900 * 120 and pairs.where("seq is null").count() == 120 and pairs.where("node_id is null").count() == 900
