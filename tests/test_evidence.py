@@ -78,3 +78,31 @@ def test_dispositions(compiled):
 def test_a_graph_shows_every_disposition(spark):
     found = {r.disposition for r in queries_evidence.ALL["evidence_dispositions"][0](spark, "/root/testdata/sf0.001").select("disposition").distinct().collect()}
     assert found == {"supported", "drill_once", "not_established", "unavailable"}
+
+
+def test_support_is_shuffled_once_and_nothing_else_is_stored_for_it(spark, monkeypatch):
+    written = []
+    plain = queries_evidence.stored
+    monkeypatch.setattr(queries_evidence, "stored", lambda df, *sort: written.append(df.columns) or plain(df, *sort))
+    monkeypatch.setattr(queries_evidence, "kept", lambda spark, key, build: build())
+    support = queries_evidence.ALL["evidence_support"][0](spark, "/root/testdata/sf0.001")
+    assert support.columns == ["packet", "place", "id", "kind", "summary"] and support.count() == support.distinct().count() > 0
+    # The calls and what they come to; the support itself is read, not kept.
+    assert len(written) == 2
+    assert support._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_support_keeps_the_least_of_units_that_share_an_id(spark, compiled):
+    rows = {
+        "citations": [(1, 4, "n", "b", "p", 1, True), (1, 4, "n", "a", "q", 9, True), (1, 6, "n", "A", "p", 1, True), (1, 3, "n", "never", "p", 1, False), (2, 0, None, "none", "p", 1, True)],
+        "ranges": [(1, "r", "n", "p", 5, 6, "x"), (1, "r", "n", "p", 2, 9, "x"), (1, "r", "n", "p", 2, 9, "x"), (1, "empty", "n", "p", 1, 1, ""), (2, "of no node", None, "p", 1, 1, "x"), (1, "of another", "m", "p", 1, 1, "x")],
+        "edges": [(1, 9, "r", "USAGE", "s", "t"), (1, 8, "r", "CALL", "s", "t"), (1, 1, "x", "MEMBER", "s", "t")],
+        "searches": [(2, 0, "q", "completed", 0, 0, 0), (2, 1, "q", "completed", 0, 0, 0), (2, 2, "hit", "completed", 0, 1, 0)],
+    }
+    own = e.Evidence(**{name: spark.createDataFrame(rows.get(name, []), shape) for name, shape in SHAPES.items()})
+    whole = [(r.packet, r.place, r.id, r.kind, r.summary) for r in e.support_units(own).orderBy("packet", "place").collect()]
+    assert whole == [
+        (1, 1, "symbol:n", "symbol_location", "a at q:9"), (1, 2, "r", "source_range", "source for n at p:2-9"), (1, 3, "edge:r", "typed_graph_edge", "`s` CALL `t`"),
+        (2, 1, None, "symbol_location", "none at p:1"), (2, 2, "negative:q", "complete_query_negative", "searched `q`, zero hits"),
+    ]
+    assert [tuple(r) for r in e.support_units(own, "summary", 3).orderBy("packet", "place").collect()] == whole
